@@ -1,3 +1,191 @@
-"""Registered queries."""
+"""Registered text-scalar and source-parser queries."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpusprep.functions import text as tx
+from corpusprep.operators.external import build_prompt, clean_numbered
+from corpusprep.plans import fixtures as fx
+from corpusprep.plans.registry import register
+from corpusprep.sources.lines import parse_keyed_lines, parse_merges, parse_records, parse_vocab, parse_word_counts, with_run_step
+from corpusprep.operators.stats import word_counts
+
+WS = tx.WS_CLASS
+LB = r"\r\n|[\n\r\x{0B}\x{0C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
+
+
+def d_t1(c):
+    return f"regexp_replace(regexp_replace({c}, '([?!.,])', ' \\1 ', 'g'), '{WS}+$', '')"
+
+
+def d_tok(c):
+    return f"list_filter(regexp_split_to_array({c}, '{WS}+'), lambda x: x <> '')"
+
+
+def d_strip(c):
+    return f"regexp_replace(regexp_replace({c}, '^{WS}+', ''), '{WS}+$', '')"
+
+
+def d_clean(c):
+    """DuckDB form of T7 on column ``c``: list of kept, de-numbered lines."""
+    kept = f"list_filter(regexp_split_to_array({d_strip(c)}, '{LB}'), lambda x: regexp_replace(x, '{WS}', '', 'g') <> '')"
+    return kept
+
+
+D_NUM = f"'^\\p{{Nd}}+\\.{WS}*'"
+
+
+# --- T1 / T2 / T3 / T4 / T11 on document lines ---------------------------------------------------
+
+@register("split_punctuation", oracle=fx.oracle(["lines"], f"SELECT doc_id, line_no, {d_t1('text')} AS text FROM lines"))
+def q_split_punctuation(spark, d):
+    return fx.lines(spark, d).select("doc_id", "line_no", tx.split_punctuation("text").alias("text"))
+
+
+@register("lowercase", oracle=fx.oracle(["lines"], "SELECT doc_id, line_no, lower(text) AS text FROM lines"))
+def q_lowercase(spark, d):
+    return fx.lines(spark, d).select("doc_id", "line_no", tx.lowercase("text").alias("text"))
+
+
+@register("normalise_pairs", oracle=fx.oracle(["turn_pairs"], f"""
+    SELECT pair_id, lower({d_t1('src')}) AS src, lower({d_t1('tgt')}) AS tgt FROM turn_pairs"""))
+def q_normalise_pairs(spark, d):
+    from corpusprep.operators.variants import normalise_pairs
+    return normalise_pairs(fx.turn_pairs(spark, d), split_punctuation=True, lowercase=True)
+
+
+@register("tokens", oracle=fx.oracle(["lines"], f"""
+    SELECT doc_id, line_no, CAST(len({d_tok('text')}) AS INTEGER) AS n_tokens,
+           array_to_string({d_tok('text')}, '|') AS joined FROM lines"""))
+def q_tokens(spark, d):
+    t = tx.tokens("text")
+    return fx.lines(spark, d).select("doc_id", "line_no", F.size(t).alias("n_tokens"),
+                                     F.array_join(t, "|").alias("joined"))
+
+
+@register("truncate_tokens", oracle=fx.oracle(["lines"], f"""
+    SELECT doc_id, line_no, array_to_string(({d_tok('text')})[1:50], ' ') AS text FROM lines"""))
+def q_truncate_tokens(spark, d):
+    return fx.lines(spark, d).select("doc_id", "line_no", tx.truncate_tokens("text", 50).alias("text"))
+
+
+# --- T5 / T6 / T13 / S10 on prediction lines ----------------------------------------------------
+
+@register("detok_regex", oracle=fx.oracle(["pred_lines"], f"""
+    SELECT path, line_no, regexp_replace(text, '@@{WS}', '', 'g') AS text FROM pred_lines"""))
+def q_detok_regex(spark, d):
+    return fx.pred_lines(spark, d).select("path", "line_no", tx.detokenise("text", "regex").alias("text"))
+
+
+@register("detok_strip", oracle=fx.oracle(["pred_lines"], """
+    SELECT path, line_no, replace(replace(text, '@@ ', ''), '@@', '') AS text FROM pred_lines"""))
+def q_detok_strip(spark, d):
+    return fx.pred_lines(spark, d).select("path", "line_no", tx.detokenise("text", "strip").alias("text"))
+
+
+@register("run_step_of", oracle=fx.oracle(["pred_lines"], """
+    SELECT path, regexp_extract(path, 'output_[0-9]+', 0) AS run,
+           TRY_CAST(nullif(regexp_extract(path, '_step_([0-9]+)', 1), '') AS INTEGER) AS step,
+           CAST(count(*) AS BIGINT) AS n_lines
+    FROM pred_lines GROUP BY path"""))
+def q_run_step_of(spark, d):
+    return with_run_step(fx.pred_lines(spark, d)).groupBy("path", "run", "step") \
+        .agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+# --- T12 -------------------------------------------------------------------------------------------
+
+@register("drop_empty_pairs", oracle=fx.oracle(["raw_pairs"], f"""
+    SELECT pair_id, src, tgt FROM raw_pairs WHERE len({d_tok('src')}) > 0 AND len({d_tok('tgt')}) > 0"""))
+def q_drop_empty_pairs(spark, d):
+    from corpusprep.operators.variants import drop_empty_pairs
+    return drop_empty_pairs(fx.raw_pairs(spark, d))
+
+
+# --- T8 / T7 on 5-line batches of each document ------------------------------------------------------
+
+_PROMPTS = ("prompts", f"""
+    SELECT doc_id, line_no // 5 AS batch_no,
+           'Improve the fluency and readability of these translations:' || chr(10) || chr(10) ||
+           string_agg(CAST(line_no + 1 AS VARCHAR) || '. ' || text, chr(10) || chr(10) ORDER BY line_no) AS prompt,
+           CAST(count(*) AS BIGINT) AS n_lines
+    FROM lines GROUP BY doc_id, line_no // 5""")
+
+
+def _spark_prompts(spark, d):
+    from corpusprep.operators.batching import fixed_batches
+    b = fixed_batches(fx.lines(spark, d), "line_no", 5)
+    return build_prompt(b, "text", "line_no", ["doc_id", "batch_no"])
+
+
+@register("build_prompt", oracle=fx.oracle(["lines"], "SELECT * FROM prompts", [_PROMPTS]))
+def q_build_prompt(spark, d):
+    return _spark_prompts(spark, d)
+
+
+@register("clean_numbered", oracle=fx.oracle(["lines"], f"""
+    SELECT doc_id, batch_no, CAST(unnest(range(len(l))) AS BIGINT) AS pos,
+           regexp_replace(unnest(l), {D_NUM}, '') AS line
+    FROM (SELECT doc_id, batch_no, {d_clean('prompt')} AS l FROM prompts)""", [_PROMPTS]))
+def q_clean_numbered(spark, d):
+    return clean_numbered(_spark_prompts(spark, d).drop("n_lines"), "prompt")
+
+
+# --- S2 keyed TSV, S3 records, S4 merges, S6 vocab, S7 word counts -----------------------------------
+
+@register("keyed_tsv", oracle=fx.oracle(["tsv_lines"], """
+    SELECT line_no,
+           CASE WHEN len(string_split(line, chr(9))) = 2 THEN string_split(line, chr(9))[1] END AS key,
+           CASE WHEN len(string_split(line, chr(9))) = 2 THEN string_split(line, chr(9))[2] END AS text,
+           CASE WHEN len(string_split(line, chr(9))) <> 2 THEN 'bad_arity' END AS reason
+    FROM tsv_lines WHERE NOT starts_with(line, '#')"""))
+def q_keyed_tsv(spark, d):
+    return parse_keyed_lines(fx.tsv_lines(spark, d), "line")
+
+
+@register("parse_records", oracle=fx.oracle(["turn_pairs"], """
+    SELECT pair_id AS line_no, src AS nyn_text, tgt AS eng_text, CAST(NULL AS VARCHAR) AS reason FROM turn_pairs"""))
+def q_parse_records(spark, d):
+    return parse_records(fx.records(spark, d), "line", ["nyn_text", "eng_text"])
+
+
+def _merge_lines(spark, d):
+    """A merge-table text: header, then one ``left right`` rule per document line (its first two
+    tokens); lines with fewer tokens make malformed rules."""
+    ln = fx.lines(spark, d)
+    t = tx.tokens("text")
+    rule = F.array_join(F.slice(t, 1, 2), " ")
+    body = ln.select((F.col("doc_id") * 100000 + F.col("line_no") + 1).alias("line_no"), rule.alias("text"))
+    head = spark.createDataFrame([(0, "#version: 0.2")], "line_no long, text string")
+    return head.unionByName(body)
+
+
+@register("read_merges", oracle=fx.oracle(["lines"], f"""
+    SELECT CAST(min(rank) AS BIGINT) AS rank, f[1] AS "left", f[2] AS "right"
+    FROM (SELECT doc_id * 100000 + line_no AS rank, ({d_tok('text')})[1:2] AS f FROM lines)
+    WHERE len(f) = 2 GROUP BY f[1], f[2]"""))
+def q_read_merges(spark, d):
+    return parse_merges(_merge_lines(spark, d))
+
+
+@register("read_vocab", oracle=f"""
+    SELECT word AS token, CAST(count(*) AS BIGINT) AS freq
+    FROM (SELECT unnest({d_tok('text')}) AS word FROM documents) GROUP BY word HAVING count(*) >= 3""")
+def q_read_vocab(spark, d):
+    wc = word_counts(fx.table(spark, d, "documents"), "text")
+    vlines = wc.select(F.lit(0).alias("line_no"), F.concat_ws(" ", "word", F.col("freq").cast("string")).alias("text"))
+    return parse_vocab(vlines, "text", threshold=3)
+
+
+@register("read_word_counts", oracle=fx.oracle(["lines"], f"""
+    SELECT word, arg_max(freq, ord) AS freq FROM (
+        SELECT doc_id * 1000000 + line_no AS ord, ({d_tok('text')})[1] AS word, CAST(length(text) AS BIGINT) AS freq
+        FROM lines WHERE len({d_tok('text')}) > 0) GROUP BY word"""))
+def q_read_word_counts(spark, d):
+    ln = fx.lines(spark, d)
+    t = tx.tokens("text")
+    # a line without tokens gives a one-field row, which the parser drops as malformed
+    wl = ln.select((F.col("doc_id") * 1000000 + F.col("line_no")).alias("ord"),
+                   F.concat_ws(" ", F.get(t, 0), F.length("text").cast("string")).alias("text"))
+    return parse_word_counts(wl, "text", order="ord")

@@ -1,3 +1,189 @@
-"""Registered queries."""
+"""Registered BPE queries (A2-A4, B1-B6, B10) and their DuckDB oracles.
+
+The learn oracle is the one-merge-per-step definition unrolled into CTEs: step i takes the
+``max({c, l, r})`` pair of the current types and rewrites the types with one ``replace``; so
+Spark's multi-merge rounds are checked against plain one-at-a-time learning.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpusprep.functions import text as tx
+from corpusprep.operators import bpe_apply as ba
+from corpusprep.operators import bpe_learn as bl
+from corpusprep.operators.stats import to_symbols, word_counts
+from corpusprep.plans import fixtures as fx
+from corpusprep.plans.q_text import d_tok
+from corpusprep.plans.registry import register
+
+K = 8  # merges learned by the oracle-checked queries
+
+
+def d_sym(w: str) -> str:
+    return (f"' ' || array_to_string(list_transform(range(1, length({w}) + 1), lambda i: substring({w}, i, 1)), '  ')"
+            " || '</w> '")
+
+
+def d_pairs(src: str, g: str = "g") -> str:
+    return f"""SELECT {g}, s[i] AS l, s[i + 1] AS r, freq FROM (
+                 SELECT {g}, freq, s, unnest(range(1, len(s))) AS i FROM (
+                   SELECT {g}, freq, string_split(substring(sym, 2, length(sym) - 2), '  ') AS s FROM {src}))"""
+
+
+def d_learn(types_sql: str, k: int, min_freq: int = 2) -> list[tuple[str, str]]:
+    """CTEs ``w0..wk`` (types per step), ``p0..p{k-1}`` (best pair per step) and ``merges``
+    ``(g, rank, left, right, freq)`` cut at the first step below ``min_freq``."""
+    ctes = [("w0", types_sql)]
+    for i in range(k):
+        ctes.append((f"p{i}", f"""
+            SELECT g, max({{'c': c, 'l': l, 'r': r}}) AS m FROM (
+              SELECT g, l, r, sum(freq) AS c FROM ({d_pairs(f'w{i}')}) GROUP BY g, l, r) GROUP BY g"""))
+        ctes.append((f"w{i + 1}", f"""
+            SELECT w.g, replace(w.sym, ' ' || p.m.l || '  ' || p.m.r || ' ', ' ' || p.m.l || p.m.r || ' ') AS sym, w.freq
+            FROM w{i} w JOIN p{i} p USING (g)"""))
+    steps = " UNION ALL ".join(f"SELECT g, {i} AS rank, m FROM p{i}" for i in range(k))
+    ctes.append(("merges", f"""
+        SELECT g, CAST(rank AS BIGINT) AS rank, m.l AS "left", m.r AS "right", CAST(m.c AS BIGINT) AS freq
+        FROM (SELECT *, min(m.c) OVER (PARTITION BY g ORDER BY rank) AS run_min FROM ({steps}))
+        WHERE run_min >= {min_freq}"""))
+    return ctes
+
+
+def _doc_types(group: str | None = None) -> str:
+    g = group or "0"
+    return f"""SELECT g, {d_sym('word')} AS sym, CAST(count(*) AS BIGINT) AS freq
+               FROM (SELECT {g} AS g, unnest({d_tok('text')}) AS word FROM documents) GROUP BY g, word"""
+
+
+def _spark_doc_words(spark, d):
+    return word_counts(fx.table(spark, d, "documents"), "text")
+
+
+# --- A2 / A3 / A4 / B2 -------------------------------------------------------------------------------
+
+@register("symbols", oracle=f"""
+    SELECT word, CAST(count(*) AS BIGINT) AS freq, {d_sym('word')} AS sym
+    FROM (SELECT unnest({d_tok('text')}) AS word FROM documents) GROUP BY word""")
+def q_symbols(spark, d):
+    return _spark_doc_words(spark, d).withColumn("sym", to_symbols("word"))
+
+
+@register("pair_counts", oracle=fx.oracle([], """
+    SELECT l, r, CAST(sum(freq) AS BIGINT) AS freq FROM pairs GROUP BY l, r""",
+    [("w0", _doc_types()), ("pairs", d_pairs("w0"))]))
+def q_pair_counts(spark, d):
+    return bl.pair_counts(bl.word_types(_spark_doc_words(spark, d)))
+
+
+@register("best_pair", oracle=fx.oracle([], """
+    SELECT m.l AS l, m.r AS r, CAST(m.c AS BIGINT) AS freq FROM p0""", [("w0", _doc_types())] + d_learn(_doc_types(), 1)[1:2]))
+def q_best_pair(spark, d):
+    return bl.best_pair(bl.pair_counts(bl.word_types(_spark_doc_words(spark, d))))
+
+
+@register("merge_pair", oracle=fx.oracle([], """
+    SELECT w.sym AS sym, w.freq AS freq FROM w1 w""", d_learn(_doc_types(), 1)[:3]))
+def q_merge_pair(spark, d):
+    types = bl.word_types(_spark_doc_words(spark, d))
+    best = bl.best_pair(bl.pair_counts(types)).first()  # one row by construction
+    return types.select(bl.merge_pair(F.col("sym"), best["l"], best["r"]).alias("sym"), "freq")
+
+
+# --- B1 / B3 / B4 / B5 -------------------------------------------------------------------------------
+
+@register("learn_bpe", oracle=fx.oracle([], 'SELECT rank, "left", "right", freq FROM merges', d_learn(_doc_types(), K)))
+def q_learn_bpe(spark, d):
+    return bl.learn_bpe(fx.table(spark, d, "documents"), "text", num_merges=K)
+
+
+@register("merge_trace", oracle=fx.oracle([], """
+    SELECT rank, "left", "right", "left" || "right" AS new_symbol, freq FROM merges""", d_learn(_doc_types(), K)))
+def q_merge_trace(spark, d):
+    return bl.merge_trace(bl.learn_bpe(fx.table(spark, d, "documents"), "text", num_merges=K))
+
+
+_CONV_TYPES = f"""SELECT 0 AS g, {d_sym('word')} AS sym, CAST(count(*) AS BIGINT) AS freq
+                  FROM (SELECT unnest({d_tok('lower(text)')}) AS word FROM conversations) GROUP BY word"""
+
+
+@register("learn_bpe_counts", oracle=fx.oracle([], 'SELECT rank, "left", "right", freq FROM merges', d_learn(_CONV_TYPES, K)))
+def q_learn_bpe_counts(spark, d):
+    conv = fx.table(spark, d, "conversations")
+    counts = word_counts(conv.select(tx.lowercase("text").alias("text")), "text")
+    return bl.learn_bpe_from_counts(counts, num_merges=K)
+
+
+@register("learn_bpe_groups", oracle=fx.oracle([], 'SELECT g AS lang, rank, "left", "right", freq FROM merges',
+                                               d_learn(_doc_types("lang"), K)))
+def q_learn_bpe_groups(spark, d):
+    return bl.learn_bpe(fx.table(spark, d, "documents"), "text", num_merges=K, group_cols=["lang"])
+
+
+# --- B6 / B8 / B9 / B10 --------------------------------------------------------------------------------
+
+def _d_encoded_lines(k: int) -> list[tuple[str, str]]:
+    """DuckDB: segment every document line with the first ``k`` learned merges applied in
+    rank order (equal to the lowest-rank loop while no string has two derivations)."""
+    chain = "sym"
+    for i in range(k):
+        pat = f"(SELECT ' ' || m.l || '  ' || m.r || ' ' FROM p{i})"
+        rep = f"(SELECT ' ' || m.l || m.r || ' ' FROM p{i})"
+        chain = f"replace({chain}, {pat}, {rep})"
+    return d_learn(_doc_types(), k) + [
+        ("tok", f"""SELECT doc_id, line_no, unnest(range(len(t))) AS pos, unnest(t) AS w
+                    FROM (SELECT doc_id, line_no, {d_tok('text')} AS t FROM lines)"""),
+        ("enc", f"""SELECT doc_id, line_no, pos,
+                           CASE WHEN length(w) = 1 THEN w
+                                ELSE replace(trim(replace({chain}, '</w>', '')), '  ', '@@ ') END AS piece
+                    FROM (SELECT doc_id, line_no, pos, w, {d_sym('w')} AS sym FROM tok)"""),
+        ("seg", """SELECT l.doc_id, l.line_no, l.text AS raw,
+                          coalesce((SELECT string_agg(piece, ' ' ORDER BY pos) FROM enc e
+                                    WHERE e.doc_id = l.doc_id AND e.line_no = l.line_no), '') AS text
+                   FROM lines l"""),
+    ]
+
+
+def _spark_encoded_lines(spark, d):
+    merges = bl.learn_bpe(fx.table(spark, d, "documents"), "text", num_merges=K)
+    return ba.apply_bpe(fx.lines(spark, d), "text", merges, out_col="enc")
+
+
+@register("apply_bpe", oracle=fx.oracle(["lines"], "SELECT doc_id, line_no, text FROM seg", _d_encoded_lines(K)))
+def q_apply_bpe(spark, d):
+    return _spark_encoded_lines(spark, d).select("doc_id", "line_no", F.col("enc").alias("text"))
+
+
+@register("bpe_stats", oracle=fx.oracle(["lines"], """
+    SELECT lang, CAST(sum(len(rt)) AS BIGINT) AS words, CAST(sum(len(et)) AS BIGINT) AS pieces,
+           CAST(sum(len(list_filter(et, lambda x, i: NOT ends_with(x, '@@')
+                AND (i = 1 OR NOT ends_with(et[i - 1], '@@'))))) AS BIGINT) AS whole_words,
+           round(sum(len(et)) / sum(len(rt)), 4) AS pieces_per_word,
+           round(sum(len(list_filter(et, lambda x, i: NOT ends_with(x, '@@')
+                AND (i = 1 OR NOT ends_with(et[i - 1], '@@'))))) / sum(len(rt)), 4) AS whole_share
+    FROM st GROUP BY lang""", _d_encoded_lines(K) + [("st", f"""
+    SELECT d.lang, {d_tok('s.raw')} AS rt, {d_tok('s.text')} AS et FROM seg s JOIN documents d USING (doc_id)""")]))
+def q_bpe_stats(spark, d):
+    enc = _spark_encoded_lines(spark, d)
+    docs = fx.table(spark, d, "documents").select("doc_id", "lang")
+    return ba.bpe_stats(enc.join(docs, "doc_id"), "text", "enc", ["lang"])
+
+
+@register("apply_bpe_vocab")
+def q_apply_bpe_vocab(spark, d):
+    """Segment with a vocabulary built from the segmented documents (threshold 50); rare
+    pieces back off to smaller known units. Rows-only (checked by unit tests)."""
+    docs = fx.table(spark, d, "documents")
+    merges = bl.learn_bpe(docs, "text", num_merges=64)
+    enc = ba.apply_bpe(docs, "text", merges, out_col="enc")
+    vocab = ba.subword_vocab(enc, "enc").filter(F.col("freq") >= 50)
+    return ba.apply_bpe(fx.lines(spark, d), "text", merges, vocab=vocab, out_col="enc") \
+        .select("doc_id", "line_no", F.col("enc").alias("text"))
+
+
+@register("apply_bpe_glossary")
+def q_apply_bpe_glossary(spark, d):
+    """Segmentation that keeps glossary strings whole inside words. Rows-only."""
+    merges = bl.learn_bpe(fx.table(spark, d, "documents"), "text", num_merges=K)
+    return ba.apply_bpe(fx.lines(spark, d), "text", merges, glossaries=["tion", "ment"], out_col="enc") \
+        .select("doc_id", "line_no", F.col("enc").alias("text"))

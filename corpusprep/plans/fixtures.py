@@ -203,7 +203,7 @@ DUCK_VIEWS: dict[str, tuple[list[str], str]] = {
                || CAST(128 * (1 + (doc_id // 4) % 3) AS VARCHAR) || '.txt' AS path,
                doc_id AS line_no, replace(replace(text, chr(10), ' '), 'ti', 'ti@@ ') AS text
         FROM documents"""),
-    "references": ([], """
+    "ref_lines": ([], """
         SELECT doc_id AS line_no, replace(text, chr(10), ' ') AS text FROM documents"""),
     "hyp_ref": ([], """
         SELECT doc_id AS pair_id, lang AS grp,

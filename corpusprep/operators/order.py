@@ -62,3 +62,25 @@ def ordered_scan(df: DataFrame, order: list, groups: list[str] | None = None,
         res = res.withColumn(out, (F.col(f"__o_{out}") + F.col(f"__s_{out}")).cast("long"))
     drop = ["__pid", "__i", "__on"] + [f"__s_{o}" for o in sums] + [f"__o_{o}" for o in sums]
     return res.drop(*drop)
+
+
+def forward_fill(df: DataFrame, order: list[str], value: str, out: str, partitions: int | None = None) -> DataFrame:
+    """``out`` = the last non-NULL ``value`` at or before each row in ``order`` (an as-of
+    lookup), computed per range partition and completed with a carry from the preceding
+    partitions (a table of at most one row per partition)."""
+    spark = df.sparkSession
+    p = partitions or shuffle_partitions(spark)
+    cols = [F.col(c) for c in order]
+    ranged = cut_lineage(df.repartitionByRange(p, *cols).withColumn("__pid", F.spark_partition_id()))
+    w = Window.partitionBy("__pid").orderBy(*cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = ranged.withColumn("__f", F.last(value, ignorenulls=True).over(w))
+    key = F.struct(*cols)
+    tail = ranged.filter(F.col(value).isNotNull()).groupBy("__pid") \
+        .agg(F.max_by(F.col(value), key).alias("__t"))
+    # P rows at most: an unpartitioned window over them is bounded by the partition count
+    wc = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    pids = ranged.select("__pid").distinct()
+    carry = pids.join(tail, "__pid", "left").withColumn("__c", F.last("__t", ignorenulls=True).over(wc)) \
+        .select("__pid", "__c")
+    res = local.join(carry, "__pid", "left")
+    return res.withColumn(out, F.coalesce(F.col("__f"), F.col("__c"))).drop("__pid", "__f", "__c")

@@ -122,12 +122,93 @@ def _accept(cands: list[tuple[int, str, str]], lmax: dict, rmax: dict, min_freq:
     return acc, False
 
 
+def _conflicts(c: str, d: str, acc: list[tuple[str, str, int]]) -> bool:
+    """True when merging an accepted pair could change the count of ``(c, d)`` or the two
+    merges could touch the same occurrence: merging ``(a, b)`` only alters pairs ``(x, a)``,
+    ``(b, y)`` and pairs holding ``ab``; created symbols must also stay distinct."""
+    cd = c + d
+    for a, b, _ in acc:
+        ab = a + b
+        if d == a or c == b or c == ab or d == ab or cd == ab or cd == a or cd == b:
+            return True
+    return False
+
+
+def _prefix_compatible(cands: list[tuple[int, str, str]], min_freq: int, budget: int) -> list[tuple[int, str, str]]:
+    """The candidates that can possibly be accepted: the prefix before the first conflict or
+    the first count below ``min_freq``."""
+    out: list[tuple[int, str, str]] = []
+    acc: list[tuple[str, str, int]] = []
+    for c, a, b in cands:
+        if len(out) >= budget or c < min_freq:
+            break
+        if acc and _conflicts(a, b, acc):
+            break
+        out.append((c, a, b))
+        acc.append((a, b, c))
+    return out
+
+
+class _PairCounts(dict):
+    """Pair counts of the candidate list; any other pair is bounded by ``floor``."""
+
+    def __init__(self, known: dict, floor: int):
+        super().__init__(known)
+        self.floor = floor
+
+    def get(self, key, default=None):  # noqa: D401 - dict API
+        return super().get(key, self.floor)
+
+
+def _accept_exact(cands, lmax, rmax, tl, tr, pc, min_freq: int, budget: int):
+    """Exact acceptance with the tight bound. Merging ``(a, b)`` creates ``(x, ab)`` pairs only
+    where the triple ``x a b`` occurred (at most ``TL[a,b]`` per ``x``) on top of existing
+    ``(x, ab)`` pairs (``L[ab]``); symmetric for ``(ab, y)``; ``(ab, ab)`` needs a ``(b, a)``
+    pair between, and a pair of two created symbols ``(ab, cd)`` needs a ``(b, c)`` pair.
+    A candidate is taken while it does not conflict with the accepted ones and its count is
+    strictly above every such bound; the first failure ends the round."""
+    acc: list[tuple[str, str, int]] = []
+    bound = None
+    for c, a, b in cands:
+        if len(acc) >= budget:
+            break
+        if c < min_freq:
+            return acc, not acc
+        if acc:
+            if _conflicts(a, b, acc):
+                break
+            if not c > bound:
+                break
+        ab = a + b
+        la, ra = lmax.get(ab, 0), rmax.get(ab, 0)
+        lim = max(tl.get((a, b), 0) + la, tr.get((a, b), 0) + ra, pc.get((b, a), 0) + la)
+        for c2, d2, _ in acc:
+            lim = max(lim, pc.get((b, c2), 0) + ra, pc.get((d2, a), 0) + la,
+                      pc.get((d2, c2), 0) + rmax.get(c2 + d2, 0), pc.get((b, a), 0))
+        acc.append((a, b, c))
+        bound = lim if bound is None else max(bound, lim)
+    return acc, False
+
+
 def learn_from_types(types: DataFrame, group_cols: list[str] | None = None, num_merges: int = 10000,
-                     min_frequency: int = 2, candidates: int = 256, checkpoint_every: int = 4,
+                     min_frequency: int = 2, candidates: int = 256, checkpoint_every: int = 8,
                      max_rounds: int | None = None) -> DataFrame:
     """B1 on a type table ``(groups..., sym, freq)``. Returns ``(groups..., rank, left, right,
     freq)`` as a small DataFrame (at most ``num_merges`` rows per group)."""
     spark = types.sparkSession
+    # the rounds run many small jobs over the word-type table (bounded by the vocabulary, not
+    # by the corpus); adaptive re-planning costs more than it saves there, so it is switched
+    # off for the loop and restored afterwards
+    aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return _learn_loop(spark, types, group_cols, num_merges, min_frequency, candidates,
+                           checkpoint_every, max_rounds)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+
+
+def _learn_loop(spark, types, group_cols, num_merges, min_frequency, candidates, checkpoint_every, max_rounds):
     g = list(group_cols or [])
     gg = g or ["__g"]
     if not g:
@@ -136,6 +217,7 @@ def learn_from_types(types: DataFrame, group_cols: list[str] | None = None, num_
     cur = cut_lineage(types.select(*gg, "sym", "freq").repartition(p, *gg, "sym"))
     learned: dict[tuple, list[tuple[str, str, int]]] = {}
     finished: set[tuple] = set()
+    stale: list[DataFrame] = []
     rnd = 0
     salt = max(1, p)
     while True:
@@ -153,33 +235,55 @@ def learn_from_types(types: DataFrame, group_cols: list[str] | None = None, num_
                     c = e if c is None else c & e
                 cond = c if cond is None else cond | c
             live = cur.filter(~cond)
-        pairs = pair_counts(live, gg)
-        top = _top_candidates(pairs, gg, candidates, salt).select(
-            F.lit("C").alias("kind"), *gg, "l", "r", "freq")
+        # one job per round: explode positions once; pair counts; top-k candidates; per-symbol
+        # maxima L/R; per-candidate triple maxima TL/TR (semi-join with the broadcast top-k)
+        sa = symbols_array(F.col("sym"))
+        pos = live.select(*gg, "freq", sa.alias("__s")).select(
+            *gg, "freq", "__s", F.posexplode("__s").alias("__i", "l"))
+        pos = pos.select(*gg, "freq", "l", F.get("__s", F.col("__i") + 1).alias("r"),
+                         F.get("__s", F.col("__i") - 1).alias("x"), F.get("__s", F.col("__i") + 2).alias("y")) \
+            .filter(F.col("r").isNotNull())
+        pairs = pos.groupBy(*gg, "l", "r").agg(F.sum("freq").cast("long").alias("freq"))
+        top = _top_candidates(pairs, gg, candidates, salt)
+        cj = pos.join(F.broadcast(top.select(*gg, "l", "r")), [*gg, "l", "r"], "left_semi")
+        none = F.lit(None).cast("string")
+        tl = cj.filter(F.col("x").isNotNull()).groupBy(*gg, "l", "r", "x").agg(F.sum("freq").alias("c")) \
+            .groupBy(*gg, "l", "r").agg(F.max("c").cast("long").alias("freq")).select(F.lit("TL").alias("kind"), *gg, "l", "r", "freq")
+        tr = cj.filter(F.col("y").isNotNull()).groupBy(*gg, "l", "r", "y").agg(F.sum("freq").alias("c")) \
+            .groupBy(*gg, "l", "r").agg(F.max("c").cast("long").alias("freq")).select(F.lit("TR").alias("kind"), *gg, "l", "r", "freq")
         lm = pairs.groupBy(*gg, F.col("r").alias("s")).agg(F.max("freq").alias("freq")) \
-            .select(F.lit("L").alias("kind"), *gg, F.col("s").alias("l"), F.lit(None).cast("string").alias("r"), "freq")
+            .select(F.lit("L").alias("kind"), *gg, F.col("s").alias("l"), none.alias("r"), "freq")
         rm = pairs.groupBy(*gg, F.col("l").alias("s")).agg(F.max("freq").alias("freq")) \
-            .select(F.lit("R").alias("kind"), *gg, F.col("s").alias("l"), F.lit(None).cast("string").alias("r"), "freq")
-        rows = top.unionByName(lm).unionByName(rm).collect()
+            .select(F.lit("R").alias("kind"), *gg, F.col("s").alias("l"), none.alias("r"), "freq")
+        topc = top.select(F.lit("C").alias("kind"), *gg, "l", "r", "freq")
+        rows = topc.unionByName(lm).unionByName(rm).unionByName(tl).unionByName(tr).collect()
+        for old in stale:  # the new generation is materialised now
+            old.unpersist()
+        stale = []
         per: dict[tuple, dict] = {}
         for row in rows:
             key = tuple(row[c] for c in gg)
-            d = per.setdefault(key, {"C": [], "L": {}, "R": {}})
-            if row["kind"] == "C":
+            d = per.setdefault(key, {"C": [], "L": {}, "R": {}, "TL": {}, "TR": {}})
+            k = row["kind"]
+            if k == "C":
                 d["C"].append((row["freq"], row["l"], row["r"]))
+            elif k in ("L", "R"):
+                d[k][row["l"]] = row["freq"]
             else:
-                d[row["kind"]][row["l"]] = row["freq"]
+                d[k][(row["l"], row["r"])] = row["freq"]
         step: dict[tuple, list[tuple[str, str]]] = {}
         for key, d in per.items():
             if key in finished:
                 continue
-            have = len(learned.get(key, []))
-            budget = num_merges - have
+            budget = num_merges - len(learned.get(key, []))
             cands = sorted(d["C"], key=lambda t: (t[0], t[1], t[2]), reverse=True)
             if budget <= 0 or not cands:
                 finished.add(key)
                 continue
-            acc, done = _accept(cands, d["L"], d["R"], min_frequency, budget)
+            # a pair outside the top-k list has a count of at most the k-th count
+            floor = cands[-1][0] if len(cands) >= candidates else 0
+            pc = _PairCounts({(a, b): c for c, a, b in cands}, floor)
+            acc, done = _accept_exact(cands, d["L"], d["R"], d["TL"], d["TR"], pc, min_frequency, budget)
             if acc:
                 learned.setdefault(key, []).extend(acc)
                 step[key] = [(a, b) for a, b, _ in acc]
@@ -197,9 +301,14 @@ def learn_from_types(types: DataFrame, group_cols: list[str] | None = None, num_
                     e = F.col(col).eqNullSafe(F.lit(v))
                     cond = e if cond is None else cond & e
                 expr = F.when(cond, _merge_expr(F.col("sym"), ms)).otherwise(expr)
+        prev = cur
         cur = cur.select(*gg, expr.alias("sym"), "freq")
         if rnd % checkpoint_every == 0:
             cur = cut_lineage(cur)
+        else:
+            cur = cur.persist()
+        if prev.is_cached:
+            stale.append(prev)
         log.info("bpe round %d: %d merges accepted", rnd, sum(len(v) for v in step.values()))
     rows = []
     for key, ms in learned.items():

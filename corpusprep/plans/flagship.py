@@ -1,14 +1,35 @@
-"""Flagship plan (E1 of the survey): variants -> per-group BPE learn -> segment -> statistics."""
+"""Flagship plan (E1 of the survey): build the training variants, learn BPE merges per
+(variant, side) on the train split in one loop for all groups, segment every split with its
+group's merges and report corpus statistics per (variant, side, split)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusprep.functions.text import split_punctuation
-from corpusprep.operators.stats import word_counts
+from corpusprep.operators.bpe_apply import apply_bpe_groups
+from corpusprep.operators.bpe_learn import learn_bpe
+from corpusprep.operators.stats import corpus_stats
+from corpusprep.operators.variants import build_variants
 from corpusprep.plans import fixtures as fx
 
+GROUPS = ["variant", "side"]
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    doc = fx.table(spark, sf_dir, "documents")
-    return word_counts(doc.select(split_punctuation("text").alias("text")), "text")
+
+def sides(variants: DataFrame) -> DataFrame:
+    """One row per (pair, side): ``(variant, side, split, corpus, line_no, text)``."""
+    cols = ["variant", "split", "corpus", "line_no"]
+    return variants.select(*cols, F.lit("src").alias("side"), F.col("src").alias("text")).unionByName(
+        variants.select(*cols, F.lit("tgt").alias("side"), F.col("tgt").alias("text")))
+
+
+def prepare(spark: SparkSession, sf_dir: str, num_merges: int = 8) -> tuple[DataFrame, DataFrame]:
+    long = sides(build_variants(fx.corpora(spark, sf_dir)))
+    merges = learn_bpe(long.filter(F.col("split") == "train"), "text", num_merges=num_merges, group_cols=GROUPS)
+    encoded = apply_bpe_groups(long, "text", merges, GROUPS, out_col="enc")
+    return merges, encoded
+
+
+def flagship(spark: SparkSession, sf_dir: str, num_merges: int = 8) -> DataFrame:
+    _, encoded = prepare(spark, sf_dir, num_merges)
+    return corpus_stats(encoded, "enc", ["variant", "side", "split"])

@@ -42,6 +42,7 @@ from corpusprep.session import cut_lineage, shuffle_partitions
 log = logging.getLogger(__name__)
 
 MERGE_SCHEMA = "rank long, left string, right string, freq long"
+TYPES_PER_PARTITION = 10_000
 
 
 def pairs_of(sym: Column) -> Column:
@@ -199,13 +200,21 @@ def learn_from_types(types: DataFrame, group_cols: list[str] | None = None, num_
     # the rounds run many small jobs over the word-type table (bounded by the vocabulary, not
     # by the corpus); adaptive re-planning costs more than it saves there, so it is switched
     # off for the loop and restored afterwards
+    # off for the loop and restored afterwards; likewise the loop's shuffle width is sized from
+    # the type table (about TYPES_PER_PARTITION types per task, capped by the session setting)
     aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    types = cut_lineage(types)
+    n_types = types.count()
+    width = max(1, min(int(parts), -(-n_types // TYPES_PER_PARTITION)))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(width))
     try:
         return _learn_loop(spark, types, group_cols, num_merges, min_frequency, candidates,
                            checkpoint_every, max_rounds)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", aqe)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
 
 
 def _learn_loop(spark, types, group_cols, num_merges, min_frequency, candidates, checkpoint_every, max_rounds):

@@ -68,5 +68,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``corpusprep`` importable on every executor (UDFs are pickled by reference):
+    zip the package once and ``addPyFile`` it to the session's SparkContext."""
+    sc = spark.sparkContext
+    key = f"{sc.applicationId}"
+    if key in _SHIPPED:
+        return
+    import corpusprep
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(corpusprep.__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="corpusprep-pkg-"), "corpusprep.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -187,3 +187,55 @@ def q_apply_bpe_glossary(spark, d):
     merges = bl.learn_bpe(fx.table(spark, d, "documents"), "text", num_merges=K)
     return ba.apply_bpe(fx.lines(spark, d), "text", merges, glossaries=["tion", "ment"], out_col="enc") \
         .select("doc_id", "line_no", F.col("enc").alias("text"))
+
+
+# --- E1: the whole preparation pipeline (flagship) ------------------------------------------------------
+
+def _d_prepare(k: int) -> list[tuple[str, str]]:
+    from corpusprep.plans.q_text import d_t1
+    variants = f"""
+        SELECT r.variant, c.corpus, c.split, c.line_no,
+               CASE WHEN c.corpus = 'A' THEN {d_t1('c.src')} ELSE c.src END AS src,
+               CASE WHEN c.corpus = 'A' THEN {d_t1('c.tgt')} ELSE c.tgt END AS tgt
+        FROM corpora c JOIN recipe r ON c.corpus = r.corpus
+        WHERE c.split = 'train' OR c.corpus = 'A'"""
+    recipe = """SELECT * FROM (VALUES ('original', 'A'), ('bible', 'A'), ('bible', 'B'), ('backtranslated', 'A'),
+        ('backtranslated', 'C'), ('all', 'A'), ('all', 'B'), ('all', 'C')) t(variant, corpus)"""
+    sides = """SELECT variant, 'src' AS side, split, corpus, line_no, src AS text FROM variants
+               UNION ALL SELECT variant, 'tgt', split, corpus, line_no, tgt FROM variants"""
+    types = f"""SELECT g, {d_sym('word')} AS sym, CAST(count(*) AS BIGINT) AS freq FROM (
+                  SELECT variant || '|' || side AS g, unnest({d_tok('text')}) AS word FROM sides WHERE split = 'train')
+                GROUP BY g, word"""
+    chain = "sym"
+    for i in range(k):
+        pat = (f"coalesce((SELECT ' ' || m.\"left\" || '  ' || m.\"right\" || ' ' FROM merges m "
+               f"WHERE m.g = x.g AND m.rank = {i}), chr(0))")
+        rep = (f"coalesce((SELECT ' ' || m.\"left\" || m.\"right\" || ' ' FROM merges m "
+               f"WHERE m.g = x.g AND m.rank = {i}), chr(0))")
+        chain = f"replace({chain}, {pat}, {rep})"
+    return [("recipe", recipe), ("variants", variants), ("sides", sides)] + d_learn(types, k) + [
+        ("rows", "SELECT row_number() OVER () AS rid, variant, side, split, variant || '|' || side AS g, text FROM sides"),
+        ("tok", f"""SELECT rid, g, unnest(range(len(t))) AS pos, unnest(t) AS w
+                    FROM (SELECT rid, g, {d_tok('text')} AS t FROM rows)"""),
+        ("enc", f"""SELECT rid, pos, CASE WHEN length(w) = 1 THEN w
+                                        ELSE replace(trim(replace({chain}, '</w>', '')), '  ', '@@ ') END AS piece
+                    FROM (SELECT rid, g, pos, w, {d_sym('w')} AS sym FROM tok) x"""),
+        ("seg", """SELECT r.variant, r.side, r.split,
+                          coalesce((SELECT string_agg(piece, ' ' ORDER BY pos) FROM enc e WHERE e.rid = r.rid), '') AS enc
+                   FROM rows r"""),
+        ("t", f"SELECT variant, side, split, {d_tok('enc')} AS tk FROM seg"),
+        ("per", """SELECT variant, side, split, CAST(count(*) AS BIGINT) AS lines, CAST(sum(len(tk)) AS BIGINT) AS tokens,
+                          CAST(max(len(tk)) AS BIGINT) AS max_len, round(avg(len(tk)), 4) AS mean_len
+                   FROM t GROUP BY variant, side, split"""),
+        ("dist", """SELECT variant, side, split, CAST(count(DISTINCT w) AS BIGINT) AS distinct_words
+                    FROM (SELECT variant, side, split, unnest(tk) AS w FROM t) GROUP BY variant, side, split"""),
+    ]
+
+
+@register("prepare_dataset", oracle=fx.oracle(["corpora"], """
+    SELECT per.*, coalesce(dist.distinct_words, 0) AS distinct_words,
+           CAST(ceil(per.tokens / 4096) AS BIGINT) AS steps_per_epoch
+    FROM per LEFT JOIN dist USING (variant, side, split)""", _d_prepare(K)))
+def q_prepare_dataset(spark, d):
+    from corpusprep.plans.flagship import flagship
+    return flagship(spark, d, num_merges=K)

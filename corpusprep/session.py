@@ -32,7 +32,7 @@ def get_spark(master: str | None = None, app: str = "corpusprep", shuffle_partit
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g")))
+         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "12g")))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()

@@ -35,15 +35,18 @@ def main() -> None:
     q = queries()
     d = SF_DIR
 
-    def learn(spark, d):
-        return bl.learn_bpe(fx.table(spark, d, "documents"), "text", num_merges=LEARN_MERGES)
-
     merges_cache = {}
 
+    def learn(spark, d):
+        # the rounds run eagerly; the result is a small table of learned merges
+        merges_cache["m"] = bl.learn_bpe(fx.table(spark, d, "documents"), "text", num_merges=LEARN_MERGES)
+        return merges_cache["m"]
+
     def apply(spark, d):
-        if "m" not in merges_cache:
-            merges_cache["m"] = learn(spark, d).cache()
-        return ba.apply_bpe(fx.lines(spark, d), "text", merges_cache["m"], out_col="enc")
+        m = merges_cache.get("m")
+        if m is None:
+            m = learn(spark, d)
+        return ba.apply_bpe(fx.lines(spark, d), "text", m, out_col="enc")
 
     plan = [
         ("word_counts", q["word_counts"]),

@@ -26,7 +26,7 @@ stop at the first failure (never skip). The merge count comes from true pair cou
 published definition).
 
 Lineage: each round adds one projection; the type table is checkpointed every
-``checkpoint_every`` rounds into ``spark.checkpoint.dir``.
+every round into ``spark.checkpoint.dir`` (see ``_learn_loop``).
 """
 
 from __future__ import annotations
@@ -96,33 +96,6 @@ def _top_candidates(pairs: DataFrame, g: list[str], k: int, salt: int) -> DataFr
     return stage1.withColumn("__rn", F.row_number().over(w2)).filter(F.col("__rn") <= k).drop("__rn")
 
 
-def _accept(cands: list[tuple[int, str, str]], lmax: dict, rmax: dict, min_freq: int,
-            budget: int) -> tuple[list[tuple[str, str, int]], bool]:
-    """Exact multi-merge acceptance over candidates sorted by (freq, l, r) descending.
-    Returns (accepted, finished) where finished means no pair reaches ``min_freq``."""
-    acc: list[tuple[str, str, int]] = []
-    used: set[str] = set()
-    bound = None
-    for c, a, b in cands:
-        if len(acc) >= budget:
-            break
-        if c < min_freq:
-            # finished only when the best pair itself is too rare; after accepted merges a
-            # new pair may still reach the minimum, so the next round recounts
-            return acc, not acc
-        ab = a + b
-        if acc:
-            if a in used or b in used or ab in used:
-                break
-            if not c > bound:
-                break
-        acc.append((a, b, c))
-        used.update((a, b, ab))
-        lim = max(lmax.get(a, 0) + lmax.get(ab, 0), rmax.get(b, 0) + rmax.get(ab, 0))
-        bound = lim if bound is None else max(bound, lim)
-    return acc, False
-
-
 def _conflicts(c: str, d: str, acc: list[tuple[str, str, int]]) -> bool:
     """True when merging an accepted pair could change the count of ``(c, d)`` or the two
     merges could touch the same occurrence: merging ``(a, b)`` only alters pairs ``(x, a)``,
@@ -217,107 +190,143 @@ def learn_from_types(types: DataFrame, group_cols: list[str] | None = None, num_
         spark.conf.set("spark.sql.shuffle.partitions", parts)
 
 
+def _group_cond(gg: list[str], keys) -> Column:
+    cond = None
+    for key in keys:
+        c = None
+        for col, v in zip(gg, key):
+            e = F.col(col).eqNullSafe(F.lit(v))
+            c = e if c is None else c & e
+        cond = c if cond is None else cond | c
+    return cond
+
+
+def _holds_any(gg: list[str], pats: dict[tuple, list[str]]) -> Column:
+    """Rows of a group whose symbol string contains one of that group's patterns."""
+    cond = None
+    for key, ps in pats.items():
+        has = None
+        for pat in ps:
+            e = F.instr(F.col("sym"), pat) > 0
+            has = e if has is None else has | e
+        c = _group_cond(gg, [key]) & has
+        cond = c if cond is None else cond | c
+    return cond
+
+
+def _triple_stats(cur: DataFrame, gg: list[str], possible: dict[tuple, list[tuple[int, str, str]]]) -> dict:
+    """Per candidate pair the largest count of a triple ``x a b`` (TL) and ``a b y`` (TR),
+    computed only from the word types that hold one of the candidates."""
+    spark = cur.sparkSession
+    rows = [(*k, a, b) for k, lst in possible.items() for _, a, b in lst]
+    schema = ", ".join([f"`{c}` {cur.schema[c].dataType.simpleString()}" for c in gg]) + ", l string, r string"
+    cdf = F.broadcast(spark.createDataFrame(rows, schema))  # groups x candidates rows
+    pats = {k: [f" {a}  {b} " for _, a, b in lst] for k, lst in possible.items()}
+    hold = cur.filter(_holds_any(gg, pats))
+    sa = symbols_array(F.col("sym"))
+    pos = hold.select(*gg, "freq", sa.alias("__s")).select(*gg, "freq", "__s", F.posexplode("__s").alias("__i", "l"))
+    pos = pos.select(*gg, "freq", "l", F.get("__s", F.col("__i") + 1).alias("r"),
+                     F.get("__s", F.col("__i") - 1).alias("x"), F.get("__s", F.col("__i") + 2).alias("y")) \
+        .filter(F.col("r").isNotNull())
+    cj = pos.join(cdf, [*gg, "l", "r"], "left_semi")
+    tl = cj.filter(F.col("x").isNotNull()).groupBy(*gg, "l", "r", "x").agg(F.sum("freq").alias("c")) \
+        .groupBy(*gg, "l", "r").agg(F.max("c").cast("long").alias("c")).select(F.lit("TL").alias("k"), *gg, "l", "r", "c")
+    tr = cj.filter(F.col("y").isNotNull()).groupBy(*gg, "l", "r", "y").agg(F.sum("freq").alias("c")) \
+        .groupBy(*gg, "l", "r").agg(F.max("c").cast("long").alias("c")).select(F.lit("TR").alias("k"), *gg, "l", "r", "c")
+    out: dict[tuple, dict] = {}
+    for r in tl.unionByName(tr).collect():
+        key = tuple(r[c] for c in gg)
+        out.setdefault(key, {"TL": {}, "TR": {}})[r["k"]][(r["l"], r["r"])] = r["c"]
+    return out
+
+
 def _learn_loop(spark, types, group_cols, num_merges, min_frequency, candidates, checkpoint_every, max_rounds):
+    """Incremental rounds. The pair table is kept materialised; a round reads it for the
+    candidates and per-symbol maxima (one job), reads the word types holding the few candidates
+    that could be accepted for the triple bounds (one job), and after the merges re-explodes
+    only the word types that hold an accepted pair: their old pairs are subtracted and their new
+    pairs added (delta counts). Work per round follows the merged words, not the vocabulary."""
     g = list(group_cols or [])
     gg = g or ["__g"]
     if not g:
         types = types.withColumn("__g", F.lit(0))
     p = shuffle_partitions(spark)
     cur = cut_lineage(types.select(*gg, "sym", "freq").repartition(p, *gg, "sym"))
+    pairs = cut_lineage(pair_counts(cur, gg))
     learned: dict[tuple, list[tuple[str, str, int]]] = {}
     finished: set[tuple] = set()
-    stale: list[DataFrame] = []
     rnd = 0
     salt = max(1, p)
+    none = F.lit(None).cast("string")
     while True:
         rnd += 1
         if max_rounds is not None and rnd > max_rounds:
             break
-        live = cur
-        if finished:
-            # groups that are done take no further part (filter on a few group keys)
-            cond = None
-            for key in finished:
-                c = None
-                for col, v in zip(gg, key):
-                    e = F.col(col).eqNullSafe(F.lit(v))
-                    c = e if c is None else c & e
-                cond = c if cond is None else cond | c
-            live = cur.filter(~cond)
-        # one job per round: explode positions once; pair counts; top-k candidates; per-symbol
-        # maxima L/R; per-candidate triple maxima TL/TR (semi-join with the broadcast top-k)
-        sa = symbols_array(F.col("sym"))
-        pos = live.select(*gg, "freq", sa.alias("__s")).select(
-            *gg, "freq", "__s", F.posexplode("__s").alias("__i", "l"))
-        pos = pos.select(*gg, "freq", "l", F.get("__s", F.col("__i") + 1).alias("r"),
-                         F.get("__s", F.col("__i") - 1).alias("x"), F.get("__s", F.col("__i") + 2).alias("y")) \
-            .filter(F.col("r").isNotNull())
-        pairs = pos.groupBy(*gg, "l", "r").agg(F.sum("freq").cast("long").alias("freq"))
-        top = _top_candidates(pairs, gg, candidates, salt)
-        cj = pos.join(F.broadcast(top.select(*gg, "l", "r")), [*gg, "l", "r"], "left_semi")
-        none = F.lit(None).cast("string")
-        tl = cj.filter(F.col("x").isNotNull()).groupBy(*gg, "l", "r", "x").agg(F.sum("freq").alias("c")) \
-            .groupBy(*gg, "l", "r").agg(F.max("c").cast("long").alias("freq")).select(F.lit("TL").alias("kind"), *gg, "l", "r", "freq")
-        tr = cj.filter(F.col("y").isNotNull()).groupBy(*gg, "l", "r", "y").agg(F.sum("freq").alias("c")) \
-            .groupBy(*gg, "l", "r").agg(F.max("c").cast("long").alias("freq")).select(F.lit("TR").alias("kind"), *gg, "l", "r", "freq")
-        lm = pairs.groupBy(*gg, F.col("r").alias("s")).agg(F.max("freq").alias("freq")) \
+        live = pairs.filter(~_group_cond(gg, finished)) if finished else pairs
+        top = _top_candidates(live, gg, candidates, salt).select(F.lit("C").alias("kind"), *gg, "l", "r", "freq")
+        lm = live.groupBy(*gg, F.col("r").alias("s")).agg(F.max("freq").alias("freq")) \
             .select(F.lit("L").alias("kind"), *gg, F.col("s").alias("l"), none.alias("r"), "freq")
-        rm = pairs.groupBy(*gg, F.col("l").alias("s")).agg(F.max("freq").alias("freq")) \
+        rm = live.groupBy(*gg, F.col("l").alias("s")).agg(F.max("freq").alias("freq")) \
             .select(F.lit("R").alias("kind"), *gg, F.col("s").alias("l"), none.alias("r"), "freq")
-        topc = top.select(F.lit("C").alias("kind"), *gg, "l", "r", "freq")
-        rows = topc.unionByName(lm).unionByName(rm).unionByName(tl).unionByName(tr).collect()
-        for old in stale:  # the new generation is materialised now
-            old.unpersist()
-        stale = []
+        rows = top.unionByName(lm).unionByName(rm).collect()
         per: dict[tuple, dict] = {}
         for row in rows:
             key = tuple(row[c] for c in gg)
-            d = per.setdefault(key, {"C": [], "L": {}, "R": {}, "TL": {}, "TR": {}})
-            k = row["kind"]
-            if k == "C":
+            d = per.setdefault(key, {"C": [], "L": {}, "R": {}})
+            if row["kind"] == "C":
                 d["C"].append((row["freq"], row["l"], row["r"]))
-            elif k in ("L", "R"):
-                d[k][row["l"]] = row["freq"]
             else:
-                d[k][(row["l"], row["r"])] = row["freq"]
+                d[row["kind"]][row["l"]] = row["freq"]
+        possible: dict[tuple, list] = {}
+        for key, d in per.items():
+            d["C"].sort(key=lambda t: (t[0], t[1], t[2]), reverse=True)
+            budget = num_merges - len(learned.get(key, []))
+            if key not in finished and budget > 0 and d["C"]:
+                pp = _prefix_compatible(d["C"], min_frequency, budget)
+                if len(pp) > 1:
+                    possible[key] = pp
+        nb = _triple_stats(cur, gg, possible) if possible else {}
         step: dict[tuple, list[tuple[str, str]]] = {}
         for key, d in per.items():
             if key in finished:
                 continue
             budget = num_merges - len(learned.get(key, []))
-            cands = sorted(d["C"], key=lambda t: (t[0], t[1], t[2]), reverse=True)
+            cands = d["C"]
             if budget <= 0 or not cands:
                 finished.add(key)
                 continue
             # a pair outside the top-k list has a count of at most the k-th count
             floor = cands[-1][0] if len(cands) >= candidates else 0
             pc = _PairCounts({(a, b): c for c, a, b in cands}, floor)
-            acc, done = _accept_exact(cands, d["L"], d["R"], d["TL"], d["TR"], pc, min_frequency, budget)
+            st = nb.get(key, {"TL": {}, "TR": {}})
+            acc, done = _accept_exact(cands, d["L"], d["R"], st["TL"], st["TR"], pc, min_frequency, budget)
             if acc:
                 learned.setdefault(key, []).extend(acc)
                 step[key] = [(a, b) for a, b, _ in acc]
             if done or len(learned.get(key, [])) >= num_merges:
                 finished.add(key)
+        # groups without any pair left are finished
+        for key in list(learned):
+            if key not in per:
+                finished.add(key)
         if not step:
             break
-        if len(gg) == 1 and gg == ["__g"]:
+        if gg == ["__g"]:
             expr = _merge_expr(F.col("sym"), step.get((0,), []))
         else:
             expr = F.col("sym")
             for key, ms in step.items():
-                cond = None
-                for col, v in zip(gg, key):
-                    e = F.col(col).eqNullSafe(F.lit(v))
-                    cond = e if cond is None else cond & e
-                expr = F.when(cond, _merge_expr(F.col("sym"), ms)).otherwise(expr)
-        prev = cur
-        cur = cur.select(*gg, expr.alias("sym"), "freq")
-        if rnd % checkpoint_every == 0:
-            cur = cut_lineage(cur)
-        else:
-            cur = cur.persist()
-        if prev.is_cached:
-            stale.append(prev)
+                expr = F.when(_group_cond(gg, [key]), _merge_expr(F.col("sym"), ms)).otherwise(expr)
+        touched = cur.filter(_holds_any(gg, {k: [f" {a}  {b} " for a, b in ms] for k, ms in step.items()}))
+        gone = pair_counts(touched.withColumn("freq", -F.col("freq")), gg)
+        born = pair_counts(touched.select(*gg, expr.alias("sym"), "freq"), gg)
+        new_pairs = pairs.unionByName(gone).unionByName(born).groupBy(*gg, "l", "r") \
+            .agg(F.sum("freq").cast("long").alias("freq")).filter(F.col("freq") > 0)
+        new_cur = cur.select(*gg, expr.alias("sym"), "freq")
+        # materialise the new generation into the reliable checkpoint directory before the next
+        # round reads it (a lazy chain of cached generations recomputes when parents are freed)
+        new_pairs, new_cur = cut_lineage(new_pairs), cut_lineage(new_cur)
+        cur, pairs = new_cur, new_pairs
         log.info("bpe round %d: %d merges accepted", rnd, sum(len(v) for v in step.values()))
     rows = []
     for key, ms in learned.items():

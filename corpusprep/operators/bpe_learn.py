@@ -5,25 +5,28 @@ group, where ``sym`` is the word as space-wrapped symbols ``' a  b  c</w> '``. I
 merge is the literal ``replace(sym, ' a  b ', ' ab ')``: whole symbols only, left to right,
 non-overlapping, evaluated in whole-stage codegen with no regex and no escaping.
 
-One round:
-1. pair counts: explode adjacent symbol pairs, ``groupBy(group, l, r).sum(freq)`` (partial
-   aggregation absorbs hot pairs);
-2. one collect of bounded size: the top ``candidates`` pairs per group by (freq, l, r)
-   descending (salted two-stage top-k, so a huge group never sorts in one task) plus, per
-   group, the highest pair count ending in / starting with each symbol (bounded by alphabet +
-   merges learned);
+One round (``_learn_loop``):
+1. from the materialised pair table ``(group..., l, r, freq)``, one collect of bounded size:
+   the top ``candidates`` pairs per group by (freq, l, r) descending (salted two-stage top-k,
+   so a huge group never sorts in one task) and, per group, the highest pair count ending in /
+   starting with each symbol (bounded by alphabet + merges learned);
+2. for the few candidates that could be accepted, one collect of triple maxima, read only from
+   the word types that hold those candidates;
 3. on the driver: accept a prefix of the candidates by the exact multi-merge rule (below);
-4. apply the accepted merges with one ``aggregate(merges, sym, replace)`` expression.
+4. apply the accepted merges with one ``aggregate(merges, sym, replace)`` expression, and update
+   the pair table by delta counts from the word types that held an accepted pair (old pairs
+   subtracted, new pairs added); partial aggregation absorbs hot pairs.
 
 Exact multi-merge rule. Walk the candidates in (freq, l, r) descending order; the first is
-the true best pair. Accept the next ``(a, b)`` only while (i) none of ``a``, ``b``, ``ab`` is a
-symbol used or created by an already accepted pair, and (ii) its count is strictly above
-``bound = max over accepted (x, y) of max(L[x] + L[xy], R[y] + R[xy])`` where ``L[s]`` is the
-highest count of a pair ending in ``s`` and ``R[s]`` of one starting with ``s``. A merge only
-creates pairs next to its occurrences, whose counts cannot exceed that bound, and accepted
-merges share no symbol, so they commute. The result equals learning one merge per round;
-stop at the first failure (never skip). The merge count comes from true pair counts (the
-published definition).
+the true best pair. Accept the next ``(c, d)`` only while (i) no accepted merge ``(a, b)`` can
+change its count or touch the same occurrence (merging ``(a, b)`` only alters pairs ``(x, a)``,
+``(b, y)`` and pairs holding ``ab``, so ``d != a``, ``c != b``, and created symbols stay
+distinct), and (ii) its count is strictly above every count a pair created this round can
+reach: ``(x, ab)`` needs a triple ``x a b`` (at most ``TL[a,b]``, plus existing ``(x, ab)``
+pairs, at most ``L[ab]``), symmetrically ``(ab, y)``; ``(ab, ab)`` and pairs of two created
+symbols need a specific old pair between them. Then the candidate is exactly what one merge per
+step would pick next, and accepted merges commute. Stop at the first failure (never skip).
+Counts are true pair counts (the published definition).
 
 Lineage: each round adds one projection; the type table is checkpointed every
 every round into ``spark.checkpoint.dir`` (see ``_learn_loop``).

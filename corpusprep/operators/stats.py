@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusprep.functions.text import END_OF_WORD, tokens
 from corpusprep.operators.order import ordered_scan
+from corpusprep.session import spread
 
 # Special tokens the trainer puts at the head of each vocabulary.
 SPECIALS = ["<unk>", "<blank>", "<s>", "</s>"]
@@ -19,7 +20,7 @@ SPECIALS = ["<unk>", "<blank>", "<s>", "</s>"]
 def word_counts(df: DataFrame, col: str = "text", group_cols: list[str] | None = None) -> DataFrame:
     """A1: ``(groups..., word, freq)`` over the whitespace tokens of ``col``."""
     g = list(group_cols or [])
-    words = df.select(*g, F.explode(tokens(col)).alias("word"))
+    words = spread(df.select(*g, col)).select(*g, F.explode(tokens(col)).alias("word"))
     return words.groupBy(*g, "word").agg(F.count(F.lit(1)).alias("freq"))
 
 

@@ -93,8 +93,10 @@ def test_bleu_chrf_equal_python(spark):
         df = frame(spark, hyps, refs)
         b = mt.corpus_bleu(df, "hyp", "ref", pair_cols=["pid"]).first()["bleu"]
         c = mt.corpus_chrf(df, "hyp", "ref", pair_cols=["pid"]).first()["chrf"]
+        cj = mt.corpus_chrf(df, "hyp", "ref", pair_cols=["pid"], engine="jvm").first()["chrf"]
         assert abs(b - round(py_bleu(hyps, refs), 4)) < 1e-9
         assert abs(c - round(py_chrf(hyps, refs), 4)) < 1e-9
+        assert c == cj
 
 
 def test_identity_and_disjoint(spark):

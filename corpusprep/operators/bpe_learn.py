@@ -29,7 +29,7 @@ step would pick next, and accepted merges commute. Stop at the first failure (ne
 Counts are true pair counts (the published definition).
 
 Lineage: each round adds one projection; the type table is checkpointed every
-every round into ``spark.checkpoint.dir`` (see ``_learn_loop``).
+every round into ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -82,10 +82,12 @@ def merge_pair(sym: Column, left: str, right: str) -> Column:
 
 
 def _merge_expr(sym: Column, merges: list[tuple[str, str]]) -> Column:
-    if not merges:
-        return sym
-    arr = F.array(*[F.struct(F.lit(f" {a}  {b} ").alias("p"), F.lit(f" {a}{b} ").alias("q")) for a, b in merges])
-    return F.aggregate(arr, sym, lambda acc, m: F.replace(acc, m["p"], m["q"]))
+    """Nested literal ``replace`` calls (whole-stage codegen; accepted merges of one round
+    commute, so their order inside the round does not matter)."""
+    out = sym
+    for a, b in merges:
+        out = F.replace(out, F.lit(f" {a}  {b} "), F.lit(f" {a}{b} "))
+    return out
 
 
 def _top_candidates(pairs: DataFrame, g: list[str], k: int, salt: int) -> DataFrame:
@@ -327,7 +329,7 @@ def _learn_loop(spark, types, group_cols, num_merges, min_frequency, candidates,
             .agg(F.sum("freq").cast("long").alias("freq")).filter(F.col("freq") > 0)
         new_cur = cur.select(*gg, expr.alias("sym"), "freq")
         # materialise the new generation into the reliable checkpoint directory before the next
-        # round reads it (a lazy chain of cached generations recomputes when parents are freed)
+        # round reads it (several consumers per round; a lazy chain would be re-evaluated by each)
         new_pairs, new_cur = cut_lineage(new_pairs), cut_lineage(new_cur)
         cur, pairs = new_cur, new_pairs
         log.info("bpe round %d: %d merges accepted", rnd, sum(len(v) for v in step.values()))

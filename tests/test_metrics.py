@@ -92,6 +92,8 @@ def test_bleu_chrf_equal_python(spark):
         hyps, refs = corpus(seed)
         df = frame(spark, hyps, refs)
         b = mt.corpus_bleu(df, "hyp", "ref", pair_cols=["pid"]).first()["bleu"]
+        bj = mt.corpus_bleu(df, "hyp", "ref", pair_cols=["pid"], engine="jvm").first()["bleu"]
+        assert b == bj
         c = mt.corpus_chrf(df, "hyp", "ref", pair_cols=["pid"]).first()["chrf"]
         cj = mt.corpus_chrf(df, "hyp", "ref", pair_cols=["pid"], engine="jvm").first()["chrf"]
         assert abs(b - round(py_bleu(hyps, refs), 4)) < 1e-9

@@ -139,8 +139,10 @@ def rewrite_lines(df: DataFrame, fn: Callable[[str], str], text_col: str, index_
     X1 -> T7 cleanup. Every output line row carries ``n_in`` / ``n_out`` of its batch and
     ``shifted`` when they differ (the reference appends whatever comes back, so lines can
     shift before scoring)."""
+    from corpusprep.operators.order import ordered_scan
     prompts = build_prompt(df, text_col, index_col, batch_cols, header, first)
-    keyed = prompts.withColumn("batch_id", F.xxhash64(*batch_cols))
+    # an exact dense batch id (a 64-bit hash of the keys could collide at billions of batches)
+    keyed = ordered_scan(prompts, list(batch_cols), index="batch_id")
 
     def call(texts: list[str]) -> list[str]:
         return [fn(t) for t in texts]

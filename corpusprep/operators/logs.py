@@ -54,12 +54,6 @@ def best_per_run(scores: DataFrame, groups: list[str] | None = None) -> DataFram
         .select(*g, F.col("b.v").alias("max_value"), (-F.col("b.o")).cast("long").alias("best_ordinal"), "n_values")
 
 
-def series(scores: DataFrame, groups: list[str] | None = None) -> DataFrame:
-    """The full ordered series per run and metric (for the JSON score sink)."""
-    g = groups or ["run", "metric"]
-    return scores.groupBy(*g).agg(F.sort_array(F.collect_list(F.struct("ordinal", "value"))).alias("series"))
-
-
 def report(configs: DataFrame, best: DataFrame, settings: list[str], metric: str = "bleu",
            out: str = "max_bleu") -> DataFrame:
     """Configuration columns plus the best score of its run, sorted by the settings."""

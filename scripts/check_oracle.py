@@ -46,11 +46,12 @@ def digest(cols, rows):
 def main():
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
+    ap.add_argument("--partitions", type=int, default=None, help="spark.sql.shuffle.partitions")
     ap.add_argument("names", nargs="*")
     a = ap.parse_args()
     from corpusprep.session import get_spark
     from corpusprep.plans.registry import oracles, queries
-    spark = get_spark()
+    spark = get_spark(shuffle_partitions=a.partitions)
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{a.sf}/{t}.parquet')")

@@ -17,7 +17,7 @@ than about 1/P of the data.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusprep.session import cut_lineage, shuffle_partitions

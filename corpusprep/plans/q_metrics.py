@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from corpusprep.functions import text as tx
 from corpusprep.operators import metrics as mt

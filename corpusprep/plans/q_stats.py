@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from corpusprep.functions.text import WS_CLASS, split_punctuation
 from corpusprep.operators.stats import build_vocab, corpus_stats, vocab_by_freq, word_counts

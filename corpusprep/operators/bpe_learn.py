@@ -234,12 +234,15 @@ def _triple_stats(cur: DataFrame, gg: list[str], possible: dict[tuple, list[tupl
                      F.get("__s", F.col("__i") - 1).alias("x"), F.get("__s", F.col("__i") + 2).alias("y")) \
         .filter(F.col("r").isNotNull())
     cj = pos.join(cdf, [*gg, "l", "r"], "left_semi")
-    tl = cj.filter(F.col("x").isNotNull()).groupBy(*gg, "l", "r", "x").agg(F.sum("freq").alias("c")) \
-        .groupBy(*gg, "l", "r").agg(F.max("c").cast("long").alias("c")).select(F.lit("TL").alias("k"), *gg, "l", "r", "c")
-    tr = cj.filter(F.col("y").isNotNull()).groupBy(*gg, "l", "r", "y").agg(F.sum("freq").alias("c")) \
-        .groupBy(*gg, "l", "r").agg(F.max("c").cast("long").alias("c")).select(F.lit("TR").alias("k"), *gg, "l", "r", "c")
+    # left and right neighbours in one stream: (side, l, r, neighbour) -> sum -> max per side
+    nb = cj.select(*gg, "l", "r", "freq", F.explode(F.array(
+        F.struct(F.lit("TL").alias("k"), F.col("x").alias("n")),
+        F.struct(F.lit("TR").alias("k"), F.col("y").alias("n")))).alias("s"))
+    nb = nb.filter(F.col("s.n").isNotNull()).select(*gg, "l", "r", "freq", F.col("s.k").alias("k"), F.col("s.n").alias("n"))
+    both = nb.groupBy(*gg, "k", "l", "r", "n").agg(F.sum("freq").alias("c")) \
+        .groupBy(*gg, "k", "l", "r").agg(F.max("c").cast("long").alias("c"))
     out: dict[tuple, dict] = {}
-    for r in tl.unionByName(tr).collect():
+    for r in both.collect():
         key = tuple(r[c] for c in gg)
         out.setdefault(key, {"TL": {}, "TR": {}})[r["k"]][(r["l"], r["r"])] = r["c"]
     return out

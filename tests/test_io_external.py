@@ -120,3 +120,31 @@ def test_streaming_row_operators(spark, tmp):
     q2.awaitTermination(120)
     enc = sorted(r.enc for r in spark.read.parquet(os.path.join(tmp, "s")).collect())
     assert "f@@ o@@ o , bar ." in enc
+
+
+def test_dataset_and_score_sinks(spark, tmp):
+    from corpusprep.sources.sinks import write_dataset, write_scores
+    df = spark.createDataFrame([("all", "eng", "train", 0, "a b"), ("bible", "nyn", "dev", 1, "c")],
+                               "variant string, lang string, split string, line_no long, text string")
+    write_dataset(df, os.path.join(tmp, "ds"))
+    back = spark.read.parquet(os.path.join(tmp, "ds")).filter(F.col("variant") == "bible")
+    assert [(r.lang, r.split, r.text) for r in back.collect()] == [("nyn", "dev", "c")]
+    scores = spark.createDataFrame([("output_0", "bleu", 1, 3.5), ("output_0", "bleu", 2, 4.0)],
+                                   "run string, metric string, ordinal long, value double")
+    best = spark.createDataFrame([("output_0", "bleu", 4.0, 2, 2)],
+                                 "run string, metric string, max_value double, best_ordinal long, n_values long")
+    write_scores(scores, best, os.path.join(tmp, "sc"))
+    assert spark.read.parquet(os.path.join(tmp, "sc", "series")).count() == 2
+    assert spark.read.json(os.path.join(tmp, "sc", "best")).first()["max_value"] == 4.0
+
+
+def test_read_predictions_and_logs(spark, tmp):
+    d = os.path.join(tmp, "results", "output_7")
+    os.makedirs(d)
+    write(os.path.join(d, "preds_model_step_256.txt"), "lo@@ w\nx\n")
+    write(os.path.join(d, "train.log"), "validation BLEU: 1.5\n")
+    p = src.read_predictions(spark, os.path.join(tmp, "results", "output_*", "preds*.txt"))
+    assert sorted((r.run, r.step, r.line_no, r.text) for r in p.collect()) == \
+        [("output_7", 256, 0, "lo@@ w"), ("output_7", 256, 1, "x")]
+    lg = src.read_logs(spark, os.path.join(tmp, "results", "output_*", "*.log"))
+    assert [(r.run, r.line_no, r.text) for r in lg.collect()] == [("output_7", 0, "validation BLEU: 1.5")]

@@ -48,11 +48,18 @@ def main() -> None:
             m = learn(spark, d)
         return ba.apply_bpe(fx.lines(spark, d), "text", m, out_col="enc")
 
+    def apply_distinct(spark, d):
+        m = merges_cache.get("m")
+        if m is None:
+            m = learn(spark, d)
+        return ba.apply_bpe_distinct(fx.lines(spark, d), "text", ["doc_id", "line_no"], m)
+
     plan = [
         ("word_counts", q["word_counts"]),
         ("align_by_key", q["align_by_key"]),
         ("learn_bpe_200", learn),
         ("apply_bpe_200", apply),
+        ("apply_bpe_200_distinct", apply_distinct),
         ("corpus_bleu", q["corpus_bleu"]),
         ("corpus_chrf", q["corpus_chrf"]),
         ("score_runs", q["score_runs"]),

@@ -158,3 +158,11 @@ def test_apply_groups(spark):
     merges = spark.createDataFrame([("x", 0, "l", "o"), ("x", 1, "lo", "w</w>")], "g string, rank long, left string, right string")
     out = {r.g: r.enc for r in ba.apply_bpe_groups(df, "text", merges, ["g"], out_col="enc").collect()}
     assert out == {"x": "lo@@ w@@ e@@ r low", "y": "l@@ o@@ w@@ e@@ r l@@ o@@ w"}
+
+
+def test_distinct_plan_equals_narrow(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    merges = bl.learn_bpe(docs, "text", num_merges=25)
+    a = {r.doc_id: r.enc for r in ba.apply_bpe(docs, "text", merges, out_col="enc").collect()}
+    b = {r.doc_id: r.enc for r in ba.apply_bpe_distinct(docs, "text", ["doc_id"], merges).collect()}
+    assert a == b

@@ -168,12 +168,14 @@ def _verdicts(docs: DataFrame, text: str, min_hosts: int) -> DataFrame:
 def drop_templates(docs: DataFrame, text: str = "text", min_hosts: int = MIN_HOSTS) -> DataFrame:
     """``docs`` with the lines of recurring templates gone from ``text``, plus ``n_lines`` (with a
     token, before), ``n_dropped`` and ``dropped`` (their numbers, from 0)."""
-    verdict = _verdicts(docs, text, min_hosts)
-    d = docs.withColumn("__key", text_key(text)).join(verdict, F.col("__key") == F.col("k"), "left").drop("__key", "k")
-    dropped: Column = F.coalesce("dropped", F.array().cast("array<int>"))
+    verdict = _verdicts(docs, text, min_hosts).select(F.col("k").alias("__k"), F.col("dropped").alias("__dropped"))
+    d = docs.withColumn("__key", text_key(text)).join(verdict, F.col("__key") == F.col("__k"), "left")
+    dropped: Column = F.col("__dropped")
     lines = F.split(F.col(text), "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("dropped"), i)), "\n")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(dropped, i)), "\n")
     return d.withColumns({
         "n_lines": F.size(F.filter(F.split(text_of(text), "\n"), lambda x: x.rlike(r"\S"))).cast("long"),
-        text: F.when(F.col("dropped").isNotNull(), kept).otherwise(F.col(text)),
-    }).withColumn("dropped", dropped).withColumn("n_dropped", F.size("dropped").cast("long"))
+        text: F.when(dropped.isNotNull(), kept).otherwise(F.col(text)),
+        "n_dropped": F.when(dropped.isNotNull(), F.size(dropped)).otherwise(0).cast("long"),
+        "dropped": F.coalesce(dropped, F.array().cast("array<int>")),
+    }).drop("__key", "__k", "__dropped")

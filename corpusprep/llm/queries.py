@@ -54,6 +54,32 @@ def op10_line_template_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_templates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "dropped", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_benchmark_decontamination, op4_ngram_jaccard_join,
-                                   op8_hilbert_sharding, op9_cost_balanced_packing, op10_line_template_dedup)}
+def op3_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusprep.llm.pii import KINDS, pseudonymise
+
+    d = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", *[f"n_{k}" for k in KINDS], "text")
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusprep.llm.secrets import digest, secret_spans
+
+    return digest(secret_spans(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusprep.llm.language import identify
+
+    return identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusprep.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_benchmark_decontamination, op3_pii_feistel, op4_ngram_jaccard_join,
+                                   op5_secret_scan, op6_language_id, op7_html_extraction, op8_hilbert_sharding,
+                                   op9_cost_balanced_packing, op10_line_template_dedup)}
 ORACLES: dict[str, str] = {}

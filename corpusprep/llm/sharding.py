@@ -59,6 +59,13 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+def _below(value: Column, cuts: list) -> Column:
+    """How many of the ascending ``cuts`` are at most ``value``."""
+    if not cuts:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*[F.lit(v) for v in cuts]), lambda cut: cut <= value))
+
+
 def _cells(df: DataFrame, dimensions: list[str], bits: int) -> list[Column]:
     """The cell of each dimension, 0 for NULL."""
     top = (1 << bits) - 1
@@ -71,8 +78,7 @@ def _cells(df: DataFrame, dimensions: list[str], bits: int) -> list[Column]:
     out = []
     for c in dimensions:
         if c in cuts:
-            edges = F.array(*[F.lit(v) for v in cuts[c]]) if cuts[c] else F.array(F.lit(0))
-            cell = F.size(F.filter(edges, lambda e, v=F.col(c): e <= v)) if cuts[c] else F.lit(0)
+            cell = _below(F.col(c), cuts[c])
         else:
             cell = F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(top + 1))
         out.append(F.when(F.col(c).isNull(), 0).otherwise(F.least(cell, F.lit(top))).cast("int"))

@@ -26,6 +26,8 @@ def main() -> None:
                       extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-ckpt-")})
     spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
 
+    spark.conf.set("corpusprep.scan.partitions", CPUS)  # the tables are one small file each
+
     from corpusprep.operators import bpe_apply as ba
     from corpusprep.operators import bpe_learn as bl
     from corpusprep.plans import fixtures as fx

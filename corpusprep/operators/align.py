@@ -41,12 +41,16 @@ def align_by_key(src: DataFrame, tgt: DataFrame, lowercase: bool = False) -> Dat
 
 def alignment_rejects(src: DataFrame, tgt: DataFrame) -> DataFrame:
     """Source rows dropped by J1 with the reason, in the reference's test order:
-    ``src_empty`` -> ``not_in_target`` -> ``tgt_empty``."""
+    ``src_empty`` -> ``not_in_target`` -> ``tgt_empty``. A source row that already carries a
+    ``reason`` (a line that the keyed source rejected) keeps it."""
     t = last_per_key(tgt, "key", "line_no", "text").withColumnRenamed("text", "tgt")
-    s = src.select("line_no", "key", F.col("text").alias("src"))
+    t = t.withColumn("__found", F.lit(True))
+    before = F.col("reason") if "reason" in src.columns else F.lit(None).cast("string")
+    s = src.select("line_no", "key", F.col("text").alias("src"), before.alias("__before"))
     j = s.join(t, "key", "left")
-    reason = (F.when(F.col("src") == "", "src_empty")
-              .when(F.col("tgt").isNull(), "not_in_target")
+    reason = (F.when(F.col("__before").isNotNull(), F.col("__before"))
+              .when(F.col("src") == "", "src_empty")
+              .when(F.col("__found").isNull(), "not_in_target")
               .when(F.col("tgt") == "", "tgt_empty"))
     return j.select("line_no", "key", reason.alias("reason")).filter(F.col("reason").isNotNull())
 
@@ -63,9 +67,9 @@ def zip_lines(a: DataFrame, b: DataFrame, on: list[str] | str = "line_no", stric
     row raises (checked with one ``isEmpty`` action, not a collect).
     """
     keys = [on] if isinstance(on, str) else list(on)
-    j = a.select(*keys, F.col("text").alias(a_name)).join(
-        b.select(*keys, F.col("text").alias(b_name)), keys, "full_outer")
-    status = (F.when(F.col(a_name).isNull(), "b_only").when(F.col(b_name).isNull(), "a_only")
+    j = a.select(*keys, F.col("text").alias(a_name), F.lit(True).alias("__a")).join(
+        b.select(*keys, F.col("text").alias(b_name), F.lit(True).alias("__b")), keys, "full_outer")
+    status = (F.when(F.col("__a").isNull(), "b_only").when(F.col("__b").isNull(), "a_only")
               .otherwise("ok"))
     out = j.select(*keys, a_name, b_name, status.alias("status"))
     if strict and not out.filter(F.col("status") != "ok").isEmpty():

@@ -66,7 +66,7 @@ def freeze(df: DataFrame, frozen: dict) -> DataFrame:
     cond = None
     for k, v in frozen.items():
         if isinstance(v, (list, tuple, set, dict)):
-            raise ValueError("a freeze setting value cannot be a collection")
+            raise ValueError(f"setting {k!r} is frozen to {type(v).__name__}: give one value")
         if k not in df.columns:
             continue
         c = F.col(k) == F.lit(v)
@@ -93,10 +93,10 @@ def must_include(grid: DataFrame, must: dict[str, list], frozen: dict | None = N
     frozen = frozen or {}
     for k, v in must.items():
         if not isinstance(v, list):
-            raise ValueError("all must-include setting values must be lists")
+            raise ValueError(f"setting {k!r}: give the required values as a list, not as {type(v).__name__}")
     for k, v in frozen.items():
         if k in must and v not in must[k]:
-            raise ValueError("every frozen value must be among the must-include values")
+            raise ValueError(f"setting {k!r} is frozen to {v!r}, which is not among its required values")
     if not must:
         return grid.limit(0)
     spark = grid.sparkSession

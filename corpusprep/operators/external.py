@@ -9,7 +9,6 @@ missing.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 import pandas as pd
@@ -17,13 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusprep.functions.text import WS_CLASS
 from corpusprep.operators.align import last_per_key, pending_batches
 
-# The request header put before the numbered lines of a rewrite prompt.
-PROMPT_HEADER = "Improve the fluency and readability of these translations:"
 # Line boundaries of Python's str.splitlines, as a regex (Java and RE2).
 LINE_BREAKS = r"\r\n|[\n\r\x{0B}\x{0C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
-_WS = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_WS = WS_CLASS
 
 RESULT_SCHEMA = T.StructType([
     T.StructField("batch_id", T.LongType()),
@@ -34,7 +32,7 @@ RESULT_SCHEMA = T.StructType([
 
 
 def build_prompt(df: DataFrame, text_col: str, index_col: str, batch_cols: list[str],
-                 header: str = PROMPT_HEADER, first: int = 1) -> DataFrame:
+                 header: str, first: int = 1) -> DataFrame:
     """Per batch, ``header`` then ``"{n}. {line}"`` items, all joined by a blank line.
     ``n`` is the 0-based ``index_col`` plus ``first`` (the reference numbers from ``first=2``).
     Batches hold a fixed, small number of lines, so the ordered list per batch is bounded."""
@@ -45,15 +43,19 @@ def build_prompt(df: DataFrame, text_col: str, index_col: str, batch_cols: list[
         F.count(F.lit(1)).alias("n_lines"))
 
 
+def _numbered_lines(col) -> F.Column:
+    """T7 on a column: the non-blank lines of a response without their leading ``N.``."""
+    c = F.regexp_replace(F.regexp_replace(col, r"\A" + _WS + "+", ""), _WS + r"+\z", "")
+    kept = F.filter(F.split(c, LINE_BREAKS, -1), lambda x: F.regexp_replace(x, _WS, "") != "")
+    return F.transform(kept, lambda x: F.regexp_replace(x, r"^\p{Nd}+\." + _WS + "*", ""))
+
+
 def clean_numbered(df: DataFrame, col: str) -> DataFrame:
     """A numbered response -> one row per non-blank line, leading ``N.`` and the
     whitespace after it removed; ``pos`` is the position among the kept lines."""
-    c = F.regexp_replace(F.regexp_replace(F.col(col), r"\A" + _WS + "+", ""), _WS + r"+\z", "")
-    kept = F.filter(F.split(c, LINE_BREAKS, -1), lambda x: F.regexp_replace(x, _WS, "") != "")
     keep = [x for x in df.columns if x != col]
-    return df.select(*keep, F.posexplode(kept).alias("pos", "__l")) \
-        .select(*keep, F.col("pos").cast("long").alias("pos"),
-                F.regexp_replace("__l", r"^\p{Nd}+\." + _WS + "*", "").alias("line"))
+    return df.select(*keep, F.posexplode(_numbered_lines(F.col(col))).alias("pos", "line")) \
+        .select(*keep, F.col("pos").cast("long").alias("pos"), "line")
 
 
 def map_batches(df: DataFrame, fn: Callable[[list[str]], list[str]], batch_col: str = "batch_id",
@@ -84,7 +86,7 @@ def map_batches(df: DataFrame, fn: Callable[[list[str]], list[str]], batch_col:
                 except Exception as e:  # noqa: BLE001 - failures are data here
                     outs.append(None)
                     status.append("error")
-                    errs.append(f"{type(e).__name__}: {e}"[:1000])
+                    errs.append(f"{type(e).__name__}: {e}")
             yield pd.DataFrame({"batch_id": pdf["batch_id"], "outputs": outs, "status": status, "error": errs})
 
     return src.mapInPandas(run, RESULT_SCHEMA)
@@ -92,53 +94,54 @@ def map_batches(df: DataFrame, fn: Callable[[list[str]], list[str]], batch_col:
 
 def run_resumable(batches: DataFrame, store_path: str, fn: Callable[[list[str]], list[str]],
                   batch_col: str = "batch_id", texts_col: str = "texts",
-                  partitions: int | None = None) -> DataFrame:
+                  partitions: int | None = None, waves: int = 1) -> DataFrame:
     """J4 against the store -> X1 on the pending batches -> append to the store (Parquet,
     one row per attempt). Returns the current store view: per batch the last attempt wins.
-    Rerunning is idempotent: finished batches are never called again."""
+    Rerunning is idempotent: finished batches are never called again.
+
+    The pending batches go in ``waves`` (by a hash of the batch id), each committed before the next
+    begins, so that a run that dies loses the calls of one wave at most."""
     spark = batches.sparkSession
     b = batches.select(F.col(batch_col).cast("long").alias("batch_id"), F.col(texts_col).alias("texts"))
+    attempt = 1
     if _exists(spark, store_path):
-        store = spark.read.parquet(store_path)
-        done = last_per_key(store, "batch_id", "attempt", ["outputs", "status"])
-        done = done.filter(F.col("status") == "ok")
-        attempt = (store.agg(F.max("attempt")).first()[0] or 0) + 1
-        todo = pending_batches(b, done)
-    else:
-        attempt = 1
-        todo = b
-    res = map_batches(todo, fn, "batch_id", "texts", partitions).withColumn("attempt", F.lit(attempt).cast("long"))
-    res.write.mode("append").parquet(store_path)
-    store = spark.read.parquet(store_path)
-    return last_per_key(store, "batch_id", "attempt", ["outputs", "status", "error"])
+        attempt = (spark.read.parquet(store_path).agg(F.max("attempt")).first()[0] or 0) + 1
+    for wave in range(waves):
+        todo = b if waves == 1 else b.filter(F.pmod(F.xxhash64("batch_id"), F.lit(waves)) == wave)
+        if _exists(spark, store_path):
+            done = last_per_key(spark.read.parquet(store_path), "batch_id", "attempt", ["outputs", "status"])
+            todo = pending_batches(todo, done.filter(F.col("status") == "ok"))
+        res = map_batches(todo, fn, "batch_id", "texts", partitions).withColumn("attempt", F.lit(attempt).cast("long"))
+        res.write.mode("append").parquet(store_path)
+    return last_per_key(spark.read.parquet(store_path), "batch_id", "attempt", ["outputs", "status", "error"])
 
 
 def _exists(spark, path: str) -> bool:
-    if "://" not in path and not path.startswith("/"):
-        return os.path.exists(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
+    """Whether Spark's file system has ``path`` (a relative path is the default file system's)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def to_pairs(lines: DataFrame, outputs: DataFrame, key_cols: list[str], pos_col: str = "pos") -> DataFrame:
-    """Synthetic pairs: flattened batch outputs (W7) zipped with the original lines on
-    (batch key, position in batch). Lines: ``(*key_cols, pos, text)``; outputs: ``(*key_cols,
-    outputs)``. Result ``(*key_cols, pos, src, tgt)`` where ``src`` is the output."""
-    from corpusprep.operators.batching import flatten_batches
-    flat = flatten_batches(outputs, key_cols, "outputs").withColumnRenamed("line", "src")
-    return lines.select(*key_cols, pos_col, F.col("text").alias("tgt")) \
-        .join(flat, [*key_cols, pos_col], "inner").select(*key_cols, pos_col, "src", "tgt")
+    """Synthetic pairs: batch outputs zipped with the original lines on (batch key, position
+    in batch). Lines: ``(*key_cols, pos, text)``; outputs: one row per batch ``(*key_cols, outputs,
+    status)``. Result ``(*key_cols, pos, src, tgt, status)`` with a row for every line: ``src`` is
+    the output, NULL where its batch failed (the batch's status), was not run (``no_batch``) or
+    came back too short (``no_output``)."""
+    o = outputs.select(*key_cols, F.col("outputs").alias("__o"), F.col("status").alias("__s"))
+    j = lines.select(*key_cols, pos_col, F.col("text").alias("tgt")).join(o, key_cols, "left")
+    src = F.when(F.col("__s") == "ok", F.get("__o", F.col(pos_col).cast("int")))
+    status = F.when(F.col("__s").isNull(), "no_batch").when((F.col("__s") == "ok") & src.isNull(), "no_output").otherwise(F.col("__s"))
+    return j.select(*key_cols, pos_col, src.alias("src"), "tgt", status.alias("status"))
 
 
 def rewrite_lines(df: DataFrame, fn: Callable[[str], str], text_col: str, index_col: str,
-                  batch_cols: list[str], header: str = PROMPT_HEADER, first: int = 1,
+                  batch_cols: list[str], header: str, first: int = 1,
                   partitions: int | None = None) -> DataFrame:
     """W2 batches (given as ``batch_cols``) -> T8 prompt -> ``fn(prompt) -> response`` via
-    X1 -> T7 cleanup. Every output line row carries ``n_in`` / ``n_out`` of its batch and
-    ``shifted`` when they differ (the reference appends whatever comes back, so lines can
-    shift before scoring)."""
+    X1 -> T7 cleanup. Every output line carries ``n_in`` / ``n_out`` and the ``status`` of its batch,
+    and ``shifted`` when the counts differ. A batch that failed or came back empty is one row
+    with NULL ``pos`` and ``line`` and ``n_out`` 0; ``fn`` is called once for each batch."""
     from corpusprep.operators.order import ordered_scan
     prompts = build_prompt(df, text_col, index_col, batch_cols, header, first)
     # an exact dense batch id (a 64-bit hash of the keys could collide at billions of batches)
@@ -148,9 +151,8 @@ def rewrite_lines(df: DataFrame, fn: Callable[[str], str], text_col: str, index_
         return [fn(t) for t in texts]
 
     res = map_batches(keyed.select("batch_id", F.array("prompt").alias("texts")), call, partitions=partitions)
-    res = res.select("batch_id", F.col("outputs")[0].alias("response"), "status")
+    res = res.select("batch_id", _numbered_lines(F.get("outputs", F.lit(0))).alias("__l"), "status")
     joined = keyed.select(*batch_cols, "batch_id", F.col("n_lines").alias("n_in")).join(res, "batch_id")
-    lines = clean_numbered(joined, "response")
-    n_out = lines.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_out"))
-    return lines.join(n_out, "batch_id", "left").fillna(0, ["n_out"]) \
-        .withColumn("shifted", F.col("n_in") != F.col("n_out")).drop("batch_id")
+    n_out = F.coalesce(F.size("__l"), F.lit(0)).cast("long")
+    return joined.select(*batch_cols, "n_in", n_out.alias("n_out"), "status", F.posexplode_outer("__l").alias("pos", "line")) \
+        .select(*batch_cols, "n_in", "status", F.col("pos").cast("long").alias("pos"), "line", "n_out", (F.col("n_in") != F.col("n_out")).alias("shifted"))

@@ -28,7 +28,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusprep.functions.text import WS_CLASS, tokens
-from corpusprep.session import spread
 
 # The 13a tokenizer's symbol class (ASCII ranges {-~, [-`, space-&, (-+, :-@, /).
 _SYM_13A = r"([\x{7B}-\x{7E}\x{5B}-\x{60}\x{20}-\x{26}\x{28}-\x{2B}\x{3A}-\x{40}\x{2F}])"
@@ -166,6 +165,19 @@ def _bleu_sentence_stats():
     return stats
 
 
+def _bleu_sums(stats: str, tag: str = "") -> list[Column]:
+    out = []
+    for n in range(1, BLEU_ORDER + 1):
+        out.append(F.sum(F.get(stats, 2 * (n - 1))).cast("long").alias(f"{tag}hyp{n}"))
+        out.append(F.sum(F.get(stats, 2 * (n - 1) + 1)).cast("long").alias(f"{tag}match{n}"))
+    return [*out, F.sum(F.get(stats, 2 * BLEU_ORDER)).cast("long").alias(f"{tag}ref1")]
+
+
+def _chrf_sums(stats: str, tag: str = "") -> list[Column]:
+    return [F.sum(F.get(stats, 3 * (n - 1) + j)).cast("long").alias(f"{tag}{c}{n}")
+            for n in range(1, CHRF_ORDER + 1) for j, c in enumerate(("hyp", "ref", "match"))]
+
+
 def corpus_bleu(df: DataFrame, hyp: str, ref: str, group_cols: list[str] | None = None,
                 pair_cols: list[str] | None = None, engine: str = "arrow") -> DataFrame:
     """``(groups..., bleu, sys_len, ref_len)``; ``bleu`` rounded to 4 decimals.
@@ -176,12 +188,8 @@ def corpus_bleu(df: DataFrame, hyp: str, ref: str, group_cols: list[str] | None
     sentence pair there (clipping is per sentence); default: a row id."""
     g = list(group_cols or [])
     if engine == "arrow":
-        st = spread(df.select(*g, hyp, ref)).select(*g, _bleu_sentence_stats()(F.col(hyp), F.col(ref)).alias("__s"))
-        aggs = []
-        for n in range(1, BLEU_ORDER + 1):
-            aggs.append(F.sum(F.get("__s", 2 * (n - 1))).cast("long").alias(f"hyp{n}"))
-            aggs.append(F.sum(F.get("__s", 2 * (n - 1) + 1)).cast("long").alias(f"match{n}"))
-        aggs.append(F.sum(F.get("__s", 2 * BLEU_ORDER)).cast("long").alias("ref1"))
+        st = df.select(*g, _bleu_sentence_stats()(F.col(hyp), F.col(ref)).alias("__s"))
+        aggs = _bleu_sums("__s")
         st = st.groupBy(*g).agg(*aggs) if g else st.agg(*aggs)
     else:
         k = list(pair_cols or [])
@@ -238,12 +246,9 @@ def corpus_chrf(df: DataFrame, hyp: str, ref: str, group_cols: list[str] | None
     character). ``engine="jvm"``: the n-gram explode + aggregation of ``ngram_stats``."""
     g = list(group_cols or [])
     if engine == "arrow":
-        st = spread(df.select(*g, hyp, ref)).select(
+        st = df.select(
             *g, _chrf_sentence_stats(CHRF_ORDER)(F.col(hyp), F.col(ref)).alias("__s"))
-        aggs = []
-        for n in range(1, CHRF_ORDER + 1):
-            for j, c in enumerate(("hyp", "ref", "match")):
-                aggs.append(F.sum(F.get("__s", 3 * (n - 1) + j)).cast("long").alias(f"{c}{n}"))
+        aggs = _chrf_sums("__s")
         st = st.groupBy(*g).agg(*aggs) if g else st.agg(*aggs)
     else:
         k = list(pair_cols or [])
@@ -266,13 +271,25 @@ def corpus_chrf(df: DataFrame, hyp: str, ref: str, group_cols: list[str] | None
 
 def score_runs(preds: DataFrame, refs: DataFrame, detok: bool = True) -> DataFrame:
     """BLEU and chrF of every prediction file ``(run, step, line_no, text)`` against the
-    reference lines ``(line_no, text)``, all files in one grouped job (join on ``line_no``)."""
+    reference lines ``(line_no, text)``: one join on ``line_no``, one Python pass, one group-by (a
+    file without step is one row). ``n_extra``: its lines without a reference, ``n_missing``:
+    references without a line of it; the scores are over the pairs, so a file with either is to be
+    looked at."""
     from corpusprep.functions.text import detokenise
     p = preds.select("run", "step", "line_no", (detokenise("text") if detok else F.col("text")).alias("hyp"))
-    j = p.join(refs.select("line_no", F.col("text").alias("ref")), "line_no", "inner")
-    b = corpus_bleu(j, "hyp", "ref", ["run", "step"], ["line_no"])
-    c = corpus_chrf(j, "hyp", "ref", ["run", "step"], ["line_no"])
-    return b.join(c, ["run", "step"], "full_outer")
+    r = refs.select("line_no", F.col("text").alias("ref"), F.lit(1).alias("__r"))
+    pair = F.col("__r").isNotNull()
+    j = p.join(r, "line_no", "left").select(
+        "run", "step", "__r", _bleu_sentence_stats()(F.when(pair, F.col("hyp")), F.col("ref")).alias("__b"),
+        _chrf_sentence_stats(CHRF_ORDER)(F.when(pair, F.col("hyp")), F.col("ref")).alias("__c"))
+    st = j.groupBy("run", "step").agg(*_bleu_sums("__b", "b_"), *_chrf_sums("__c", "c_"), F.count(F.lit(1)).alias("__n"), F.count("__r").alias("__m"))
+    total = refs.agg(F.count(F.lit(1))).first()[0]
+    of = lambda c, k: [F.col(f"{c}{n}") for n in range(1, k + 1)]
+    bleu = bleu_formula(F.col("b_hyp1"), F.col("b_ref1"), of("b_match", BLEU_ORDER), of("b_hyp", BLEU_ORDER))
+    chrf = chrf_formula(of("c_hyp", CHRF_ORDER), of("c_ref", CHRF_ORDER), of("c_match", CHRF_ORDER))
+    return st.select("run", "step", F.round(bleu, 4).alias("bleu"), F.col("b_hyp1").alias("sys_len"), F.col("b_ref1").alias("ref_len"),
+                     F.round(chrf, 4).alias("chrf"), (F.col("__n") - F.col("__m")).alias("n_extra"),
+                     (F.lit(total) - F.col("__m")).cast("long").alias("n_missing"))
 
 
 def compare_scores(df: DataFrame, ref: str, hyp_cols: list[str], pair_cols: list[str],

@@ -52,15 +52,18 @@ def ordered_scan(df: DataFrame, order: list, groups: list[str] | None = None,
     # at most P rows per group here, so an unpartitioned window is bounded by the partition count
     wo = (Window.partitionBy(*groups) if groups else Window).orderBy("__pid") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    offs = totals.select("__pid", *groups,
+    offs = totals.select(F.col("__pid").alias("__p"), *[F.col(c).alias(f"__g{i}") for i, c in enumerate(groups)],
                          F.coalesce(F.sum("__n").over(wo), F.lit(0)).alias("__on"),
                          *[F.coalesce(F.sum(f"__t_{out}").over(wo), F.lit(0)).alias(f"__o_{out}")
                            for out in sums])
-    res = local.join(offs, ["__pid", *groups], "inner")
+    same = F.col("__pid") == F.col("__p")
+    for i, c in enumerate(groups):
+        same &= local[c].eqNullSafe(F.col(f"__g{i}"))  # NULL is a group of its own
+    res = local.join(offs, same, "inner")
     res = res.withColumn(index, (F.col("__on") + F.col("__i")).cast("long"))
     for out in sums:
         res = res.withColumn(out, (F.col(f"__o_{out}") + F.col(f"__s_{out}")).cast("long"))
-    drop = ["__pid", "__i", "__on"] + [f"__s_{o}" for o in sums] + [f"__o_{o}" for o in sums]
+    drop = ["__pid", "__p", "__i", "__on"] + [f"__g{i}" for i in range(len(groups))] + [f"__s_{o}" for o in sums] + [f"__o_{o}" for o in sums]
     return res.drop(*drop)
 
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from corpusprep.functions.text import END_OF_WORD, tokens
 from corpusprep.operators.order import ordered_scan
-from corpusprep.session import spread
 
 # Special tokens the trainer puts at the head of each vocabulary.
 SPECIALS = ["<unk>", "<blank>", "<s>", "</s>"]
@@ -20,7 +19,7 @@ SPECIALS = ["<unk>", "<blank>", "<s>", "</s>"]
 def word_counts(df: DataFrame, col: str = "text", group_cols: list[str] | None = None) -> DataFrame:
     """A1: ``(groups..., word, freq)`` over the whitespace tokens of ``col``."""
     g = list(group_cols or [])
-    words = spread(df.select(*g, col)).select(*g, F.explode(tokens(col)).alias("word"))
+    words = df.select(*g, F.explode(tokens(col)).alias("word"))
     return words.groupBy(*g, "word").agg(F.count(F.lit(1)).alias("freq"))
 
 
@@ -56,16 +55,17 @@ def build_vocab(df: DataFrame, col: str, size: int = 10000, specials: list[str]
 
 def corpus_stats(df: DataFrame, col: str, group_cols: list[str], batch_tokens: int = 4096) -> DataFrame:
     """Lines, tokens, max/mean tokens per line, distinct words and steps per epoch
-    (``ceil(tokens / batch_tokens)``) per group. Distinct words are counted by a two-level
-    aggregation (group, word) -> group, never by collecting a set."""
+    (``ceil(tokens / batch_tokens)``) per group, from one two-level aggregation (group, word) ->
+    group, so that the input is evaluated once."""
     g = list(group_cols)
-    tok = df.select(*g, tokens(col).alias("__t"))
-    per = tok.select(*g, F.size("__t").alias("__n")).groupBy(*g).agg(
-        F.count(F.lit(1)).alias("lines"), F.sum("__n").cast("long").alias("tokens"),
-        F.max("__n").cast("long").alias("max_len"), F.round(F.avg("__n"), 4).alias("mean_len"))
-    dist = tok.select(*g, F.explode("__t").alias("__w")).dropDuplicates([*g, "__w"]) \
-        .groupBy(*g).agg(F.count(F.lit(1)).alias("distinct_words"))
-    out = per.join(dist, g, "left").fillna(0, ["distinct_words"])
+    each = df.select(*g, tokens(col).alias("__t")).select(*g, F.size("__t").alias("__n"), F.posexplode_outer("__t").alias("__p", "__w"))
+    # a line is counted at its first token, or at the one row that a blank line has
+    first = F.when(F.coalesce(F.col("__p"), F.lit(0)) == 0, 1)
+    words = each.groupBy(*g, "__w").agg(F.count(first).alias("__lines"), F.count("__w").alias("__c"), F.max("__n").alias("__n"))
+    out = words.groupBy(*g).agg(F.sum("__lines").alias("lines"), F.sum("__c").cast("long").alias("tokens"),
+                                F.max("__n").cast("long").alias("max_len"),
+                                F.round(F.sum("__c") / F.sum("__lines"), 4).alias("mean_len"),
+                                F.count("__w").alias("distinct_words"))
     return out.withColumn("steps_per_epoch", F.ceil(F.col("tokens") / F.lit(batch_tokens)).cast("long"))
 
 

@@ -25,7 +25,11 @@ LOG_LABELS = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. A caller whose files are too few for the cluster (one small file cannot be split)
+    sets ``corpusprep.scan.partitions``; by default a scan is as Spark plans it."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    n = spark.conf.get("corpusprep.scan.partitions", None)
+    return df.repartition(int(n)) if n else df
 
 
 # ----------------------------------------------------------------------------------------------

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpusprep.operators.batching import collect_batches, fixed_batches
 from corpusprep.operators.external import map_batches, rewrite_lines, to_pairs
 from corpusprep.plans import fixtures as fx
-from corpusprep.plans.q_text import _PROMPTS, D_NUM, d_clean
+from corpusprep.plans.q_text import _PROMPTS, D_NUM, HEADER, d_clean
 from corpusprep.plans.registry import register
 
 
@@ -24,6 +24,10 @@ def tag_lengths(texts: list[str]) -> list[str]:
 
 
 def echo_items(prompt: str) -> str:
+    if "###" in prompt:
+        raise ValueError("refused")
+    if "!!" in prompt:
+        return ""
     return prompt.split("\n\n", 1)[1] if "\n\n" in prompt else ""
 
 
@@ -57,20 +61,23 @@ def q_map_batches(spark, d):
 
 @register("to_pairs", oracle=fx.oracle(["lines"], """
     SELECT l.doc_id * 100000 + l.line_no // 5 AS batch_id, CAST(l.line_no % 5 AS BIGINT) AS pos,
-           '[' || CAST(length(l.text) AS VARCHAR) || '] ' || l.text AS src, l.text AS tgt
-    FROM lines l JOIN mapped m ON m.batch_id = l.doc_id * 100000 + l.line_no // 5
-    WHERE m.status = 'ok'""", [_D_MAP]))
+           CASE WHEN m.status = 'ok' THEN '[' || CAST(length(l.text) AS VARCHAR) || '] ' || l.text END AS src, l.text AS tgt, m.status
+    FROM lines l JOIN mapped m ON m.batch_id = l.doc_id * 100000 + l.line_no // 5""", [_D_MAP]))
 def q_to_pairs(spark, d):
     lines, res = _mapped(spark, d)
-    return to_pairs(lines.select("batch_id", "pos", "text"), res.select("batch_id", "outputs"), ["batch_id"])
+    return to_pairs(lines.select("batch_id", "pos", "text"), res.select("batch_id", "outputs", "status"), ["batch_id"])
 
 
 @register("rewrite_lines", oracle=fx.oracle(["lines"], f"""
-    SELECT doc_id, batch_no, pos, line, n_in, n_out, n_in <> n_out AS shifted, 'ok' AS status FROM (
-        SELECT doc_id, batch_no, CAST(unnest(range(len(l))) AS BIGINT) AS pos,
-               regexp_replace(unnest(l), {D_NUM}, '') AS line, n_lines AS n_in, CAST(len(l) AS BIGINT) AS n_out
-        FROM (SELECT doc_id, batch_no, n_lines, {d_clean('resp')} AS l FROM (
-              SELECT *, substring(prompt, strpos(prompt, chr(10) || chr(10)) + 2) AS resp FROM prompts)))""", [_PROMPTS]))
+    SELECT doc_id, batch_no, pos, CASE WHEN line IS NOT NULL THEN regexp_replace(line, {D_NUM}, '') END AS line,
+           n_in, n_out, n_in <> n_out AS shifted, status FROM (
+        SELECT doc_id, batch_no, n_lines AS n_in, status, CAST(len(l) AS BIGINT) AS n_out,
+               CAST(unnest(CASE WHEN len(l) = 0 THEN [NULL] ELSE range(len(l)) END) AS BIGINT) AS pos,
+               unnest(CASE WHEN len(l) = 0 THEN [NULL] ELSE l END) AS line
+        FROM (SELECT doc_id, batch_no, n_lines, status, CASE WHEN resp = '' THEN [] ELSE {d_clean('resp')} END AS l FROM (
+              SELECT *, CASE WHEN contains(prompt, '###') THEN 'error' ELSE 'ok' END AS status,
+                     CASE WHEN contains(prompt, '###') OR contains(prompt, '!!') THEN ''
+                          ELSE substring(prompt, strpos(prompt, chr(10) || chr(10)) + 2) END AS resp FROM prompts)))""", [_PROMPTS]))
 def q_rewrite_lines(spark, d):
     b = fixed_batches(fx.lines(spark, d), "line_no", 5)
-    return rewrite_lines(b, echo_items, "text", "line_no", ["doc_id", "batch_no"])
+    return rewrite_lines(b, echo_items, "text", "line_no", ["doc_id", "batch_no"], HEADER)

@@ -106,11 +106,14 @@ _PRED = f"""SELECT regexp_extract(p.path, 'output_[0-9]+', 0) AS run,
 
 
 @register("score_runs", oracle=fx.oracle(["pred_lines", "ref_lines"], f"""
-    SELECT b.run, b.step, b.bleu, b.sys_len, b.ref_len, c.chrf
+    SELECT b.run, b.step, b.bleu, b.sys_len, b.ref_len, c.chrf, u.n_extra, u.n_missing
     FROM ({d_bleu_select('run, step')}) b FULL OUTER JOIN (
         WITH {', '.join(f'{n} AS ({body})' for n, body in d_ngram_ctes(
             f"SELECT run, step, pair, {d_chars('hyp')} AS hu, {d_chars('ref')} AS ru FROM pj", 6, "", "run, step"))}
-        {d_chrf_select('run, step')}) c USING (run, step)""",
+        {d_chrf_select('run, step')}) c USING (run, step) JOIN (
+        SELECT run, step, CAST(count(*) - count(ref) AS BIGINT) AS n_extra,
+               CAST((SELECT count(*) FROM ref_lines) - count(ref) AS BIGINT) AS n_missing
+        FROM ({_PRED.replace('JOIN ref_lines', 'LEFT JOIN ref_lines')}) GROUP BY run, step) u USING (run, step)""",
     [("pj", _PRED)] + d_ngram_ctes(
         f"SELECT run, step, pair, {d_13a('hyp')} AS hu, {d_13a('ref')} AS ru FROM pj", 4, " ", "run, step")))
 def q_score_runs(spark, d):

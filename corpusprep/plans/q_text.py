@@ -105,9 +105,10 @@ def q_drop_empty_pairs(spark, d):
 
 # --- T8 / T7 on 5-line batches of each document ------------------------------------------------------
 
+HEADER = "Rewrite each numbered line:"
 _PROMPTS = ("prompts", f"""
     SELECT doc_id, line_no // 5 AS batch_no,
-           'Improve the fluency and readability of these translations:' || chr(10) || chr(10) ||
+           '{HEADER}' || chr(10) || chr(10) ||
            string_agg(CAST(line_no + 1 AS VARCHAR) || '. ' || text, chr(10) || chr(10) ORDER BY line_no) AS prompt,
            CAST(count(*) AS BIGINT) AS n_lines
     FROM lines GROUP BY doc_id, line_no // 5""")
@@ -116,7 +117,7 @@ _PROMPTS = ("prompts", f"""
 def _spark_prompts(spark, d):
     from corpusprep.operators.batching import fixed_batches
     b = fixed_batches(fx.lines(spark, d), "line_no", 5)
-    return build_prompt(b, "text", "line_no", ["doc_id", "batch_no"])
+    return build_prompt(b, "text", "line_no", ["doc_id", "batch_no"], HEADER)
 
 
 @register("build_prompt", oracle=fx.oracle(["lines"], "SELECT * FROM prompts", [_PROMPTS]))

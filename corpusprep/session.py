@@ -94,16 +94,3 @@ def ship_package(spark: SparkSession) -> None:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin repartition to the cluster's parallelism when ``df`` has fewer partitions
-    (e.g. a small file with one row group) before CPU-heavy per-row work; a frame that is
-    already wide enough (any large input) is returned unchanged, with no shuffle."""
-    if df.isStreaming:  # a stream's partitioning is the source's; nothing to inspect
-        return df
-    sc = df.sparkSession.sparkContext
-    want = sc.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df

@@ -107,17 +107,20 @@ def parse_records(df: DataFrame, col: str, fields: list[str]) -> DataFrame:
 # S4 merge table, S6 vocabulary, S7 word counts
 # ---------------------------------------------------------------------------------------------
 
-_VERSION_RE = re.compile(r"(\.0+)*$")
+_VERSION_LINE = re.compile(r"#version:\s*([0-9]+(?:\.[0-9]+)*)")
 
 
 def merges_version(df: DataFrame, col: str = "text") -> tuple[int, ...]:
     """Version of a merge table from its first line (``#version: a.b``; trailing ``.0`` groups
     dropped); a table without header is version 0.1. Reads one row."""
     first = df.filter(F.col("line_no") == 0).select(col).first()
-    line = first[0] if first else ""
-    if line and line.startswith("#version:"):
-        return tuple(int(x) for x in _VERSION_RE.sub("", line.split()[-1]).split("."))
-    return (0, 1)
+    found = _VERSION_LINE.match(first[0] or "") if first else None
+    if not found:
+        return (0, 1)
+    numbers = [int(x) for x in found[1].split(".")]
+    while len(numbers) > 1 and numbers[-1] == 0:
+        numbers.pop()
+    return tuple(numbers)
 
 
 def parse_merges(df: DataFrame, col: str = "text", has_header: bool | None = None) -> DataFrame:

@@ -130,7 +130,8 @@ def test_codec_goldens():
 
 
 def test_glossary_docstring_example():
-    assert ba.isolate_glossary("1934USABUSA", "USA") == ["1934", "USA", "B", "USA"]
+    import re
+    assert ba.split_glossary("1934USABUSA", [re.compile("(USA)")]) == ["1934", "USA", "B", "USA"]
     c = ba.Codec([], glossaries=["USA"])
     assert c.segment_line("1934USABUSA") == "1@@ 9@@ 3@@ 4@@ USA@@ B@@ USA"
 
@@ -141,6 +142,69 @@ def test_lowest_rank_loop_not_rank_order():
     assert c.encode("abc") == ("a", "bc")
 
 
+def slow_encode(word, merges):
+    """One merge of the lowest rank after the other, all its occurrences at a time."""
+    s = [*word[:-1], word[-1] + "</w>"]
+    rank = {m: i for i, m in reversed(list(enumerate(merges)))}
+    while len(s) > 1:
+        best = min((rank[p], p) for p in zip(s, s[1:]) if p in rank) if any(p in rank for p in zip(s, s[1:])) else None
+        if best is None:
+            break
+        out = []
+        while s:
+            if len(s) > 1 and (s[0], s[1]) == best[1]:
+                out.append(s[0] + s[1])
+                s = s[2:]
+            else:
+                out.append(s.pop(0))
+        s = out
+    return tuple([*s[:-1], s[-1].replace("</w>", "")]) if len(word) > 1 else (word,)
+
+
+def test_encoder_equals_definition_on_thousands_of_merges():
+    rng = random.Random(8)
+    for alphabet, count in (("ab", 60), ("abcd", 800), ("abcdefgh", 4000)):
+        known, merges = [*alphabet, *[c + "</w>" for c in alphabet]], []
+        for _ in range(count):
+            a, b = rng.choice([k for k in known if not k.endswith("</w>")]), rng.choice(known)
+            if len(a + b) < 14:
+                merges.append((a, b))
+                known.append(a + b)
+        merges = list(dict.fromkeys(merges))
+        rng.shuffle(merges)
+        c = ba.Codec(merges)
+        for _ in range(1500):
+            w = "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 16)))
+            assert c.encode(w) == slow_encode(w, merges), (w, merges)
+
+
+def test_back_off_equals_recursion():
+    rng = random.Random(9)
+    merges = [("a", "b"), ("ab", "c"), ("b", "c"), ("a", "bc"), ("abc", "d</w>"), ("c", "d</w>"), ("ab", "cd</w>"), ("ab", "ab"), ("abab", "c")]
+
+    def split(x, final, vocab):
+        if (x if final else x + "@@") in vocab:
+            return [x]
+        pair = next((m for m in merges if m[0] + m[1] == x + "</w>" * final), None)
+        return [x] if pair is None else split(pair[0], False, vocab) + split(pair[1].removesuffix("</w>") if final else pair[1], final, vocab)
+    units = ["a", "b", "c", "d", "ab", "bc", "abc", "abcd", "cd", "abab", "ababc"]
+    for _ in range(300):
+        vocab = {u + rng.choice(["", "@@"]) for u in rng.sample(units, rng.randrange(1, 9))}
+        plain, c = ba.Codec(merges), ba.Codec(merges, vocab=vocab)
+        for w in ("abcd", "ababc", "abab", "cd", "abcabcd", "bca", "dd"):
+            *inside, end = plain.encode(w)
+            assert list(c.encode(w)) == [u for x in inside for u in split(x, False, vocab)] + split(end, True, vocab)
+
+
+def test_groups_with_vocab_and_glossary(spark):
+    df = spark.createDataFrame([("x", "lowxlow low"), ("y", "low")], "g string, text string")
+    merges = spark.createDataFrame([(g, r, a, b) for g in "xy" for r, (a, b) in enumerate([("l", "o"), ("lo", "w</w>")])],
+                                   "g string, rank long, left string, right string")
+    vocab = spark.createDataFrame([("x", "lo@@"), ("x", "w"), ("y", "low")], "g string, token string")
+    out = {r.g: r.enc for r in ba.apply_bpe_groups(df, "text", merges, ["g"], out_col="enc", vocab=vocab, glossaries=["x"]).collect()}
+    assert out == {"x": "lo@@ w@@ x@@ lo@@ w lo@@ w", "y": "low"}
+
+
 def test_apply_roundtrip_and_layout_invariance(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
     merges = bl.learn_bpe(docs, "text", num_merges=30)

@@ -104,6 +104,74 @@ def test_run_resumable_idempotent(spark, tmp):
     assert {r.batch_id: r.status for r in again.collect()} == {0: "ok", 1: "error"}
 
 
+def noted(path, fail=()):
+    """A function that notes every call in a file of its own."""
+    def call(texts):
+        import uuid
+        with open(os.path.join(path, uuid.uuid4().hex), "w") as f:
+            f.write("|".join(texts))
+        if any(x in t for x in fail for t in texts):
+            raise RuntimeError("x" * 3000)
+        return [t.upper() for t in texts]
+    return call
+
+
+def calls(path):
+    return sorted(open(os.path.join(path, f)).read() for f in os.listdir(path))
+
+
+def test_run_that_dies_loses_one_wave(spark, tmp):
+    """The second wave ends the job; what the first wave called is not called again."""
+    store, log = os.path.join(tmp, "store"), os.path.join(tmp, "log")
+    os.makedirs(log)
+    df = spark.createDataFrame([(k, [f"t{k}"]) for k in range(12)], "batch_id long, texts array<string>").repartition(2)
+    ok = noted(log)
+
+    def dies(texts):
+        raise SystemExit("worker gone")
+    wave = df.filter(F.pmod(F.xxhash64("batch_id"), F.lit(3)) == 0)
+    run_resumable(wave, store, ok)  # what a run of three waves had committed when it died
+    with pytest.raises(Exception):
+        run_resumable(df, store, dies, waves=3)
+    before = len(calls(log))
+    got = run_resumable(df, store, ok, waves=3)
+    assert {r.batch_id: r.outputs for r in got.collect()} == {k: [f"T{k}"] for k in range(12)}
+    assert before > 0 and calls(log) == sorted(f"t{k}" for k in range(12))
+
+
+def test_rewrite_lines_keeps_every_batch_and_calls_once(spark, tmp):
+    from corpusprep.operators.external import rewrite_lines
+    log = os.path.join(tmp, "log")
+    os.makedirs(log)
+    inner = noted(log, fail=["boom"])
+
+    def fn(prompt):
+        text = inner([prompt])[0]
+        return "" if "EMPTY" in text else "1. A" if "SHORT" in text else prompt.split("\n\n", 1)[1]
+    rows = [(b, i, f"{w} {i}") for b, w in enumerate(["fine", "boom", "empty", "short"]) for i in range(2)]
+    df = spark.createDataFrame(rows, "b int, i long, t string")
+    out = rewrite_lines(df, fn, "t", "i", ["b"], "Header:").collect()
+    assert len(calls(log)) == 4
+    got = sorted((r.b, r.pos, r.line, r.n_in, r.n_out, r.status, r.shifted) for r in out)
+    assert got == [(0, 0, "fine 0", 2, 2, "ok", False), (0, 1, "fine 1", 2, 2, "ok", False), (1, None, None, 2, 0, "error", True),
+                   (2, None, None, 2, 0, "ok", True), (3, 0, "A", 2, 1, "ok", True)]
+
+
+def test_to_pairs_keeps_lines_of_failed_batches(spark):
+    from corpusprep.operators.external import to_pairs
+    lines = spark.createDataFrame([(b, p, f"l{b}{p}") for b in range(4) for p in range(2)], "batch_id long, pos long, text string")
+    out = spark.createDataFrame([(0, ["A", "B"], "ok"), (1, None, "error"), (2, ["C"], "ok")], "batch_id long, outputs array<string>, status string")
+    got = sorted((r.batch_id, r.pos, r.src, r.tgt, r.status) for r in to_pairs(lines, out, ["batch_id"]).collect())
+    assert got == [(0, 0, "A", "l00", "ok"), (0, 1, "B", "l01", "ok"), (1, 0, None, "l10", "error"), (1, 1, None, "l11", "error"),
+                   (2, 0, "C", "l20", "ok"), (2, 1, None, "l21", "no_output"), (3, 0, None, "l30", "no_batch"), (3, 1, None, "l31", "no_batch")]
+
+
+def test_whole_error_text(spark, tmp):
+    df = spark.createDataFrame([(0, ["boom"])], "batch_id long, texts array<string>")
+    os.makedirs(os.path.join(tmp, "l"))
+    assert len(map_batches(df, noted(os.path.join(tmp, "l"), ["boom"])).first()["error"]) > 3000
+
+
 def test_streaming_row_operators(spark, tmp):
     from corpusprep.streaming.lines import metrics_stream, normalise_stream, read_line_stream, segment_stream, to_parquet
     inbox = os.path.join(tmp, "inbox", "output_3")

@@ -76,10 +76,14 @@ class TextModel:
 
 
 def fit(documents: DataFrame, text: str = "text", lang: str = "lang", max_rows: int = FIT_ROWS) -> TextModel:
-    """The text model from at most ``max_rows`` labelled documents, those of lowest hash. The
+    """The text model from at most ``max_rows`` different labelled texts, those of lowest hash. The
     counts (languages x buckets) have a fixed size, whatever the data."""
-    sample = documents.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t")) \
-        .orderBy(F.xxhash64("t", "l")).limit(max_rows)
+    labelled = documents.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(text, lang).alias("h"))
+    # only hashes meet to find the bound; the texts are read where they lie, equal ones once
+    top = labelled.select("h").distinct().orderBy("h").limit(max_rows).agg(F.max("h")).first()[0]
+    if top is None:
+        return TextModel([], np.zeros((0, BUCKETS)))
+    sample = labelled.where(F.col("h") <= top).groupBy("h").agg(F.first("l").alias("l"), F.first("t").alias("t")).select("l", "t")
 
     def count(rows):
         own: dict[str, np.ndarray] = {}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusprep.llm.common import table
+from corpusprep.llm.oracles import OP1
 
 
 def tokenizer_path() -> str:
@@ -82,4 +83,4 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_benchmark_decontamination, op3_pii_feistel, op4_ngram_jaccard_join,
                                    op5_secret_scan, op6_language_id, op7_html_extraction, op8_hilbert_sharding,
                                    op9_cost_balanced_packing, op10_line_template_dedup)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1}

@@ -126,11 +126,12 @@ def recurring(parsed: DataFrame, texts: DataFrame, min_hosts: int = MIN_HOSTS) -
     once = each.groupBy("line", "leaf", "host", "key").agg(F.min("pos").alias("pos"))
     counted = fixed(once.groupBy("line", "leaf", "host").agg(
         F.count(F.lit(1)).alias("texts"), F.min(F.struct("key", "pos")).alias("at")))
-    leaf = counted.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("hosts"), F.min("at").alias("at")) \
-        .groupBy("leaf").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("hosts").alias("hosts")) \
+    # the hosts of a line are combined before lines meet by leaf
+    lines = counted.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("hosts"), F.min("at").alias("at"))
+    leaf = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("hosts").alias("hosts")) \
         .where((F.col("n_lines") > 1) & (F.col("hosts") >= min_hosts)).select(F.col("leaf").alias("lf"), "n_lines")
     # one place for each line of these leaves, and its text
-    places = counted.join(leaf, F.col("leaf") == F.col("lf")).groupBy("line", "leaf", "n_lines").agg(F.min("at").alias("at"))
+    places = lines.join(leaf, F.col("leaf") == F.col("lf"))
     wanted = fixed(places.select("line", "leaf", "n_lines", F.col("at.key").alias("k"), F.col("at.pos").alias("pos"))
                    .groupBy("k").agg(F.collect_list(F.struct("pos", "line", "leaf", "n_lines")).alias("want")))
     found = texts.join(small_side(wanted, 100_000), F.col("key") == F.col("k")) \

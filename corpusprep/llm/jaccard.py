@@ -2,9 +2,9 @@
 
 The join is a product of the (document x shingle) incidence matrix with its transpose, in blocks:
 
-1. Rows. Documents with equal sets are one row (grouped by a 128-bit hash of the set).
-2. Column blocks. For a range of row sizes the shingles are dealt into as many blocks as two
-   linked rows of that size can differ in, plus two. The size bound: linked rows x, y differ in at
+1. Rows. Documents with equal texts are one row (grouped by a 128-bit hash of the text).
+2. Column blocks. For a range of row sizes the shingles are dealt into somewhat more blocks than
+   two linked rows of that size can differ in. The size bound: linked rows x, y differ in at
    most (1-t)/(1+t) * (|x|+|y|) shingles, so they agree on a whole block. Pairs that agree on no
    block are below the bound and never formed. A block of a row is one 64-bit key.
 3. Products. Rows that share a key meet the smallest and the largest row under that key (not each
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusprep.llm.common import fixed, map_rows, small_side
+from corpusprep.llm.common import fixed, map_rows, small_side, text_key
 from corpusprep.llm.components import components
 
 #: Ratio between the smallest and the largest row of a size range.
@@ -90,6 +90,7 @@ class Blocks:
         self.tops = [1]
         while self.tops[-1] < 1 << 40:
             self.tops.append(max(self.tops[-1] + 1, int(self.tops[-1] / RANGE)))
+        self._blocks: dict[int, int] = {}
 
     def ranges(self, size: int) -> list[int]:
         """The range of ``size``, and those above in which a linked row can lie."""
@@ -102,11 +103,27 @@ class Blocks:
         """Shingles in which two linked rows compared in range ``c`` can differ at most."""
         return int((1 - self.t) / (1 + self.t) * 2 * self.tops[c] + 1e-9)
 
+    def blocks(self, c: int) -> int:
+        """Blocks of range ``c``: so many more than linked rows can differ in that the smallest
+        row, for which most blocks come out empty, still fills more than that, but for chance."""
+        m = self._blocks.get(c)
+        if m is None:
+            k = self.differ(c)
+            m = k + 2 if k else 1
+            least = self.t * (self.tops[c - 1] + 1) if c else 1
+            while k:
+                empty = m * np.exp(-least / m)
+                if m - k - 1 >= empty + 3 * np.sqrt(empty) or m >= 2 * k + 8:
+                    break
+                m += max(1, k // 64)
+            self._blocks[c] = m
+        return m
+
     def keys(self, row: np.ndarray) -> np.ndarray:
         out = []
         for c in self.ranges(len(row)):
             k = self.differ(c)
-            m = k + 2 if k else 1
+            m = self.blocks(c)
             for seed in range(SEEDS):
                 with np.errstate(over="ignore"):
                     tag = mix(np.uint64([c * 1000 + seed]))[0]
@@ -164,20 +181,21 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """One row per document: ``doc_id``, ``n_shingles`` and ``component_id`` (the smallest id
     reachable by links, its own if there is none). ``threshold``: numerator and denominator."""
     num, den = threshold
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
+    key = text_key(text)
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), key["a"].alias("a"), key["b"].alias("b"))
     kind = d.schema["doc_id"].dataType.simpleString()
 
     def rows_of(rows):
         shingle, blocks = Shingler(n), Blocks(num / den)
-        for i, t in rows:
+        for i, t, a, b in rows:
             s = shingle(t)
-            keys = blocks.keys(s).view(np.int64).tolist() if len(s) and i is not None else []
-            yield i, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, keys
+            yield i, a, b, len(s), blocks.keys(s).view(np.int64).tolist() if len(s) and i is not None else []
 
-    sets = fixed(map_rows(d, rows_of, f"doc_id {kind}, n long, h binary, keys array<long>"))
-    named = sets.where(F.col("doc_id").isNotNull() & F.col("h").isNotNull())
-    row = named.groupBy("h").agg(F.min("doc_id").alias("r"), F.first("keys").alias("keys"))
-    entry = fixed(row.select("h", "r", "keys"))
+    # of equal texts only the one of smallest id is a row; texts without an id are counted only
+    first = fixed(d.groupBy("a", "b").agg(F.min("doc_id").alias("r")).select("r").where("r is not null").distinct())
+    own = d.where("doc_id is null").unionByName(d.join(small_side(first), F.col("doc_id") == F.col("r"), "left_semi"))
+    sets = fixed(map_rows(own.select("doc_id", "t", "a", "b"), rows_of, f"doc_id {kind}, a long, b long, n long, keys array<long>"))
+    entry = sets.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("r"), "keys")
     # rows under one key, with the smallest and the largest of them
     by_key = entry.select("r", F.explode("keys").alias("k"))
     shared = fixed(by_key.groupBy("k").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.count(F.lit(1)).alias("c"))
@@ -197,11 +215,13 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     links = links.unionByName(_rest_links(member, part, texts, n, num, den, kind))
     part = components(links)
 
-    whole = entry.select("h", "r").join(part, F.col("r") == F.col("node"), "left") \
-        .select(F.col("h").alias("hh"), F.coalesce("component", "r").alias("c"))
-    whole = fixed(whole)
-    out = sets.join(whole, F.col("h") == F.col("hh"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
+    whole = sets.groupBy("a", "b").agg(F.min("doc_id").alias("r"), F.max("n").alias("n"))
+    whole = fixed(whole.join(part, F.col("r") == F.col("node"), "left")
+                  .select(F.col("a").alias("x"), F.col("b").alias("y"), "n", F.coalesce("component", "r").alias("c")))
+    out = d.select("doc_id", "a", "b").join(small_side(whole), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left")
+    # a text without words links with nothing, not even with its copies; a row without id is in no component
+    component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") > 0, F.col("c")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def _star_links(star, texts, n, num, den, kind):

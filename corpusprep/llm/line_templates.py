@@ -133,11 +133,11 @@ def recurring(parsed: DataFrame, texts: DataFrame, min_hosts: int = MIN_HOSTS) -
     # one place for each line of these leaves, and its text
     places = lines.join(leaf, F.col("leaf") == F.col("lf"))
     wanted = fixed(places.select("line", "leaf", "n_lines", F.col("at.key").alias("k"), F.col("at.pos").alias("pos"))
-                   .groupBy("k").agg(F.collect_list(F.struct("pos", "line", "leaf", "n_lines")).alias("want")))
+                   .groupBy("k").agg(F.sort_array(F.collect_list(F.struct("pos", "line", "leaf", F.col("n_lines").alias("n")))).alias("want"),
+                                     F.collect_list("pos").alias("at")))
     found = texts.join(small_side(wanted, 100_000), F.col("key") == F.col("k")) \
-        .withColumn("all", F.split("text", "\n")) \
-        .select(F.explode(F.transform("want", lambda w: F.struct(w["line"].alias("line"), w["leaf"].alias("leaf"), w["n_lines"].alias("n"),
-                                                                   F.get(F.col("all"), w["pos"]).alias("text")))).alias("x")).select("x.*") \
+        .select("want", F.filter(F.split("text", "\n"), lambda x, i: F.array_contains(F.col("at"), i)).alias("text")) \
+        .select(F.explode(F.arrays_zip("want", "text")).alias("x")).select("x.want.line", "x.want.leaf", "x.want.n", "x.text") \
         .groupBy("line", "leaf", "n").agg(F.min("text").alias("text"))
     # a leaf that is over-full goes on by its further leading tokens
     deal = F.when(F.col("n") > LEAF_LINES, F.xxhash64(F.slice(F.split(F.trim("text"), r"\s+"), DEPTH + 1, DEPTH))).otherwise(0)

@@ -62,9 +62,11 @@ def clean_lines(df: DataFrame, text: str = "text", max_lost: float = 0.5) -> Dat
     failed rule), ``lost_share`` (share of the characters of such lines that went) and
     ``rejected`` (``lost_share`` above ``max_lost``)."""
     d = df.withColumn("__lines", F.split(text_of(text), "\n"))
-    d = d.withColumn("__code", F.transform("__lines", line_code))
-    code = F.col("__code")
-    d = d.withColumn("__kept", F.filter("__lines", lambda x, i: F.get(code, i).isin(BLANK, KEPT)))
+    # code and line side by side: a lambda that refers to another column may get its definition
+    # inlined, and would then work it out again for every line
+    d = d.withColumn("__coded", F.transform("__lines", lambda x: F.struct(line_code(x).alias("code"), x.alias("x"))))
+    code = F.col("__coded.code")
+    d = d.withColumn("__kept", F.transform(F.filter("__coded", lambda c: c["code"].isin(BLANK, KEPT)), lambda c: c["x"]))
     chars = F.aggregate("__lines", F.lit(0), lambda a, x: a + F.when(x.rlike(NOT_SPACE), F.length(x)).otherwise(0))
     kept = F.aggregate("__kept", F.lit(0), lambda a, x: a + F.when(x.rlike(NOT_SPACE), F.length(x)).otherwise(0))
     d = d.withColumn("__chars", chars).withColumn("__left", kept)
@@ -76,7 +78,7 @@ def clean_lines(df: DataFrame, text: str = "text", max_lost: float = 0.5) -> Dat
         "lost_share": F.when(F.col("__chars") > 0, 1 - F.col("__left") / F.col("__chars")).otherwise(F.lit(0.0)),
     })
     d = d.withColumn("rejected", F.col("lost_share") > max_lost)
-    return d.drop("__lines", "__code", "__kept", "__chars", "__left")
+    return d.drop("__lines", "__coded", "__kept", "__chars", "__left")
 
 
 def _doubled(d: DataFrame, src: str, join, tag: str, keep: Column | None = None) -> DataFrame:

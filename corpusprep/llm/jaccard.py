@@ -212,8 +212,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     links = fixed(_star_links(star, texts, n, num, den, kind))
     part = components(links)
-    links = links.unionByName(_rest_links(member, part, texts, n, num, den, kind))
-    part = components(links)
+    rest = _rest_links(member, part, texts, n, num, den, kind)
+    rest = rest if rest is None else fixed(rest)
+    if rest is not None and rest.limit(1).count():
+        part = components(links.unionByName(rest))
 
     whole = sets.groupBy("a", "b").agg(F.min("doc_id").alias("r"), F.max("n").alias("n"))
     whole = fixed(whole.join(part, F.col("r") == F.col("node"), "left")
@@ -247,12 +249,12 @@ def _star_links(star, texts, n, num, den, kind):
 
 def _rest_links(member, part, texts, n, num, den, kind):
     """Links between rows that share a key but are in different components so far. Rows that are
-    joined by such keys form groups; a group is multiplied in blocks of rows."""
+    joined by such keys form groups; a group is multiplied in blocks of rows. None: no such rows."""
     at = member.join(part, F.col("r") == F.col("node"), "left").select("key", "r", F.coalesce("component", "r").alias("c"))
     mixed = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("key").alias("k"), F.col("lo").alias("g"))
     open_ = fixed(at.join(mixed, F.col("key") == F.col("k")).select("key", "r", "c", "g").distinct())
     if not open_.limit(1).count():
-        return open_.select(F.col("r").alias("a"), F.col("r").alias("b")).limit(0)
+        return None
     group = components(open_.select(F.col("c").alias("a"), F.col("g").alias("b")).distinct())
     rows = open_.select("r", "c").distinct().join(group, F.col("c") == F.col("node")).select("r", "c", F.col("component").alias("g"))
     count = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"), ).select(F.col("g").alias("q"), "parts")

@@ -13,6 +13,9 @@ The join is a product of the (document x shingle) incidence matrix with its tran
 4. Links give components. Only where the rows under one key are still in different components is
    the whole candidate group multiplied, block of rows by block of rows, so that no link between
    different components is lost.
+5. Before texts are read, rows meet as parity sketches: each shingle flips one bit of a vector
+   about as long as the set. Two vectors differ in no more bits than the sets in shingles, so a
+   pair whose vectors differ in more bits than linked rows of these sizes can is discarded.
 
 A group of copies or near copies of any size therefore costs work in proportion to its rows; only
 groups that share whole blocks yet do not link are compared pairwise, in blocks of bounded size.
@@ -143,6 +146,31 @@ class Blocks:
         return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
+def sketch(row: np.ndarray) -> bytes:
+    """The parity sketch of a row: as many bits as shingles, rounded up to a power of two, 64 at
+    least; each shingle flips one."""
+    bits = max(64, 1 << max(0, len(row) - 1).bit_length())
+    place = mix(row ^ _M1) & np.uint64(bits - 1)
+    return np.packbits(np.bincount(place.astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def fold(sketches: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (last axis: bytes) as they would be with ``width`` bytes."""
+    while sketches.shape[-1] > width:
+        half = sketches.shape[-1] // 2
+        sketches = sketches[..., :half] ^ sketches[..., half:]
+    return sketches
+
+
+def may_link(n: int, a: np.ndarray, sizes, b: np.ndarray, num: int, den: int):
+    """Whether rows of these sizes and sketches can be linked: linked rows differ in at most
+    (1-t)/(1+t) of the sum of their sizes, and sketches in no more bits than the rows in shingles.
+    ``sizes`` and ``b`` may hold many rows."""
+    width = min(a.shape[-1], b.shape[-1])
+    bits = np.bitwise_count(fold(a, width) ^ fold(b, width)).sum(axis=-1, dtype=np.int64)
+    return (den * np.minimum(n, sizes) >= num * np.maximum(n, sizes)) & ((den + num) * bits <= (den - num) * (n + sizes))
+
+
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     """den * |a and b| >= num * |a or b| for sorted distinct arrays."""
     if den * min(len(a), len(b)) < num * max(len(a), len(b)):
@@ -189,12 +217,13 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         shingle, blocks = Shingler(n), Blocks(num / den)
         for i, t, a, b in rows:
             s = shingle(t)
-            yield i, a, b, len(s), blocks.keys(s).view(np.int64).tolist() if len(s) and i is not None else []
+            node = len(s) and i is not None
+            yield i, a, b, len(s), blocks.keys(s).view(np.int64).tolist() if node else [], sketch(s) if node else None
 
     # of equal texts only the one of smallest id is a row; texts without an id are counted only
     first = fixed(d.groupBy("a", "b").agg(F.min("doc_id").alias("r")).select("r").where("r is not null").distinct())
     own = d.where("doc_id is null").unionByName(d.join(small_side(first), F.col("doc_id") == F.col("r"), "left_semi"))
-    sets = fixed(map_rows(own.select("doc_id", "t", "a", "b"), rows_of, f"doc_id {kind}, a long, b long, n long, keys array<long>"))
+    sets = fixed(map_rows(own.select("doc_id", "t", "a", "b"), rows_of, f"doc_id {kind}, a long, b long, n long, keys array<long>, sketch binary"))
     entry = sets.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("r"), "keys")
     # rows under one key, with the smallest and the largest of them
     by_key = entry.select("r", F.explode("keys").alias("k"))
@@ -206,14 +235,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         .unionByName(member.select("r", F.col("lo").alias("p"))) \
         .unionByName(member.select("r", F.col("hi").alias("p"))) \
         .where("r <> p").select(F.greatest("r", "p").alias("r"), F.least("r", "p").alias("p")).distinct()
-    star = fixed(star)
-    involved = fixed(star.select("r").unionByName(star.select(F.col("p").alias("r"))).distinct())
-    texts = fixed(d.where(F.col("doc_id").isNotNull()).join(small_side(involved), d["doc_id"] == F.col("r"), "left_semi"))
-
-    links = fixed(_star_links(star, texts, n, num, den, kind))
+    sketches = sets.where("sketch is not null").select(F.col("doc_id").alias("i"), F.col("n").alias("size"), "sketch")
+    close = fixed(_screened(star, sketches, num, den, kind))
+    links = fixed(_star_links(close, _texts(d, close.select("r").unionByName(close.select(F.col("p").alias("r")))), n, num, den, kind))
     part = components(links)
-    rest = _rest_links(member, part, texts, n, num, den, kind)
-    rest = rest if rest is None else fixed(rest)
+    rest = _rest_links(member, part, sketches, d, n, num, den, kind)
     if rest is not None and rest.limit(1).count():
         part = components(links.unionByName(rest))
 
@@ -226,6 +252,24 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def _texts(d: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of ``ids`` (column ``r``), each row of ``d`` once."""
+    ids = fixed(ids.distinct())
+    return fixed(d.where(F.col("doc_id").isNotNull()).join(small_side(ids), d["doc_id"] == F.col("r"), "left_semi").select("doc_id", "t"))
+
+
+def _screened(star, sketches, num, den, kind):
+    """Rows and partners whose sketches may be linked."""
+    pairs = star.join(sketches.select(F.col("i").alias("r"), F.col("size").alias("n"), F.col("sketch").alias("s")), "r") \
+        .join(sketches.select(F.col("i").alias("p"), F.col("size").alias("m"), F.col("sketch").alias("t")), "p")
+
+    def screen(rows):
+        for r, p, n, s, m, t in rows:
+            if may_link(n, np.frombuffer(s, np.uint8), m, np.frombuffer(t, np.uint8), num, den):
+                yield r, p
+    return map_rows(pairs.select("r", "p", "n", "s", "m", "t"), screen, f"r {kind}, p {kind}").distinct()
+
+
 def _star_links(star, texts, n, num, den, kind):
     """Links between rows and their partner: the rows of a partner are dealt into blocks, the
     partner goes to each of them."""
@@ -247,7 +291,7 @@ def _star_links(star, texts, n, num, den, kind):
     return map_rows(both.select("p", "s", "i", "t", "side"), _grouped(2, compare), f"a {kind}, b {kind}").distinct()
 
 
-def _rest_links(member, part, texts, n, num, den, kind):
+def _rest_links(member, part, sketches, d, n, num, den, kind):
     """Links between rows that share a key but are in different components so far. Rows that are
     joined by such keys form groups; a group is multiplied in blocks of rows. None: no such rows."""
     at = member.join(part, F.col("r") == F.col("node"), "left").select("key", "r", F.coalesce("component", "r").alias("c"))
@@ -262,7 +306,12 @@ def _rest_links(member, part, texts, n, num, den, kind):
     # block s meets every block: it is copied once for each, not for each of their rows
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     dealt = dealt.select("g", F.least("s", "o").alias("x"), F.greatest("s", "o").alias("y"), F.col("s").alias("own"), "r", "c")
-    full = dealt.join(texts, F.col("r") == F.col("doc_id")).select("g", "x", "y", "own", "r", "c", "t")
+    near = dealt.join(sketches, F.col("r") == F.col("i")).select("g", "x", "y", "own", "r", "c", "size", "sketch") \
+        .repartition("g", "x", "y").sortWithinPartitions("g", "x", "y")
+    near = fixed(map_rows(near, _grouped(3, lambda groups: _screened_blocks(groups, num, den)),
+                          f"g {kind}, x long, y long, own long, r {kind}, c {kind}"))
+    texts = _texts(d, near.select("r"))
+    full = near.join(texts, F.col("r") == F.col("doc_id")).select("g", "x", "y", "own", "r", "c", "t")
 
     def multiply(groups):
         shingle = Shingler(n)
@@ -279,7 +328,34 @@ def _rest_links(member, part, texts, n, num, den, kind):
                     yield r, q
 
     both = full.repartition("g", "x", "y").sortWithinPartitions("g", "x", "y")
-    return map_rows(both, _grouped(3, multiply), f"a {kind}, b {kind}")
+    return fixed(map_rows(both, _grouped(3, multiply), f"a {kind}, b {kind}"))
+
+
+def _screened_blocks(groups, num, den):
+    """The rows of two blocks that may be linked to a row of the other block and another component."""
+    for (g, x, y), rows in groups:
+        sides = {x: [], y: []}
+        for own, r, c, size, bits in rows:
+            sides[own].append((r, c, size, np.frombuffer(bits, np.uint8)))
+        a, b = sides[x], sides[y]
+        number = {c: k for k, c in enumerate({z[1] for z in (*a, *b)})}
+        by_width = {}
+        for j, z in enumerate(b):
+            by_width.setdefault(len(z[3]), []).append(j)
+        classes = [(w, np.array(js), np.array([number[b[j][1]] for j in js]), np.array([b[j][2] for j in js]), np.stack([b[j][3] for j in js]))
+                   for w, js in by_width.items()]
+        mine, other = set(), set()
+        for i, (_, c, size, bits) in enumerate(a):
+            for w, js, comps, sizes, matrix in classes:
+                hit = js[may_link(size, bits, sizes, matrix, num, den) & (comps != number[c])]
+                if len(hit):
+                    mine.add(i)
+                    other.update(hit.tolist())
+        if x == y:
+            mine, other = mine | other, set()
+        for side, rows_of_side, own in ((mine, a, x), (other, b, y)):
+            for i in sorted(side):
+                yield g, x, y, own, rows_of_side[i][0], rows_of_side[i][1]
 
 
 def _grouped(keys: int, fn):

@@ -1,11 +1,13 @@
 import random
 import re
 
+import numpy as np
+
 from edge_rows import SMALL, edge  # noqa: F401
 
 from corpusprep.llm import queries as Q
 from corpusprep.llm.components import components
-from corpusprep.llm.jaccard import jaccard_components, keep_one
+from corpusprep.llm.jaccard import jaccard_components, keep_one, linked, may_link, sketch
 
 
 def shingles(text, n):
@@ -82,3 +84,18 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(50)] + [(100, 60), (61, 60), (61, 100), (7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(51)}, 60: 60, 61: 60, 100: 60}
+
+
+def test_sketches_discard_no_linked_rows():
+    rng = np.random.default_rng(5)
+    dropped = 0
+    for size in [1, 2, 5, 20, 63, 64, 65, 127, 130, 500, 1100] * 20:
+        a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        lost = int(rng.integers(0, max(1, size // 3) + 1))
+        b = np.unique(np.r_[a[lost:], rng.integers(0, 1 << 63, int(rng.integers(0, max(1, size // 3) + 1)), dtype=np.uint64)])
+        for num, den in ((80, 100), (90, 100)):
+            may = may_link(len(a), np.frombuffer(sketch(a), np.uint8), len(b), np.frombuffer(sketch(b), np.uint8), num, den)
+            if linked(a, b, num, den):
+                assert may
+            dropped += not may
+    assert dropped > 50

@@ -58,7 +58,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct 64-bit shingle hashes of a text."""
 
-    def __init__(self, n: int, cache_words: int = 500_000):
+    def __init__(self, n: int, cache_words: int = 100_000):
         self.n, self.limit = n, cache_words
 
         class Words(dict):

@@ -300,22 +300,25 @@ def _rest_links(member, part, sketches, d, n, num, den, kind):
     if not open_.limit(1).count():
         return None
     group = components(open_.select(F.col("c").alias("a"), F.col("g").alias("b")).distinct())
-    rows = open_.select("r", "c").distinct().join(group, F.col("c") == F.col("node")).select("r", "c", F.col("component").alias("g"))
-    count = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"), ).select(F.col("g").alias("q"), "parts")
-    dealt = rows.join(count, F.col("g") == F.col("q")).withColumn("s", F.pmod(F.xxhash64("r"), F.col("parts")))
+    rows = open_.select("r", "c").distinct().join(group, F.col("c") == F.col("node")).select("r", "c", F.col("component").alias("g")) \
+        .join(sketches, F.col("r") == F.col("i"))
+    # linked rows lie in one class of sizes or in neighbouring ones: a row goes to its own cell and the next
+    cell = F.floor(F.log("size") / (np.log(den / num) + 1e-6)) if num < den else F.col("size")
+    rows = rows.withColumn("q", F.explode(F.array(cell, cell + 1))).select("g", "q", "r", "c", "size", "sketch")
+    count = rows.groupBy("g", "q").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")).withColumnsRenamed({"g": "h", "q": "w"})
+    dealt = rows.join(count, (F.col("g") == F.col("h")) & (F.col("q") == F.col("w"))).withColumn("s", F.pmod(F.xxhash64("r"), F.col("parts")))
     # block s meets every block: it is copied once for each, not for each of their rows
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    dealt = dealt.select("g", F.least("s", "o").alias("x"), F.greatest("s", "o").alias("y"), F.col("s").alias("own"), "r", "c")
-    near = dealt.join(sketches, F.col("r") == F.col("i")).select("g", "x", "y", "own", "r", "c", "size", "sketch") \
-        .repartition("g", "x", "y").sortWithinPartitions("g", "x", "y")
-    near = fixed(map_rows(near, _grouped(3, lambda groups: _screened_blocks(groups, num, den)),
-                          f"g {kind}, x long, y long, own long, r {kind}, c {kind}"))
+    near = dealt.select("g", "q", F.least("s", "o").alias("x"), F.greatest("s", "o").alias("y"), F.col("s").alias("own"), "r", "c", "size", "sketch") \
+        .repartition("g", "q", "x", "y").sortWithinPartitions("g", "q", "x", "y")
+    near = fixed(map_rows(near, _grouped(4, lambda groups: _screened_blocks(groups, num, den)),
+                          f"g {kind}, q long, x long, y long, own long, r {kind}, c {kind}"))
     texts = _texts(d, near.select("r"))
-    full = near.join(texts, F.col("r") == F.col("doc_id")).select("g", "x", "y", "own", "r", "c", "t")
+    full = near.join(texts, F.col("r") == F.col("doc_id")).select("g", "q", "x", "y", "own", "r", "c", "t")
 
     def multiply(groups):
         shingle = Shingler(n)
-        for (_, x, y), rows in groups:
+        for (_, _, x, y), rows in groups:
             sides = {x: [], y: []}
             for own, r, c, t in rows:
                 sides[own].append((r, c, shingle(t)))
@@ -327,13 +330,13 @@ def _rest_links(member, part, sketches, d, n, num, den, kind):
                     joined.add((c, e))
                     yield r, q
 
-    both = full.repartition("g", "x", "y").sortWithinPartitions("g", "x", "y")
-    return fixed(map_rows(both, _grouped(3, multiply), f"a {kind}, b {kind}"))
+    both = full.repartition("g", "q", "x", "y").sortWithinPartitions("g", "q", "x", "y")
+    return fixed(map_rows(both, _grouped(4, multiply), f"a {kind}, b {kind}"))
 
 
 def _screened_blocks(groups, num, den):
     """The rows of two blocks that may be linked to a row of the other block and another component."""
-    for (g, x, y), rows in groups:
+    for (g, q, x, y), rows in groups:
         sides = {x: [], y: []}
         for own, r, c, size, bits in rows:
             sides[own].append((r, c, size, np.frombuffer(bits, np.uint8)))
@@ -355,7 +358,7 @@ def _screened_blocks(groups, num, den):
             mine, other = mine | other, set()
         for side, rows_of_side, own in ((mine, a, x), (other, b, y)):
             for i in sorted(side):
-                yield g, x, y, own, rows_of_side[i][0], rows_of_side[i][1]
+                yield g, q, x, y, own, rows_of_side[i][0], rows_of_side[i][1]
 
 
 def _grouped(keys: int, fn):

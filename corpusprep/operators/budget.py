@@ -15,7 +15,8 @@ W1 plan (exact, no task ever holds a whole shard):
    (``j + 1`` if that character is the end of ``j``), found by an as-of ``forward_fill`` over
    the union of line starts and probe positions; ``next`` stops at the shard end;
 3. batch starts are the orbits of the shard starts under ``next``: pointer doubling
-   ``J[k+1] = J[k] o J[k]`` (one self-join per level, checkpointed) until every chain ends,
+   ``J[k+1] = J[k] o J[k]`` (one inner self-join per level, checkpointed; a level holds only the
+   lines that have a batch start that far ahead) until none is left,
    then ``S = S u J[k](S)`` for k from the top level down: O(log batches) joins;
 4. batch ids by a second ``ordered_scan`` counting batch starts.
 """
@@ -25,7 +26,6 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpusprep.operators.order import forward_fill, ordered_scan
 from corpusprep.session import cut_lineage
@@ -38,8 +38,7 @@ def _lengths(df: DataFrame, text_col: str | None, len_col: str | None, newline:
 
 
 def budget_batches(df: DataFrame, order_cols: list[str], text_col: str | None = "text", budget: int = 5000,
-                   shard_cols: list[str] | None = None, newline: bool = True, len_col: str | None = None,
-                   max_levels: int = 64) -> DataFrame:
+                   shard_cols: list[str] | None = None, newline: bool = True, len_col: str | None = None) -> DataFrame:
     """Every input row with ``idx`` (global position), ``len`` and ``batch_id`` (global,
     0-based, in order; batches never span shards)."""
     shards = list(shard_cols or [])
@@ -70,24 +69,22 @@ def budget_batches(df: DataFrame, order_cols: list[str], text_col: str | None =
     q = filled.filter(F.col("kind") == 1)
     j = F.when(F.col("hold.end") > F.col("pos"), F.col("hold.j")).otherwise(F.col("hold.j") + 1)
     nxt = F.greatest(j, F.col("i") + 1)
-    jump = cut_lineage(q.select(F.col("i").alias("idx"),
-                                F.when(nxt <= F.col("last"), nxt).cast("long").alias("nxt")))
+    jump = cut_lineage(q.where(nxt <= F.col("last")).select(F.col("i").alias("idx"), nxt.cast("long").alias("nxt")))
 
-    # pointer doubling: levels[k] maps idx -> next^(2^k)(idx) (NULL past the chain end)
+    # pointer doubling: levels[k] maps idx -> next^(2^k)(idx). Lines whose chain ends earlier are
+    # in no level, so levels shrink and no row waits under a NULL key
     levels = [jump]
-    while not levels[-1].filter(F.col("nxt").isNotNull()).isEmpty():
-        if len(levels) >= max_levels:
-            raise RuntimeError("pointer doubling did not converge")
+    while not levels[-1].isEmpty():
         a = levels[-1].alias("a")
         b = levels[-1].alias("b")
-        nxt2 = a.join(b, F.col("a.nxt") == F.col("b.idx"), "left") \
+        nxt2 = a.join(b, F.col("a.nxt") == F.col("b.idx")) \
             .select(F.col("a.idx").alias("idx"), F.col("b.nxt").alias("nxt"))
         levels.append(cut_lineage(nxt2))
 
-    # the last level maps everything past the chain ends, so levels[:-1] cover every chain
+    # the last level is empty, so levels[:-1] cover every chain
     starts = starts0
     for lvl in reversed(levels[:-1]):
-        hop = starts.join(lvl, "idx", "inner").filter(F.col("nxt").isNotNull()).select(F.col("nxt").alias("idx"))
+        hop = starts.join(lvl, "idx", "inner").select(F.col("nxt").alias("idx"))
         starts = cut_lineage(starts.unionByName(hop).distinct())
 
     flagged = lines.join(starts.withColumn("__s", F.lit(1)), "idx", "left").fillna(0, ["__s"])
@@ -121,15 +118,14 @@ def token_batches(df: DataFrame, order_cols: list[str], len_col: str, budget: in
     position), sorted by length inside the bucket, and packed greedily so that
     ``max_len * n_examples <= budget`` (padded size; an example over budget gets its own batch).
     A bucket has exactly ``bucket`` rows, so ``applyInPandas`` per bucket is bounded; buckets
-    run in parallel. Result: input rows plus ``bucket_id``, ``batch_no`` (inside the bucket)."""
+    run in parallel; only positions and lengths go through pandas. Result: input rows plus
+    ``bucket_id``, ``batch_no`` (inside the bucket)."""
     idx = ordered_scan(df, order_cols, index="__pos").withColumn("bucket_id", F.floor(F.col("__pos") / bucket).cast("long"))
-    fields = idx.schema.fields + [T.StructField("batch_no", T.LongType())]
-    schema = T.StructType(fields)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([len_col, "__pos"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["n", "at"], kind="stable").reset_index(drop=True)
         out, b, cnt, mx = [], 0, 0, 0
-        for v in pdf[len_col].tolist():
+        for v in pdf["n"].tolist():
             new_mx = max(mx, v)
             if cnt and new_mx * (cnt + 1) > budget:
                 b += 1
@@ -138,6 +134,8 @@ def token_batches(df: DataFrame, order_cols: list[str], len_col: str, budget: in
                 cnt, mx = cnt + 1, new_mx
             out.append(b)
         pdf["batch_no"] = pd.Series(out, dtype="int64")
-        return pdf
+        return pdf[["at", "batch_no"]]
 
-    return idx.groupBy("bucket_id").applyInPandas(pack, schema).drop("__pos")
+    packed = idx.select("bucket_id", F.col("__pos").alias("at"), F.col(len_col).cast("double").alias("n")) \
+        .groupBy("bucket_id").applyInPandas(pack, "at long, batch_no long")
+    return idx.join(packed, F.col("__pos") == F.col("at")).drop("__pos", "at")

@@ -49,13 +49,13 @@ def turn_pairs(spark, d) -> DataFrame:
     a = c.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("tgt"))
     return u.join(a, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("pair_id"), "src", "tgt")
+        (F.col("conv_id") * 1000000 + F.col("turn")).alias("pair_id"), "src", "tgt")
 
 
 def keyed_src(spark, d) -> DataFrame:
     c = table(spark, d, "conversations").filter(F.col("role") == "user")
     return c.select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("line_no"),
+        (F.col("conv_id") * 1000000 + F.col("turn")).alias("line_no"),
         F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"),
         F.when((F.col("conv_id") % 7 == 0) & (F.col("turn") < 2), F.lit("")).otherwise(F.col("text")).alias("text"))
 
@@ -64,10 +64,10 @@ def keyed_tgt(spark, d) -> DataFrame:
     c = table(spark, d, "conversations").filter(F.col("role") == "assistant")
     key = F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - 1).cast("string"))
     base = c.select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("line_no"), key.alias("key"),
+        (F.col("conv_id") * 1000000 + F.col("turn")).alias("line_no"), key.alias("key"),
         F.when(F.col("conv_id") % 11 == 0, F.lit("")).otherwise(F.col("text")).alias("text"))
     dup = c.filter(F.col("conv_id") % 5 == 0).select(
-        (F.col("conv_id") * 100 + F.col("turn") + 1000000).alias("line_no"), key.alias("key"),
+        (F.col("conv_id") * 1000000 + F.col("turn") + 500000).alias("line_no"), key.alias("key"),
         F.concat(F.col("text"), F.lit(" again")).alias("text"))
     return base.unionByName(dup)
 
@@ -75,7 +75,7 @@ def keyed_tgt(spark, d) -> DataFrame:
 def raw_pairs(spark, d) -> DataFrame:
     """``turn_pairs`` with blank sides (empty or whitespace-only) for the empty-pair filter."""
     tp = turn_pairs(spark, d)
-    conv = F.expr("pair_id div 100")
+    conv = F.expr("pair_id div 1000000")
     return tp.select(
         "pair_id",
         F.when(conv % 7 == 0, F.lit("")).otherwise(F.col("src")).alias("src"),
@@ -133,13 +133,13 @@ def tsv_lines(spark, d) -> DataFrame:
     extra = F.when(F.col("conv_id") % 13 == 0, F.lit("\textra")).otherwise(F.lit(""))
     line = F.when(F.col("turn") % 5 == 4, F.concat(F.lit("# "), F.col("role"))) \
         .otherwise(F.concat(key, F.lit("\t"), body, extra))
-    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("line_no"), line.alias("line"))
+    return c.select((F.col("conv_id") * 1000000 + F.col("turn")).alias("line_no"), line.alias("line"))
 
 
 def corpora(spark, d) -> DataFrame:
     from corpusprep.operators.align import align_by_key
     tp = turn_pairs(spark, d)
-    conv = F.expr("pair_id div 100")
+    conv = F.expr("pair_id div 1000000")
     split = F.when(conv % 10 == 0, "dev").when(conv % 10 == 1, "test").otherwise("train")
     a = tp.select(F.lit("A").alias("corpus"), F.col("pair_id").alias("line_no"), split.alias("split"), "src", "tgt")
     b = align_by_key(keyed_src(spark, d), keyed_tgt(spark, d)).select(
@@ -175,24 +175,24 @@ DUCK_VIEWS: dict[str, tuple[list[str], str]] = {
         SELECT doc_id, CAST(unnest(range(len(l))) AS BIGINT) AS line_no, unnest(l) AS text
         FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"""),
     "turn_pairs": ([], """
-        SELECT u.conv_id * 100 + u.turn AS pair_id, u.text AS src, a.text AS tgt
+        SELECT u.conv_id * 1000000 + u.turn AS pair_id, u.text AS src, a.text AS tgt
         FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
         WHERE u.role = 'user' AND a.role = 'assistant'"""),
     "keyed_src": ([], """
-        SELECT conv_id * 100 + turn AS line_no, CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS key,
+        SELECT conv_id * 1000000 + turn AS line_no, CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS key,
                CASE WHEN conv_id % 7 = 0 AND turn < 2 THEN '' ELSE text END AS text
         FROM conversations WHERE role = 'user'"""),
     "keyed_tgt": ([], """
-        SELECT conv_id * 100 + turn AS line_no, CAST(conv_id AS VARCHAR) || ':' || CAST(turn - 1 AS VARCHAR) AS key,
+        SELECT conv_id * 1000000 + turn AS line_no, CAST(conv_id AS VARCHAR) || ':' || CAST(turn - 1 AS VARCHAR) AS key,
                CASE WHEN conv_id % 11 = 0 THEN '' ELSE text END AS text
         FROM conversations WHERE role = 'assistant'
         UNION ALL
-        SELECT conv_id * 100 + turn + 1000000, CAST(conv_id AS VARCHAR) || ':' || CAST(turn - 1 AS VARCHAR),
+        SELECT conv_id * 1000000 + turn + 500000, CAST(conv_id AS VARCHAR) || ':' || CAST(turn - 1 AS VARCHAR),
                text || ' again'
         FROM conversations WHERE role = 'assistant' AND conv_id % 5 = 0"""),
     "raw_pairs": (["turn_pairs"], """
-        SELECT pair_id, CASE WHEN (pair_id // 100) % 7 = 0 THEN '' ELSE src END AS src,
-               CASE WHEN (pair_id // 100) % 11 = 0 THEN ' ' || chr(10) ELSE tgt END AS tgt
+        SELECT pair_id, CASE WHEN (pair_id // 1000000) % 7 = 0 THEN '' ELSE src END AS src,
+               CASE WHEN (pair_id // 1000000) % 11 = 0 THEN ' ' || chr(10) ELSE tgt END AS tgt
         FROM turn_pairs"""),
     "log_lines": ([], f"""
         SELECT 'output_' || CAST(user_id % 4 AS VARCHAR) AS run, event_id AS line_no,
@@ -215,7 +215,7 @@ DUCK_VIEWS: dict[str, tuple[list[str], str]] = {
                text AS ref
         FROM documents"""),
     "tsv_lines": ([], """
-        SELECT conv_id * 100 + turn AS line_no,
+        SELECT conv_id * 1000000 + turn AS line_no,
                CASE WHEN turn % 5 = 4 THEN '# ' || role
                     ELSE CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) || chr(9) || replace(text, chr(10), ' ')
                          || CASE WHEN conv_id % 13 = 0 THEN chr(9) || 'extra' ELSE '' END END AS line
@@ -228,13 +228,13 @@ DUCK_VIEWS: dict[str, tuple[list[str], str]] = {
         WHERE s.text <> '' AND t.text <> ''"""),
     "corpora": (["turn_pairs", "aligned"], """
         SELECT 'A' AS corpus, pair_id AS line_no,
-               CASE WHEN (pair_id // 100) % 10 = 0 THEN 'dev' WHEN (pair_id // 100) % 10 = 1 THEN 'test' ELSE 'train' END AS split,
+               CASE WHEN (pair_id // 1000000) % 10 = 0 THEN 'dev' WHEN (pair_id // 1000000) % 10 = 1 THEN 'test' ELSE 'train' END AS split,
                src, tgt FROM turn_pairs
         UNION ALL
         SELECT 'B', pair_id, 'train', src, tgt FROM aligned
         UNION ALL
         SELECT 'C', pair_id, 'train', src || ' bt', tgt FROM turn_pairs
-        WHERE (pair_id // 100) % 10 NOT IN (0, 1)"""),
+        WHERE (pair_id // 1000000) % 10 NOT IN (0, 1)"""),
 }
 
 

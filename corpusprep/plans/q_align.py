@@ -51,12 +51,12 @@ def q_zip_lines(spark, d):
 
 def _batches(spark, d):
     b = fixed_batches(fx.lines(spark, d), "line_no", 5)
-    b = b.withColumn("batch_id", F.col("doc_id") * 100000 + F.col("batch_no"))
+    b = b.withColumn("batch_id", F.col("doc_id") * 1000000000 + F.col("batch_no"))
     return collect_batches(b, ["batch_id", "doc_id", "batch_no"], "line_no", "text")
 
 
 _D_BATCHES = ("batches", """
-    SELECT doc_id * 100000 + line_no // 5 AS batch_id, doc_id, line_no // 5 AS batch_no,
+    SELECT doc_id * 1000000000 + line_no // 5 AS batch_id, doc_id, line_no // 5 AS batch_no,
            list(text ORDER BY line_no) AS texts, CAST(count(*) AS BIGINT) AS n_lines
     FROM lines GROUP BY doc_id, line_no // 5""")
 
@@ -73,7 +73,7 @@ def q_pending_batches(spark, d):
 
 
 @register("flatten_batches", oracle=fx.oracle(["lines"], """
-    SELECT doc_id * 100000 + line_no // 5 AS batch_id, CAST(line_no % 5 AS BIGINT) AS pos, text AS line FROM lines"""))
+    SELECT doc_id * 1000000000 + line_no // 5 AS batch_id, CAST(line_no % 5 AS BIGINT) AS pos, text AS line FROM lines"""))
 def q_flatten_batches(spark, d):
     return flatten_batches(_batches(spark, d), ["batch_id"], "texts")
 

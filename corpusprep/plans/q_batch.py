@@ -12,8 +12,8 @@ from corpusprep.plans.q_text import d_tok
 from corpusprep.plans.registry import register
 
 BUDGET = 5000
-TOKEN_BUDGET = 2048
-BUCKET = 64
+TOKEN_BUDGET = 8192
+BUCKET = 8192
 
 
 @register("fixed_batches", oracle=fx.oracle(["lines"], "SELECT doc_id, line_no, CAST(line_no // 5 AS BIGINT) AS batch_no FROM lines"))

@@ -33,7 +33,7 @@ def echo_items(prompt: str) -> str:
 
 def _lines_with_batch(spark, d):
     b = fixed_batches(fx.lines(spark, d), "line_no", 5)
-    return b.withColumn("batch_id", F.col("doc_id") * 100000 + F.col("batch_no")) \
+    return b.withColumn("batch_id", F.col("doc_id") * 1000000000 + F.col("batch_no")) \
         .withColumn("pos", (F.col("line_no") % 5).cast("long"))
 
 
@@ -44,7 +44,7 @@ def _mapped(spark, d):
 
 
 _D_MAP = ("mapped", """
-    SELECT doc_id * 100000 + line_no // 5 AS batch_id,
+    SELECT doc_id * 1000000000 + line_no // 5 AS batch_id,
            CASE WHEN bool_or(text = '') THEN 'error' ELSE 'ok' END AS status,
            CAST(CASE WHEN bool_or(text = '') THEN 0 ELSE count(*) END AS BIGINT) AS n_out,
            CASE WHEN bool_or(text = '') THEN NULL
@@ -60,9 +60,9 @@ def q_map_batches(spark, d):
 
 
 @register("to_pairs", oracle=fx.oracle(["lines"], """
-    SELECT l.doc_id * 100000 + l.line_no // 5 AS batch_id, CAST(l.line_no % 5 AS BIGINT) AS pos,
+    SELECT l.doc_id * 1000000000 + l.line_no // 5 AS batch_id, CAST(l.line_no % 5 AS BIGINT) AS pos,
            CASE WHEN m.status = 'ok' THEN '[' || CAST(length(l.text) AS VARCHAR) || '] ' || l.text END AS src, l.text AS tgt, m.status
-    FROM lines l JOIN mapped m ON m.batch_id = l.doc_id * 100000 + l.line_no // 5""", [_D_MAP]))
+    FROM lines l JOIN mapped m ON m.batch_id = l.doc_id * 1000000000 + l.line_no // 5""", [_D_MAP]))
 def q_to_pairs(spark, d):
     lines, res = _mapped(spark, d)
     return to_pairs(lines.select("batch_id", "pos", "text"), res.select("batch_id", "outputs", "status"), ["batch_id"])

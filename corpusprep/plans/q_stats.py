@@ -2,23 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
-from corpusprep.functions.text import WS_CLASS, split_punctuation
+from corpusprep.functions.text import split_punctuation
 from corpusprep.operators.stats import build_vocab, corpus_stats, vocab_by_freq, word_counts
 from corpusprep.plans import fixtures as fx
+from corpusprep.plans.q_text import d_t1, d_tok
 from corpusprep.plans.registry import register
 
-WS = WS_CLASS
-# DuckDB forms of T1 and T4 (Spark forms live in functions.text)
-
-
-def d_t1(c: str) -> str:
-    return f"regexp_replace(regexp_replace({c}, '([?!.,])', ' \\1 ', 'g'), '{WS}+$', '')"
-
-
-def d_tok(c: str) -> str:
-    return f"list_filter(regexp_split_to_array({c}, '{WS}+'), lambda x: x <> '')"
-
 
 @register("word_counts", oracle=f"""
     SELECT word, CAST(count(*) AS BIGINT) AS freq
@@ -29,30 +20,39 @@ def q_word_counts(spark, d):
     return word_counts(doc.select(split_punctuation("text").alias("text")), "text")
 
 
+_SIDES = ("sides", "SELECT corpus, split, 'src' AS side, src AS text FROM corpora UNION ALL SELECT corpus, split, 'tgt', tgt FROM corpora")
+
+
 @register("build_vocab", oracle=fx.oracle(["corpora"], f"""
-    SELECT CAST(rank AS BIGINT) AS rank, token, freq FROM (
-        SELECT 0 AS rank, '<unk>' AS token, CAST(NULL AS BIGINT) AS freq UNION ALL
-        SELECT 1, '<blank>', NULL UNION ALL SELECT 2, '<s>', NULL UNION ALL SELECT 3, '</s>', NULL UNION ALL
-        SELECT 3 + row_number() OVER (ORDER BY freq DESC, token ASC), token, freq FROM top)""", [
-    ("c", f"""SELECT word AS token, CAST(count(*) AS BIGINT) AS freq
-              FROM (SELECT unnest({d_tok('src')}) AS word FROM corpora) GROUP BY word"""),
-    ("top", "SELECT token, freq FROM c ORDER BY freq DESC, token ASC LIMIT 1000")]))
+    SELECT side, CAST(rank AS BIGINT) AS rank, token, freq FROM (
+        SELECT side, rank, token, CAST(NULL AS BIGINT) AS freq
+        FROM (VALUES ('src'), ('tgt')) s(side), (VALUES (0, '<unk>'), (1, '<blank>'), (2, '<s>'), (3, '</s>')) t(rank, token) UNION ALL
+        SELECT side, 3 + n, token, freq FROM c WHERE n <= 10000)""", [
+    _SIDES,
+    ("c", f"""SELECT *, row_number() OVER (PARTITION BY side ORDER BY freq DESC, token ASC) AS n
+              FROM (SELECT side, word AS token, CAST(count(*) AS BIGINT) AS freq
+                    FROM (SELECT side, unnest({d_tok('text')}) AS word FROM sides) GROUP BY side, word)""")]))
 def q_build_vocab(spark, d):
-    return build_vocab(fx.corpora(spark, d), "src", size=1000)
+    pairs = fx.corpora(spark, d)
+    src, tgt = (build_vocab(pairs, side).select(F.lit(side).alias("side"), "rank", "token", "freq") for side in ("src", "tgt"))
+    return src.unionByName(tgt)
 
 
 @register("corpus_stats", oracle=fx.oracle(["corpora"], f"""
     SELECT per.*, coalesce(dist.distinct_words, 0) AS distinct_words,
            CAST(ceil(per.tokens / 4096) AS BIGINT) AS steps_per_epoch
-    FROM per LEFT JOIN dist USING (corpus, split)""", [
-    ("t", f"SELECT corpus, split, {d_tok('src')} AS tk FROM corpora"),
-    ("per", """SELECT corpus, split, CAST(count(*) AS BIGINT) AS lines, CAST(sum(len(tk)) AS BIGINT) AS tokens,
+    FROM per LEFT JOIN dist USING (corpus, split, side)""", [
+    _SIDES,
+    ("t", f"SELECT corpus, split, side, {d_tok('text')} AS tk FROM sides"),
+    ("per", """SELECT corpus, split, side, CAST(count(*) AS BIGINT) AS lines, CAST(sum(len(tk)) AS BIGINT) AS tokens,
                         CAST(max(len(tk)) AS BIGINT) AS max_len, round(avg(len(tk)), 4) AS mean_len
-                 FROM t GROUP BY corpus, split"""),
-    ("dist", """SELECT corpus, split, CAST(count(DISTINCT w) AS BIGINT) AS distinct_words
-                FROM (SELECT corpus, split, unnest(tk) AS w FROM t) GROUP BY corpus, split""")]))
+                 FROM t GROUP BY corpus, split, side"""),
+    ("dist", """SELECT corpus, split, side, CAST(count(DISTINCT w) AS BIGINT) AS distinct_words
+                FROM (SELECT corpus, split, side, unnest(tk) AS w FROM t) GROUP BY corpus, split, side""")]))
 def q_corpus_stats(spark, d):
-    return corpus_stats(fx.corpora(spark, d), "src", ["corpus", "split"])
+    sides = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("text")) for side in ("src", "tgt")]))
+    lines = fx.corpora(spark, d).select("corpus", "split", sides.alias("s")).select("corpus", "split", "s.side", "s.text")
+    return corpus_stats(lines, "text", ["corpus", "split", "side"])
 
 
 @register("vocab_by_freq", oracle=f"""

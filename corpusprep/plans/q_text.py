@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusprep.functions import text as tx
 from corpusprep.operators.external import build_prompt, clean_numbered
+from corpusprep.operators.order import ordered_scan
 from corpusprep.plans import fixtures as fx
 from corpusprep.plans.registry import register
 from corpusprep.sources.lines import parse_keyed_lines, parse_merges, parse_records, parse_vocab, parse_word_counts, with_run_step
@@ -152,20 +153,21 @@ def q_parse_records(spark, d):
 
 
 def _merge_lines(spark, d):
-    """A merge-table text: header, then one ``left right`` rule per document line (its first two
-    tokens); lines with fewer tokens make malformed rules."""
-    ln = fx.lines(spark, d)
-    t = tx.tokens("text")
-    rule = F.array_join(F.slice(t, 1, 2), " ")
-    body = ln.select((F.col("doc_id") * 100000 + F.col("line_no") + 1).alias("line_no"), rule.alias("text"))
+    """A merge-table text: header, then one ``left right`` rule per token and its successor in a
+    document line; a line's last token makes a malformed rule."""
+    ln = ordered_scan(fx.lines(spark, d), ["doc_id", "line_no"], index="line")
+    rules = ln.select("line", tx.tokens("text").alias("t")).select("line", "t", F.posexplode("t").alias("pos", "left"))
+    body = rules.select((F.col("line") * 1000000000 + F.col("pos") + 1).alias("line_no"),
+                        F.concat_ws(" ", "left", F.get("t", F.col("pos") + 1)).alias("text"))
     head = spark.createDataFrame([(0, "#version: 0.2")], "line_no long, text string")
     return head.unionByName(body)
 
 
 @register("read_merges", oracle=fx.oracle(["lines"], f"""
-    SELECT CAST(min(rank) AS BIGINT) AS rank, f[1] AS "left", f[2] AS "right"
-    FROM (SELECT doc_id * 100000 + line_no AS rank, ({d_tok('text')})[1:2] AS f FROM lines)
-    WHERE len(f) = 2 GROUP BY f[1], f[2]"""))
+    SELECT CAST(min(line * 1000000000 + pos - 1) AS BIGINT) AS rank, "left", "right" FROM (
+        SELECT line, unnest(range(1, len(t))) AS pos, unnest(t[:-2]) AS "left", unnest(t[2:]) AS "right" FROM (
+            SELECT row_number() OVER (ORDER BY doc_id, line_no) - 1 AS line, {d_tok('text')} AS t FROM lines) WHERE len(t) > 1)
+    GROUP BY ALL"""))
 def q_read_merges(spark, d):
     return parse_merges(_merge_lines(spark, d))
 
@@ -180,13 +182,11 @@ def q_read_vocab(spark, d):
 
 
 @register("read_word_counts", oracle=fx.oracle(["lines"], f"""
-    SELECT word, arg_max(freq, ord) AS freq FROM (
-        SELECT doc_id * 1000000 + line_no AS ord, ({d_tok('text')})[1] AS word, CAST(length(text) AS BIGINT) AS freq
-        FROM lines WHERE len({d_tok('text')}) > 0) GROUP BY word"""))
+    SELECT word, arg_max(freq, doc_id) AS freq FROM (
+        SELECT doc_id, word, CAST(count(*) AS BIGINT) AS freq
+        FROM (SELECT doc_id, unnest({d_tok('text')}) AS word FROM lines) GROUP BY doc_id, word) GROUP BY word"""))
 def q_read_word_counts(spark, d):
-    ln = fx.lines(spark, d)
-    t = tx.tokens("text")
-    # a line without tokens gives a one-field row, which the parser drops as malformed
-    wl = ln.select((F.col("doc_id") * 1000000 + F.col("line_no")).alias("ord"),
-                   F.concat_ws(" ", F.get(t, 0), F.length("text").cast("string")).alias("text"))
+    # one ``word count`` line per document and word; the last document's count holds
+    wc = word_counts(fx.lines(spark, d), "text", ["doc_id"])
+    wl = wc.select(F.col("doc_id").alias("ord"), F.concat_ws(" ", "word", F.col("freq").cast("string")).alias("text"))
     return parse_word_counts(wl, "text", order="ord")

@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from functools import lru_cache
 
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -59,20 +60,47 @@ PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "ul", "ol
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}}
 STOPS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "p": {"td", "th", "li", "table"}}
-_NOISE_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner\w*|sponsor\w*|promo\w*|cookies?\w*|consent|notices?|alerts?|popup|modal|newsletter|subscri\w*"
-                         r"|sign-?up|shar(?:e|ing)\w*|social\w*|related\w*|recommend\w*|sidebar\w*|widgets?|menus?|nav|navbar|navigation|breadcrumbs?"
-                         r"|pagination|pager|comments?|commentlist|disqus\w*|repl(?:y|ies)|respond|footers?|copyright|legal|disclaimer|login|search\w*|toolbar)(?:$|[\s_-])", re.I)
-_HEADER_NAME = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", re.I)
-_MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:article|articlebody|main|content|post|entry|story|hentry)(?:$|[\s_-])", re.I)
+_NOISE_WORD = re.compile(r"ads?|advert\w*|banner\w*|sponsor\w*|promo\w*|cookies?\w*|consent|notices?|alerts?|popup|modal|newsletter|subscri\w*"
+                         r"|signup|shar(?:e|ing)\w*|social\w*|related\w*|recommend\w*|sidebar\w*|widgets?|menus?|nav|navbar|navigation|breadcrumbs?"
+                         r"|pagination|pager|comments?|commentlist|disqus\w*|repl(?:y|ies)|respond|footers?|copyright|legal|disclaimer|login|search\w*|toolbar", re.I)
+_HEADER_WORD = re.compile(r"header|masthead|topbar", re.I)
+#: Words that may stand beside a noise word in one class token (site-footer, share-buttons); with any other
+#: word the token says something else (no-sidebar, has-banner, comments-open, right-sidebar).
+_BESIDE = {"site", "page", "main", "primary", "secondary", "global", "top", "bottom", "post", "entry", "article", "content", "user", "reader", "wrap", "wrapper",
+           "container", "box", "area", "list", "block", "section", "bar", "links", "buttons", "button", "form", "inner", "items", "item", "posts", "articles",
+           "text", "body", "icons", "slot", "unit", "holder", "media", "mobile", "desktop", "header", "this", ""}
+_MAIN_NAME = re.compile(r"(?:^|[_-])(?:article|articlebody|main|content|post|entry|story|hentry)(?:$|[_-])", re.I)
+#: Elements that are never noise by their name.
+_NEVER_NOISE = {"html", "body", "main", "article"}
 _P_ENDS = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer",
            "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "table", "ul"}
 
 
+@lru_cache(20_000)
+def _kind(name: str) -> str:
+    """``noise``, ``header``, ``main`` or nothing, as the tokens of class, id and role say."""
+    header = main = False
+    for token in name.split():
+        parts = re.split("[_-]", token.lower())
+        own = [bool(_NOISE_WORD.fullmatch(p)) for p in parts] if token.lower() not in ("sign-up", "sign_up") else [True]
+        if any(own):
+            if parts[0] != "content" and all(n or p in _BESIDE or p.isdigit() for n, p in zip(own, parts)):
+                return "noise"
+            continue
+        if any(_HEADER_WORD.fullmatch(p) for p in parts):
+            header = header or all(p in _BESIDE or _HEADER_WORD.fullmatch(p) for p in parts)
+        elif _MAIN_NAME.search(token):
+            main = True
+    return "header" if header else "main" if main else ""
+
+
 class Page:
     """The text blocks of a page, each with its node, and the presentations of the nodes.
 
     ``blocks``: (node, text, state, weighed) with state ``main``, ``rest`` or ``noise``; ``weighed``
-    is false for prose directly in the main part."""
+    is false for prose directly in the main part. What is noise by a name only (``named``) is left
+    again where it turns out to hold the page's main part: an article in it (``inner``) if the page
+    has no main part elsewhere, or a part that its name calls so (``deep``) if it has no other text."""
 
     def __init__(self, html: str | None):
         self.blocks: list[tuple[str, str, str, bool]] = []
@@ -102,7 +130,7 @@ class Page:
             return
         if tag in INLINE:
             # an inline element stays on the stack only to carry a noise name
-            if tag == "span" and attrs and _NOISE_NAME.search(self._name(attrs)[0]):
+            if tag == "span" and attrs and _kind(self._name(attrs)[0]) == "noise":
                 self._end_block()
                 tags.append((tag, tags[-1][1], "noise", True))
             return
@@ -118,12 +146,17 @@ class Page:
         if tag in VOID:
             return
         if state != "noise":
-            if tag in NO_TEXT or tag in NOISE_TAGS or _NOISE_NAME.search(name) or "hidden" in attrs and re.search(r"\shidden(?:[\s=/]|\Z)|aria-hidden=.?true|display:\s*none", attrs):
+            kind = _kind(name) if name and tag not in _NEVER_NOISE else ""
+            if tag in NO_TEXT or tag in NOISE_TAGS or "hidden" in attrs and re.search(r"\shidden(?:[\s=/]|\Z)|aria-hidden=.?true|display:\s*none", attrs):
                 state = "noise"
-            elif state == "rest" and (tag == "header" or _HEADER_NAME.search(name)):
+            elif kind == "noise" or state == "rest" and kind == "header":
+                state = "named" if state in ("rest", "named", "main") else "noise"
+            elif state == "rest" and tag == "header":
                 state = "noise"
-            elif tag in ("article", "main") or state == "rest" and tag in ("div", "section", "td") and _MAIN_NAME.search(name):
-                state, weighed = "main", False
+            elif tag in ("article", "main"):
+                state, weighed = "main" if tag == "main" or state in ("rest", "main") else "inner", False
+            elif state in ("rest", "named") and tag in ("div", "section", "td") and kind == "main":
+                state, weighed = "main" if state == "rest" else "deep", False
             elif tag not in PROSE:
                 weighed = True
         tags.append((tag, f"{node}>{step}", state, weighed))
@@ -186,6 +219,9 @@ class Page:
                 if m[3].rstrip().endswith("/") and tag not in VOID and tag not in INLINE and tag in ("script", "iframe"):
                     self._end(tag)
         self._end_block()
+        held = {b[2] for b in self.blocks}
+        main = next((x for x in ("main", "inner", "rest", "deep") if x in held), "")
+        self.blocks = [(n, t, "rest" if x == "rest" else "main" if x == main else "noise", w) for n, t, x, w in self.blocks]
 
     def candidates(self) -> list[tuple[str, str, bool]]:
         """(node, text, weighed) of the blocks that presentation leaves."""

@@ -36,6 +36,23 @@ def test_one_page():
     assert main_text("<article>" * 3000 + "deep" + "</article>" * 3000) == "deep"
 
 
+def test_names_on_what_holds_the_main_part():
+    text = "<h1>Title</h1><p>The whole story is told here.</p>"
+    want = "Title\nThe whole story is told here."
+    for name in ("single right-sidebar", "no-sidebar", "has-banner", "post comments-open", "sidebar", "widget banner", "fixed-header", "header", "search"):
+        for page in (f'<body class="{name}"><article>{text}</article></body>', f'<body class="{name}">{text}</body>', f'<html class="{name}"><body>{text}</body></html>',
+                     f'<body><article class="{name}">{text}</article></body>', f'<body><main id="{name}">{text}</main><p>Else</p></body>',
+                     f'<body><div class="{name}"><div><article>{text}</article></div></div><p>Else</p></body>', f'<body><div class="{name}"><main>{text}</main></div></body>',
+                     f'<body><div class="{name}"><div class="content">{text}</div></div></body>'):
+            assert main_text(page) == want, page
+    for name in ("no-sidebar", "has-banner", "comments-open", "right-sidebar"):
+        assert main_text(f'<body><div class="{name}">{text}</div></body>') == want, name
+    for name in ("sidebar", "site-footer", "cookie-notice", "share_buttons", "comments-area", "widget widget_text", "ad-2", "masthead"):
+        assert main_text(f'<body><div class="{name}"><p>Noise</p></div><div>{text}</div></body>') == want, name
+        assert main_text(f'<body><article>{text}</article><div class="{name}"><article>Card</article><div class="content">Else</div></div></body>') == want, name
+    assert main_text(f'<main>{text}<div id="comments"><article class="comment-body">Nice!</article></div></main>') == want
+
+
 def test_style_tree_without_landmarks(spark):
     """Branches that are alike on the pages of a host go, also where nothing names them."""
     def page(k):

@@ -36,9 +36,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run of 24 and more is the whole run
 KINDS = ("assign", "access", "hex", "guess")
 
+#: A credential name may follow other words (DB_PASSWORD, dbPassword) and go on (secret_access_key).
+_NAME_START = r"(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])))"
+_NAME_MORE = r"(?:[_.-]?(?:access|api|app|auth|base|client|encryption|key|master|private|secret|shared|signing|token|value))*(?:[_.-]?[0-9]{1,3})?"
 #: Credential context of the method: a group ``v`` is the value.
 CONTEXT = [
-    re.compile(r"""\b(?:pwd|pass(?:word|wd|phrase|code)?|secret(?:[_-]?key)?|token|api[_-]?(?:key|secret)|(?:access|auth|private|client|signing|encryption)[_-]?(?:key|token|secret)|credentials?)\b["']?\x20*(?:[:=]|=>|\bis\b)\x20*["']?(?P<v>[^\s"'<>,;]{6,})""", re.I | re.A),
+    re.compile(rf"""{_NAME_START}(?:pwd|pass(?:word|wd|phrase|code)?|secrets?|tokens?|api[_.-]?(?:key|secret)|(?:access|auth|private|client|signing|encryption)[_.-]?(?:key|token|secret)|credentials?)"""
+               rf"""{_NAME_MORE}\b["']?\x20*(?:[:=]|=>|\bis\b)\x20*["']?(?P<v>[^\s"'<>,;]{{6,}})""", re.I | re.A),
     re.compile(r"""\b(?:bearer|basic)\x20+(?P<v>[A-Za-z0-9+/_.=~-]{8,})""", re.I | re.A),
     re.compile(r"""[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:(?P<v>[^\s/@]{4,})@""", re.I | re.A),
 ]

@@ -83,6 +83,19 @@ def test_context_spans():
     assert guess_spans("x9$kQ2!zLp0v stands alone", [], RANKS) == []
 
 
+def test_names_with_words_around_them():
+    for name in ("AWS_SECRET_ACCESS_KEY=", "aws_secret_access_key = ", "DB_PASSWORD=", "DJANGO_SECRET_KEY='", "SECRET_KEY_BASE: ", "SECRET_KEY=", "spring.datasource.password=",
+                 '"dbPassword": "', "export MY-APP-API-KEY=", "DB_PASSWORD_2="):
+        for value in ("p@7#kQ!z9$Lw2xR", "k3j!x9@z$Qv1mR4t"):
+            t = f"# settings {name}{value}\nend"
+            assert [t[s:e] for s, _, e, _ in guess_spans(t, base_spans(t), RANKS)] == [value], t
+        weak = f"{name}changeme\n"
+        assert guess_spans(weak, [], RANKS) == []
+    t = "AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCY"
+    assert [t[s:e] for s, _, e, _ in guess_spans(t, base_spans(t), RANKS)] == ["wJalrXUtnFEMI/K7MDENG/bPxRfiCY"]
+    assert guess_spans("the compass: x9$kQ2!zLp0v and a monkey: x9$kQ2!zLp0v", [], RANKS) == []
+
+
 def test_edge_rows(spark, edge):
     rows = digest(secret_spans(edge, Q.tokenizer_path())).collect()
     assert len(rows) == edge.count() and all(r["spans"] == "" and r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in rows)

@@ -94,6 +94,22 @@ def test_against_python_and_inverse(spark):
         assert number((new - start).days, 189, 773, "date", back=True) == (d - start).days
 
 
+def test_iban_before_an_upper_case_word(spark):
+    def made(code, n):
+        b = "".join(random.Random(code).choice("0123456789") for _ in range(n - 4))
+        b = f"{code}{98 - mod97(code + '00' + b):02d}{b}"
+        return " ".join(b[k:k + 4] for k in range(0, n, 4))
+    ibans = ["ES91 2100 0418 4502 0005 1332", made("PL", 28), made("SE", 24), made("AT", 20), made("DE", 22), made("NO", 15)]
+    ibans += [x.replace(" ", "") for x in ibans]
+    words = ("BIC CAIXESBBXXX", "SWIFT CAIXESBB", "EUR", "A", "BANK 12 AG")
+    texts = [f"IBAN {x} {w}" for x in ibans for w in words]
+    for t, r in zip(texts, found(spark, texts)):
+        x, w = next((x, w) for x in ibans for w in words if t == f"IBAN {x} {w}")
+        assert [(v["kind"], v["value"]) for v in r["found"]] == [("iban", x)], (t, r)
+        new = r["found"][0]["pseudonym"]
+        assert r["text"] == f"IBAN {new} {w}" and mod97(new) == 1 and new != x
+
+
 def test_permutation(spark):
     got = [r[0] for r in spark.range(7 * 11).select(permute_number(F.col("id"), 7, 11, "k", "x")).collect()]
     assert sorted(got) == list(range(77)) and got != list(range(77))

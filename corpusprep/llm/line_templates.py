@@ -13,9 +13,10 @@ many hosts as its largest host has texts.
 
 Distribution: a document becomes two arrays of 64-bit hashes (lines and leaves). Counting is by
 ``groupBy`` with map-side combine; only lines of leaves that hold several different lines and
-enough hosts are read again as text and merged, leaf by leaf, in sorted order and in runs of at
-most ``LEAF_LINES`` lines; a larger leaf is dealt out by further leading tokens, as if the tree
-were deeper there. Nothing is broadcast without a size check and nothing is collected.
+enough hosts are read again as text and merged, leaf by leaf, in sorted order. A leaf of more than
+``LEAF_LINES`` lines is dealt out by the connected components of the blocks of tokens that its
+lines share; lines of different components cannot merge, so the result is that of the whole leaf.
+Nothing is broadcast without a size check and nothing is collected.
 
 Edge cases: NULL and empty texts have no lines and come back as they are; blank lines are never
 dropped; ids are not read, so NULL ids, repeated ids and repeated rows are kept row by row; extra
@@ -24,6 +25,7 @@ columns pass through (output columns replace columns of the same name).
 
 from __future__ import annotations
 
+import math
 import re
 
 import xxhash
@@ -31,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusprep.llm.common import fixed, map_rows, small_side, text_key, text_of
+from corpusprep.llm.components import components
 
 DEPTH = 3
 SIMILAR = 0.8
@@ -76,19 +79,42 @@ def _parsed(rows):
         yield key, lines, leaves, host
 
 
-def merge_leaf(lines: list[tuple[int, list[str]]]) -> list[tuple[int, int, str]]:
-    """(line hash, template hash, template) for the lines of one leaf that share a template."""
+def block_keys(tokens: list[str]) -> list[tuple[int, str]]:
+    """Blocks of the tokens after the leading ones, without variable fields: as many blocks as tokens
+    may differ, and one more, so lines (or a line and a template) that merge have one in common."""
+    n = len(tokens)
+    may_differ = n - math.ceil(max(MIN_CONSTANT, SIMILAR * n)) - tokens[:DEPTH].count(FIELD)
+    if may_differ <= 0:  # only a line with the same tokens could merge
+        return []
+    cuts = [DEPTH + (n - DEPTH) * k // (may_differ + 1) for k in range(may_differ + 2)]
+    blocks = enumerate(tokens[i:j] for i, j in zip(cuts, cuts[1:]))
+    return [(k, " ".join(x)) for k, x in blocks if FIELD not in x]
+
+
+def merge_leaf(lines) -> list[tuple[int, int, str]]:
+    """(line hash, template hash, template) for the lines of one leaf that share a template. A line
+    goes to the template that it agrees with most, the first of several; only templates with one of
+    its blocks can agree enough, so only these are compared."""
     groups: list[tuple[list, list[int]]] = []
+    index: dict[tuple[int, str], dict[int, None]] = {}
     for h, tokens in lines:
+        keys = block_keys(tokens)
         best, most = None, -1
-        for g in groups:
-            same = sum(a == b for a, b in zip(g[0], tokens) if a != FIELD)
+        for at in sorted({g for k in keys for g in index.get(k, ())}):
+            same = sum(a == b for a, b in zip(groups[at][0], tokens) if a != FIELD)
             if same > most:
-                best, most = g, same
+                best, most = at, same
         if best is not None and most >= max(MIN_CONSTANT, SIMILAR * len(tokens)):
-            best[0][:] = [a if a == b else FIELD for a, b in zip(best[0], tokens)]
-            best[1].append(h)
-        else:
+            template, members = groups[best]
+            if most < len(tokens) - template.count(FIELD):
+                old = block_keys(template)
+                template[:] = [a if a == b else FIELD for a, b in zip(template, tokens)]
+                for k in set(old).difference(block_keys(template)):
+                    index[k].pop(best, None)
+            members.append(h)
+        elif keys:
+            for k in keys:
+                index.setdefault(k, {})[len(groups)] = None
             groups.append((list(tokens), [h]))
     out = []
     for template, members in groups:
@@ -102,13 +128,13 @@ def _merged(rows):
     from itertools import groupby
 
     for _, same in groupby(rows, key=lambda r: r[:2]):
-        run = []
-        for _, _, h, line in same:
-            run.append((h, parse(line)))
-            if len(run) == LEAF_LINES:
-                yield from merge_leaf(run)
-                run = []
-        yield from merge_leaf(run)
+        yield from merge_leaf((h, parse(line)) for _, _, h, line in same)
+
+
+def _line_keys(rows):
+    for leaf, line, text in rows:
+        for k, block in block_keys(parse(text)):
+            yield line, _long(f"{leaf} {k} {block}")
 
 
 def _hosts(rows: DataFrame, key: str) -> DataFrame:
@@ -139,10 +165,17 @@ def recurring(parsed: DataFrame, texts: DataFrame, min_hosts: int = MIN_HOSTS) -
         .select("want", F.filter(F.split("text", "\n"), lambda x, i: F.array_contains(F.col("at"), i)).alias("text")) \
         .select(F.explode(F.arrays_zip("want", "text")).alias("x")).select("x.want.line", "x.want.leaf", "x.want.n", "x.text") \
         .groupBy("line", "leaf", "n").agg(F.min("text").alias("text"))
-    # a leaf that is over-full goes on by its further leading tokens
-    deal = F.when(F.col("n") > LEAF_LINES, F.xxhash64(F.slice(F.split(F.trim("text"), r"\s+"), DEPTH + 1, DEPTH))).otherwise(0)
-    leaves = found.withColumn("deal", deal).select("leaf", "deal", "line", "text").repartition("leaf", "deal") \
-        .sortWithinPartitions("leaf", "deal", "text", "line")
+    # an over-full leaf is dealt by components of shared blocks: lines of one template are in one
+    # component, so the templates are those of the whole leaf
+    leaves = found.select("leaf", F.lit(0).cast("long").alias("deal"), "line", "text", "n")
+    if wanted.where(F.exists("want", lambda x: x["n"] > LEAF_LINES)).limit(1).count():
+        full = fixed(found.where(F.col("n") > LEAF_LINES).select("leaf", "line", "text"))
+        keys = fixed(map_rows(full, _line_keys, "line long, key long"))
+        shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+        deal = components(keys.join(shared, "key", "left_semi"), "line", "key")
+        dealt = full.join(deal, F.col("line") == F.col("node")).select("leaf", F.col("component").alias("deal"), "line", "text")
+        leaves = leaves.where(F.col("n") <= LEAF_LINES).drop("n").unionByName(dealt)
+    leaves = leaves.select("leaf", "deal", "line", "text").repartition("leaf", "deal").sortWithinPartitions("leaf", "deal", "text", "line")
     merged = fixed(map_rows(leaves, _merged, "line long, template long, pattern string"))
     names = merged.select(F.col("line").alias("m"), "template")
     rows = counted.join(small_side(names), F.col("line") == F.col("m"), "left") \

@@ -1,3 +1,4 @@
+import random
 from collections import Counter, defaultdict
 
 from edge_rows import SMALL, edge  # noqa: F401
@@ -62,6 +63,40 @@ def test_templates_and_copies(spark):
     assert got[None]["text"] is None and got[None]["n_lines"] == 0
 
 
+def plain_merge(lines):
+    """Every line against every template of its leaf."""
+    groups = []
+    for h, tokens in lines:
+        same = [sum(a == b for a, b in zip(g, tokens) if a != "<*>") for g, _ in groups]
+        k = same.index(max(same)) if same else None
+        if k is not None and same[k] >= max(5, 0.8 * len(tokens)):
+            groups[k][0][:] = [a if a == b else "<*>" for a, b in zip(groups[k][0], tokens)]
+            groups[k][1].append(h)
+        else:
+            groups.append((list(tokens), [h]))
+    return sorted((h, " ".join(g)) for g, members in groups if len(members) > 1 for h in members)
+
+
+def test_merge_equals_every_pair():
+    rng = random.Random(1)
+    for n in range(1, 26):
+        for prefix in (["a", "b", "c"], ["a", "<*>", "c"]):
+            base = [[rng.choice("xyz") for _ in range(n)] for _ in range(4)]
+            lines = {tuple(prefix[:n] + [t if rng.random() > 0.12 else rng.choice(["u", "v", "<*>"]) for t in rng.choice(base)][3:]) for _ in range(120)}
+            lines = [(k, list(x)) for k, x in enumerate(sorted(lines))]
+            assert sorted((h, name) for h, _, name in merge_leaf(lines)) == plain_merge(lines)
+
+
+def test_many_names_give_one_template(spark):
+    """An over-full leaf: one template of 3,000 names, beside lines that only begin like it."""
+    other = "Posted by user {0} {1} about {0}{1} other and {1}{0} things"
+    name = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(4))
+    docs = [(k, f"{name(k)} tells a story of {name(k * 7 + 1)} and many others which is long and its own\nPosted by user {name(k)} in the news section today\n"
+                + other.format(name(k), name(k + 1))) for k in range(3000)]
+    got = drop_templates(spark.createDataFrame(docs, "doc_id long, text string")).select("dropped").distinct().collect()
+    assert [r["dropped"] for r in got] == [[1]]
+
+
 def test_edge_rows(spark, edge):
     out = drop_templates(edge.withColumn("dropped", edge["doc_id"]).withColumn("x", edge["doc_id"]))
     assert sorted(str(r["text"]) for r in out.collect()) == sorted(str(r["text"]) for r in edge.collect())

@@ -6,12 +6,14 @@ tokens that hold a digit read as the variable field ``<*>``. Under a leaf, lines
 which they differ become variable fields. A template that recurs across documents is dropped,
 with all its lines.
 
-Recurrence is counted in hosts: documents with equal text count once, and documents whose longest
-line begins alike (near copies) count as one host, so that the lines of copied documents are not
-taken for boilerplate. A template is dropped if it has ``min_hosts`` hosts and more than half as
-many hosts as its largest host has texts.
-
-Distribution: a document becomes two arrays of 64-bit hashes (lines and leaves). Counting is by
+Recurrence is counted in hosts: documents with equal text count once, and near copies count as one
+host, whatever their number, so that the lines of copied documents are not taken for boilerplate and
+adding copies changes no verdict. Near copies are texts of which over half of the line heads (first
+``HOST_TOKENS`` tokens) stand in other texts too and which agree in several of these; any other text
+is a host of its own, also where a repeated line is its longest. A template is dropped if it has
+``min_hosts`` hosts.
+
+Distribution: a document becomes arrays of 64-bit hashes (lines, leaves, heads). Counting is by
 ``groupBy`` with map-side combine; only lines of leaves that hold several different lines and
 enough hosts are read again as text and merged, leaf by leaf, in sorted order. A leaf of more than
 ``LEAF_LINES`` lines is dealt out by the connected components of the blocks of tokens that its
@@ -41,6 +43,7 @@ MIN_CONSTANT = 5
 LEAF_LINES = 2000
 MIN_HOSTS = 3
 HOST_TOKENS = 8
+BANDS = 6
 
 FIELD = "<*>"
 _DIGIT = re.compile(r"\S*[0-9]\S*")
@@ -57,8 +60,9 @@ def parse(line: str) -> list[str]:
 
 
 def document_lines(text: str):
-    """(line hashes, leaf hashes, host hash): one entry for each line of ``text``, NULL if blank."""
-    lines, leaves, longest, host = [], [], 0, ""
+    """(line hashes, leaf hashes, head hashes): one entry for each line of ``text``, NULL if blank;
+    the heads (how lines begin) are distinct."""
+    lines, leaves, heads = [], [], {}
     for line in text.split("\n"):
         tokens = parse(line)
         if not tokens:
@@ -68,15 +72,14 @@ def document_lines(text: str):
         whole = " ".join(tokens)
         lines.append(_long(whole))
         leaves.append(_long(f"{len(tokens)} {' '.join(tokens[:DEPTH])}"))
-        if len(tokens) > longest:
-            longest, host = len(tokens), " ".join(tokens[:HOST_TOKENS])
-    return lines, leaves, _long(host)
+        heads[" ".join(tokens[:HOST_TOKENS])] = None
+    return lines, leaves, [_long(x) for x in heads]
 
 
 def _parsed(rows):
     for key, text in rows:
-        lines, leaves, host = document_lines(text)
-        yield key, lines, leaves, host
+        lines, leaves, heads = document_lines(text)
+        yield key, lines, leaves, heads
 
 
 def block_keys(tokens: list[str]) -> list[tuple[int, str]]:
@@ -137,21 +140,38 @@ def _line_keys(rows):
             yield line, _long(f"{leaf} {k} {block}")
 
 
-def _hosts(rows: DataFrame, key: str) -> DataFrame:
-    """Per ``key``: ``hosts`` and ``most``, the texts of its largest host."""
-    return rows.groupBy(key, "host").agg(F.sum("texts").alias("texts")) \
-        .groupBy(key).agg(F.count(F.lit(1)).alias("hosts"), F.max("texts").alias("most"))
+def copy_hosts(parsed: DataFrame) -> DataFrame:
+    """``(copy, host)`` for the texts (by ``text_id``) of which over half of the heads stand in other
+    texts too, as in copies. Two such texts are linked if they agree in one of ``BANDS`` pairs of
+    minimum hashes of these heads, so one or a few common lines do not link them; a host is a component."""
+    heads = parsed.select(text_id().alias("id"), F.size("heads").alias("n"), F.explode("heads").alias("head"))
+    known = fixed(heads.groupBy("head").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select(F.col("head").alias("known")))
+    least = [F.min(F.xxhash64(F.lit(k), "head")).alias(f"m{k}") for k in range(2 * BANDS)]
+    copies = heads.join(small_side(known), F.col("head") == F.col("known"), "left_semi") \
+        .groupBy("id").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("c"), *least).where("2 * c > n")
+    bands = F.array(*[F.xxhash64(F.lit(-1 - k), f"m{2 * k}", f"m{2 * k + 1}") for k in range(BANDS)])
+    rows = fixed(copies.select("id", F.explode(bands).alias("band")))
+    several = rows.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band")
+    links = fixed(rows.join(several, "band", "left_semi").select("id", "band"))
+    if not links.limit(1).count():
+        return links.select(F.col("id").alias("copy"), F.col("band").alias("host"))
+    return components(links, "id", "band").select(F.col("node").alias("copy"), F.col("component").alias("host"))
+
+
+def text_id() -> Column:
+    return F.xxhash64("key.a", "key.b")
 
 
 def recurring(parsed: DataFrame, texts: DataFrame, min_hosts: int = MIN_HOSTS) -> DataFrame:
     """``(line, template)``: the line hashes that are dropped. ``parsed``: distinct texts
-    (``key lines leaves host``); ``texts``: ``key text``, at least one row for each."""
+    (``key lines leaves heads``); ``texts``: ``key text``, at least one row for each."""
+    # a text that is no copy is a host of its own
+    hosts = copy_hosts(parsed)
+    parsed = parsed.drop("heads").withColumn("id", text_id()).join(small_side(hosts), F.col("id") == F.col("copy"), "left") \
+        .withColumn("host", F.coalesce("host", "id"))
     each = parsed.select("key", "host", F.posexplode(F.arrays_zip("lines", "leaves")).alias("pos", "x")) \
         .select("key", "host", "pos", F.col("x.lines").alias("line"), F.col("x.leaves").alias("leaf")).where("line is not null")
-    # a text that holds a line twice counts once for it
-    once = each.groupBy("line", "leaf", "host", "key").agg(F.min("pos").alias("pos"))
-    counted = fixed(once.groupBy("line", "leaf", "host").agg(
-        F.count(F.lit(1)).alias("texts"), F.min(F.struct("key", "pos")).alias("at")))
+    counted = fixed(each.groupBy("line", "leaf", "host").agg(F.min(F.struct("key", "pos")).alias("at")))
     # the hosts of a line are combined before lines meet by leaf
     lines = counted.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("hosts"), F.min("at").alias("at"))
     leaf = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("hosts").alias("hosts")) \
@@ -180,7 +200,8 @@ def recurring(parsed: DataFrame, texts: DataFrame, min_hosts: int = MIN_HOSTS) -
     names = merged.select(F.col("line").alias("m"), "template")
     rows = counted.join(small_side(names), F.col("line") == F.col("m"), "left") \
         .withColumn("template", F.coalesce("template", "line"))
-    drop = _hosts(rows, "template").where((F.col("hosts") >= min_hosts) & (2 * F.col("hosts") > F.col("most"))).select(F.col("template").alias("tp"))
+    drop = rows.select("template", "host").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("hosts")) \
+        .where(F.col("hosts") >= min_hosts).select(F.col("template").alias("tp"))
     direct = drop.select(F.col("tp").alias("line"), F.col("tp").alias("template"))
     by_merge = merged.select("line", "template").join(drop, F.col("template") == F.col("tp"), "left_semi")
     # a merged line is judged by its template only
@@ -190,9 +211,9 @@ def recurring(parsed: DataFrame, texts: DataFrame, min_hosts: int = MIN_HOSTS) -
 def _verdicts(docs: DataFrame, text: str, min_hosts: int) -> DataFrame:
     """``(k, dropped)``: for each text that loses lines, their numbers (from 0)."""
     own = docs.select(text_key(text).alias("key"), text_of(text).alias("text"))
-    parsed = map_rows(own, _parsed, "key struct<a:long,b:long>, lines array<long>, leaves array<long>, host long")
+    parsed = map_rows(own, _parsed, "key struct<a:long,b:long>, lines array<long>, leaves array<long>, heads array<long>")
     # equal texts count once
-    parsed = fixed(parsed.groupBy("key").agg(F.first("lines").alias("lines"), F.first("leaves").alias("leaves"), F.first("host").alias("host")))
+    parsed = fixed(parsed.groupBy("key").agg(F.first("lines").alias("lines"), F.first("leaves").alias("leaves"), F.first("heads").alias("heads")))
     drop = fixed(recurring(parsed, own, min_hosts).select(F.col("line").alias("gone")).distinct())
     each = parsed.select("key", F.posexplode("lines").alias("pos", "line")).where("line is not null")
     return each.join(small_side(drop), F.col("line") == F.col("gone"), "left_semi") \

@@ -63,6 +63,29 @@ def test_templates_and_copies(spark):
     assert got[None]["text"] is None and got[None]["n_lines"] == 0
 
 
+def test_repeated_longest_line_and_copies(spark):
+    """A notice that is the longest line of different documents goes, also where it and a footer
+    stand in a large group of copies; the copies' own lines stay."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    line = lambda: " ".join(word() for _ in range(10))
+    notice = " ".join(f"notice{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    docs = [(k, "\n".join([line(), notice, line(), "Share this page with friends", line()])) for k in range(40)]
+    own = [line() for _ in range(12)]
+    for k in range(300):  # one or two lines edited in each copy
+        copy = list(own)
+        for at in rng.sample(range(12), 1 + k % 2):
+            copy[at] = " ".join([word(), *copy[at].split()[1:]])
+        docs.append((1000 + k, "\n".join([*copy[:6], notice, *copy[6:], "Share this page with friends"])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["dropped"] for r in drop_templates(df).collect()}
+    assert {tuple(got[k]) for k in range(40)} == {(1, 3)}
+    assert {tuple(v) for k, v in got.items() if k >= 1000} == {(6, 13)}
+    # without the other documents the copies are one host
+    assert all(not r["dropped"] for r in drop_templates(df.where("doc_id >= 1000")).collect())
+    assert {tuple(r["dropped"]) for r in drop_templates(df.where("doc_id < 40")).collect()} == {(1, 3)}
+
+
 def plain_merge(lines):
     """Every line against every template of its leaf."""
     groups = []

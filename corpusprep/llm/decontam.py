@@ -10,8 +10,11 @@ words) and each block scans the documents once, without a shuffle; nothing about
 reaches the driver. A pair whose seeds cannot reach the threshold is not tiled (exact bound:
 every tile consists of seeds).
 
-Edge cases: NULL or empty texts match nothing; items with fewer words than a seed are no evidence
-and never match; repeated rows and repeated items are reported each; an empty benchmark gives no
+Words of scripts that are written without spaces (Chinese, Japanese, Thai and others) are their single
+characters. An item with fewer words than a seed is its own seed and matches only where a document
+holds the whole item, word for word.
+
+Edge cases: NULL or empty texts match nothing; repeated rows and repeated items are reported each; an empty benchmark gives no
 row. Only the named id and text columns are read, so other columns cannot clash.
 """
 
@@ -27,6 +30,11 @@ from pyspark.sql import functions as F
 from corpusprep.llm.common import fixed, map_rows, small_side
 
 WORD = re.compile(r"\w+")
+# Scripts without spaces between words (Thai, Lao, Myanmar, Khmer, kana, bopomofo, Han).
+_RUN = ("\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+        "\uff66-\uff9f\U00020000-\U0003ffff")
+_UNSPACED = re.compile(f"[{_RUN}]")
+_WORD_OR_CHARACTER = re.compile(rf"[^\W{_RUN}]+|(?=\w)[{_RUN}]")
 MIN_MATCH = 5
 FIRST_LENGTH = 32
 BLOCK_WORDS = 1_000_000
@@ -36,7 +44,10 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    low = text.lower()
+    return (WORD if low.isascii() or not _UNSPACED.search(low) else _WORD_OR_CHARACTER).findall(low)
 
 
 def rolling(ids: np.ndarray, n: int) -> np.ndarray:
@@ -106,45 +117,67 @@ def _maximal(item, doc, free_i, free_d, length) -> list[tuple[int, int, int]]:
     return out
 
 
+class _Seeds:
+    """Sorted Karp-Rabin values of ``length`` words, with the items and places they come from."""
+
+    def __init__(self, ids: list[tuple[int, np.ndarray]], length: int):
+        self.length = length
+        seeds = [rolling(x, length) for _, x in ids]
+        h = np.concatenate(seeds)
+        item = np.repeat(np.array([n for n, _ in ids]), [len(s) for s in seeds])
+        at = np.concatenate([np.arange(len(s)) for s in seeds])
+        order = np.argsort(h, kind="stable")
+        self.hash, self.item, self.at = h[order], item[order], at[order]
+        # one bit for each low half of a seed: most words of a document stop here
+        self.sieve = np.zeros(1 << 16, bool)
+        self.sieve[(self.hash >> np.uint64(40)).astype(np.int64) & 0xFFFF] = True
+
+    def find(self, doc: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """(place in item, place in document) of the seeds in ``doc``, by item."""
+        seen: dict[int, list] = defaultdict(list)
+        if len(doc) < self.length:
+            return seen
+        h = rolling(doc, self.length)
+        maybe = np.flatnonzero(self.sieve[(h >> np.uint64(40)).astype(np.int64) & 0xFFFF])
+        lo = np.searchsorted(self.hash, h[maybe], "left")
+        hi = np.searchsorted(self.hash, h[maybe], "right")
+        for x in np.flatnonzero(hi > lo).tolist():
+            for s in range(lo[x], hi[x]):
+                seen[int(self.item[s])].append((int(self.at[s]), int(maybe[x])))
+        return seen
+
+
 class _Block:
-    """Seeds of some test items: sorted Karp-Rabin values with the items and places they come from."""
+    """Seeds of some test items; items shorter than a seed are seeds of their own length."""
 
     def __init__(self, items: list[tuple], min_match: int):
         self.vocab: dict[str, int] = {}
         self.ids, self.keys, self.min_match = [], [], min_match
+        by_length: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
         for key, text in items:
             w = words(text)
-            if len(w) >= min_match:
+            if w:
+                ids = np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w], np.uint64)
+                by_length[min(len(w), min_match)].append((len(self.ids), ids))
                 self.keys.append(key)
-                self.ids.append(np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w], np.uint64))
-        seeds = [rolling(x, min_match) for x in self.ids]
-        h = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
-        item = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])
-        at = np.concatenate([np.arange(len(s)) for s in seeds]) if seeds else np.zeros(0, np.int64)
-        order = np.argsort(h, kind="stable")
-        self.hash, self.item, self.at = h[order], item[order], at[order]
-        # one bit for each low half of a seed: most words of a document stop here
-        self.sieve = np.zeros(1 << 16, bool)
-        self.sieve[(self.hash >> np.uint64(40)).astype(np.int64) & 0xFFFF] = True
+                self.ids.append(ids)
+        self.seeds = [_Seeds(ids, n) for n, ids in sorted(by_length.items())]
 
     def matches(self, text: str | None, threshold: float):
         """(item key, item words, covered words, tiles) for each item covered enough."""
         get = self.vocab.get
         doc = np.array([get(w, 0) for w in words(text)], np.uint64)
         k = self.min_match
-        if len(doc) < k or not len(self.hash):
-            return
-        h = rolling(doc, k)
-        maybe = np.flatnonzero(self.sieve[(h >> np.uint64(40)).astype(np.int64) & 0xFFFF])
-        lo = np.searchsorted(self.hash, h[maybe], "left")
-        hi = np.searchsorted(self.hash, h[maybe], "right")
-        hit = np.flatnonzero(hi > lo)
-        seen: dict[int, list] = defaultdict(list)
-        for x in hit.tolist():
-            for s in range(lo[x], hi[x]):
-                seen[int(self.item[s])].append((int(self.at[s]), int(maybe[x])))
+        seen: dict[int, list] = {}
+        for seeds in self.seeds:
+            seen.update(seeds.find(doc))
         for item, pairs in sorted(seen.items()):
             ids = self.ids[item]
+            if len(ids) < k:  # the whole item, at its first place
+                d = next((d for _, d in pairs if np.array_equal(ids, doc[d:d + len(ids)])), None)
+                if d is not None:
+                    yield self.keys[item], len(ids), len(ids), [(0, d, len(ids))]
+                continue
             can = np.zeros(len(ids), bool)
             near = np.zeros(len(doc), bool)
             for i, d in pairs:
@@ -171,7 +204,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     length, in words)."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).alias("k"), F.col(item_text).alias("t")).where(F.col("t").isNotNull())
-    total = items.agg(F.coalesce(F.sum(F.length("t") / 2 + 1), F.lit(0))).first()[0]  # no text has more words
+    total = items.agg(F.coalesce(F.sum(F.when(F.octet_length("t") > F.length("t"), F.length("t")).otherwise(F.length("t") / 2 + 1)), F.lit(0))).first()[0]  # no text has more words
     blocks = max(1, -(-int(total) // block_words))
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
     id_type, key_type = d.schema["doc_id"].dataType.simpleString(), items.schema["k"].dataType.simpleString()

@@ -82,6 +82,18 @@ def test_reordered_and_clean(spark):
     assert contaminated_pairs(docs, bench.limit(0)).count() == 0 and contaminated_pairs(docs.limit(0), bench).count() == 0
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    zh = "\u4f60\u597d\u4e16\u754c\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u56ed"
+    assert words("Abc " + zh[:3] + "x1 \u30c6\u30b9\u30c8") == ["abc", *zh[:3], "x1", *"\u30c6\u30b9\u30c8"] and words("\u00e9t\u00e9 x_1") == ["\u00e9t\u00e9", "x_1"]
+    docs = spark.createDataFrame([(1, "Well: who wrote Hamlet? he did"), (2, "who never wrote hamlet"), (3, "wrote hamlet"), (4, "\u524d" + zh + "\u540e"),
+                                  (5, zh[:6] + "abc"), (6, "x " + zh[2:5] + " y"), (7, None), (8, "")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "Who wrote Hamlet"), (2, zh), (3, zh[2:5]), (4, "..."), (5, "Hamlet")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["covered_words"], r["coverage"], [tuple(t) for t in r["tiles"]]) for r in contaminated_pairs(docs, bench).collect()}
+    assert got == {(1, 1): (3, 1.0, [(0, 1, 3)]), (1, 5): (1, 1.0, [(0, 3, 1)]), (2, 5): (1, 1.0, [(0, 3, 1)]), (3, 5): (1, 1.0, [(0, 1, 1)]),
+                   (4, 2): (15, 1.0, [(0, 1, 15)]), (4, 3): (3, 1.0, [(0, 3, 3)]), (5, 3): (3, 1.0, [(0, 2, 3)]), (6, 3): (3, 1.0, [(0, 1, 3)])}
+    assert sorted(r["doc_id"] for r in decontaminate(docs, bench).collect()) == [7, 8]
+
+
 def test_edge_rows(spark, edge):
     bench = spark.createDataFrame([(1, "the cat sat on the mat"), (1, "the cat sat on the mat")], "item_id long, text string")
     assert [(r["doc_id"], r["covered_words"]) for r in contaminated_pairs(edge, bench).collect()] == [(9, 6), (9, 6)]

@@ -15,8 +15,9 @@ From each page go (a) elements that are no text, and branches whose element, cla
 menu, header, footer, sidebar, notice, advert, form or reader comments: their importance is 0 by
 presentation; (b) where a page marks its main part (article, main, or a class or id that says so),
 what lies outside it; (c) branches of importance below ``MIN_IMPORTANCE`` on hosts with
-``MIN_PAGES`` pages that hold them. Headings, paragraphs and the like directly in the main part are
-content by presentation and are never weighed.
+``MIN_PAGES`` pages that hold them; (d) paragraphs and the like directly in the main part (no headings)
+whose own content entropy on the host, 1 - log_m(d), is below ``MAIN_IMPORTANCE``, if more than half of
+the page's text stays: a promotion that nearly all articles of a host repeat, not an article copied.
 
 Distribution: pages become narrow (host, node, feature) rows, counted with map-side combine, so a
 host with a third of all pages is no hot task; the low branches of a host are joined back by host
@@ -43,6 +44,7 @@ from corpusprep.llm.common import fixed, map_rows, small_side
 GAMMA = 0.9
 MIN_IMPORTANCE = 0.2
 MIN_PAGES = 5
+MAIN_IMPORTANCE = 0.05
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
@@ -229,12 +231,23 @@ class Page:
         return main or [(n, t, True) for n, t, s, _ in self.blocks if s == "rest"]
 
 
-def main_text(html: str | None, low: set[str] | frozenset = frozenset()) -> str:
-    """The page's main text; ``low``: nodes of low importance on its host."""
+def main_text(html: str | None, low: set[str] | frozenset = frozenset(), common: set[int] | frozenset = frozenset()) -> str:
+    """The page's main text; ``low``: nodes of low importance on its host; ``common``: hashes of
+    blocks of main parts that nearly all its pages repeat. These go only if most of the text stays,
+    so copied articles are kept."""
     page = Page(html)
     def keep(node: str, weighed: bool) -> bool:
         return not weighed or not low or not any(node == x or node.startswith(x + ">") for x in low)
-    return "\n".join(t for n, t, w in page.candidates() if keep(n, w))
+    got = [(n, t, w) for n, t, w in page.candidates() if keep(n, w)]
+    if common:
+        own = [(n, t, w) for n, t, w in got if w or _is_heading(n) or _hash(t) not in common]
+        if 2 * sum(len(t) for _, t, _ in own) > sum(len(t) for _, t, _ in got):
+            got = own
+    return "\n".join(t for _, t, _ in got)
+
+
+def _is_heading(node: str) -> bool:
+    return re.match(r"(?:h[1-6]|th|dt)(?:\.|\Z)", node.rpartition(">")[2]) is not None
 
 
 def host_of(url: str = "url") -> Column:
@@ -269,18 +282,30 @@ def _features(rows):
             yield host, node, prior.get(node), shown, h
 
 
+def _tree_rows(pages: DataFrame, url: str, html: str) -> DataFrame:
+    """``host``, ``node``, ``shown`` (a presentation, else a text block), ``feature``, ``d`` pages that have it, ``prior``."""
+    rows = map_rows(pages.select(host_of(url).alias("host"), F.col(html).alias("html")), _features, "host string, node string, prior int, shown boolean, feature long")
+    return rows.groupBy("host", "node", "shown", "feature").agg(F.count(F.lit(1)).alias("d"), F.min("prior").alias("prior"))
+
+
 def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``host``, ``node``, ``pages`` that hold it, ``prior``, ``presentation``, ``content`` and
     ``importance``: 0 for nodes that are noise by their presentation, no less than
     ``MIN_IMPORTANCE`` for prose of the main part."""
-    rows = map_rows(pages.select(host_of(url).alias("host"), F.col(html).alias("html")), _features, "host string, node string, prior int, shown boolean, feature long")
-    each = rows.groupBy("host", "node", "shown", "feature").agg(F.count(F.lit(1)).alias("d"), F.min("prior").alias("prior"))
+    return _tree(_tree_rows(pages, url, html)).drop("common")
+
+
+def _tree(each: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """The style tree, with the prose blocks of main parts that at least ``min_pages`` pages repeat
+    (``common``: hash and pages)."""
+    repeated = F.when(~F.col("shown") & (F.col("prior") == 1) & (F.col("d") >= min_pages), F.struct("feature", "d"))
     # a page has one presentation of a node, so their counts add up to its pages
     node = each.groupBy("host", "node").agg(
         F.min("prior").alias("prior"),
         F.sum(F.when(F.col("shown"), F.col("d"))).alias("pages"), F.count(F.when(F.col("shown"), 1)).alias("styles"),
         F.sum(F.when(F.col("shown"), F.col("d") * F.ln("d"))).alias("pd"),
-        F.sum(F.when(~F.col("shown"), F.col("d"))).alias("blocks"), F.sum(F.when(~F.col("shown"), F.col("d") * F.ln("d"))).alias("bd"))
+        F.sum(F.when(~F.col("shown"), F.col("d"))).alias("blocks"), F.sum(F.when(~F.col("shown"), F.col("d") * F.ln("d"))).alias("bd"),
+        F.collect_list(repeated).alias("common"))
     m = F.col("pages")
     many = m > 1
     presentation = F.when(many, (F.ln(m) - F.col("pd") / m) / F.ln(m)).otherwise(1.0)
@@ -288,23 +313,28 @@ def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     g = F.pow(F.lit(GAMMA), F.col("styles"))
     weight = (1 - g) * presentation + g * content
     importance = F.when(F.col("prior") == 0, 0.0).when(F.col("prior") == 1, F.greatest(weight, F.lit(MIN_IMPORTANCE))).otherwise(weight)
-    return node.select("host", "node", "pages", "prior", presentation.alias("presentation"), content.alias("content"), importance.alias("importance"))
+    return node.select("host", "node", "pages", "prior", presentation.alias("presentation"), content.alias("content"), importance.alias("importance"), "common")
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html",
             min_importance: float = MIN_IMPORTANCE, min_pages: int = MIN_PAGES) -> DataFrame:
     """One row per page: ``page_id``, ``url``, ``text`` (the blocks of the main text, a line each)
     and ``n_chars``."""
+    tree = _tree(_tree_rows(pages, url, html), min_pages).where(F.col("pages") >= min_pages)
     # noise by presentation needs no list: the parser of the page tells it
-    low = style_tree(pages, url, html).where((F.col("importance") < min_importance) & (F.col("pages") >= min_pages) & F.col("prior").isNull()) \
-        .groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("low")).select(F.col("host").alias("h"), "low")
+    low = F.when((F.col("importance") < min_importance) & F.col("prior").isNull(), F.col("node"))
+    # a block of the main part is weighed by its own content entropy on the host
+    common = F.filter("common", lambda x: 1 - F.ln(x["d"]) / F.ln("pages") < MAIN_IMPORTANCE)
+    low = tree.select("host", low.alias("node"), F.transform(common, lambda x: x["feature"]).alias("common")).where("node is not null or size(common) > 0") \
+        .groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("low"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("common")))).alias("common")) \
+        .select(F.col("host").alias("h"), "low", "common")
     p = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(url).alias("host"))
     p = p.join(small_side(fixed(low), 50_000), F.col("host") == F.col("h"), "left")
 
     def run(rows):
-        for i, u, x, nodes in rows:
-            yield i, u, main_text(x, frozenset(nodes or ()))
+        for i, u, x, nodes, blocks in rows:
+            yield i, u, main_text(x, frozenset(nodes or ()), frozenset(blocks or ()))
 
     kind = p.schema["page_id"].dataType.simpleString()
-    out = map_rows(p.select("page_id", "url", "html", "low"), run, f"page_id {kind}, url string, text string")
+    out = map_rows(p.select("page_id", "url", "html", "low", "common"), run, f"page_id {kind}, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

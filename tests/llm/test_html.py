@@ -68,6 +68,20 @@ def test_style_tree_without_landmarks(spark):
     assert tree["a.example.com", ">body>div.top"]["importance"] < 0.01 and tree["a.example.com", ">body>div.x1"]["pages"] == 8
 
 
+def test_promotion_in_all_articles_of_a_host(spark):
+    def page(k, copied=False):
+        story = "A copied story that all pages tell in the same words." if copied else f"Story {k} about {k * k} things that no other page has."
+        return f"<body><article><h1>Title {k}</h1><h2>Summary</h2><p>{story}</p><p>{story} Part {'two' if copied else k + 100}.</p><p>Buy our book now!</p></article></body>"
+    rows = [(k, f"http://a.example.com/{k}", page(k)) for k in range(12)] + [(100 + k, f"http://c.example.com/{k}", page(k, True)) for k in range(12)]
+    rows += [(200 + k, f"http://few.example.com/{k}", page(k)) for k in range(3)]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(12):
+        story = f"Story {k} about {k * k} things that no other page has."
+        assert got[k] == f"Title {k}\nSummary\n{story}\n{story} Part {k + 100}."
+        assert got[100 + k].endswith("Buy our book now!") and "A copied story" in got[100 + k]  # copies stay whole
+    assert all(got[200 + k].endswith("Buy our book now!") for k in range(3))
+
+
 def test_importance_by_definition(spark):
     import math
     pages = [f"<body><div class=m>{'same' if k < 4 else f'own {k}'}</div></body>" for k in range(6)]

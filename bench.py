@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-LEARN_MERGES = int(os.environ.get("BENCH_MERGES", "200"))
+LEARN_MERGES = int(os.environ.get("BENCH_MERGES", "10000"))
 
 
 def main() -> None:
@@ -59,8 +59,8 @@ def main() -> None:
     plan = [
         ("word_counts", q["word_counts"]),
         ("align_by_key", q["align_by_key"]),
-        ("learn_bpe_200", learn),
-        ("apply_bpe_200", apply),
+        (f"learn_bpe_{LEARN_MERGES}", learn),
+        (f"apply_bpe_{LEARN_MERGES}", apply),
         ("corpus_bleu", q["corpus_bleu"]),
         ("corpus_chrf", q["corpus_chrf"]),
         ("score_runs", q["score_runs"]),
@@ -69,7 +69,7 @@ def main() -> None:
         ("token_batches", q["token_batches"]),
         ("best_per_run", q["best_per_run"]),
         ("map_batches", q["map_batches"]),
-        ("flagship", lambda s, dd: flagship(s, dd)),
+        ("flagship", lambda s, dd: flagship(s, dd, LEARN_MERGES)),
     ]
     only = set(filter(None, os.environ.get("BENCH_ONLY", "").split(",")))
     fx.table(spark, d, "documents").write.format("noop").mode("overwrite").save()  # warm-up
@@ -83,10 +83,10 @@ def main() -> None:
         times[name] = round(time.time() - t0, 3)
     # alternative plans, timed for comparison only (not part of the total)
     comparisons = {}
-    if not only or "apply_bpe_200_distinct" in only:
+    if not only or f"apply_bpe_{LEARN_MERGES}_distinct" in only:
         t0 = time.time()
         apply_distinct(spark, d).write.format("noop").mode("overwrite").save()
-        comparisons["apply_bpe_200_distinct"] = round(time.time() - t0, 3)
+        comparisons[f"apply_bpe_{LEARN_MERGES}_distinct"] = round(time.time() - t0, 3)
     out = {
         "metric": "total_sec",
         "value": round(sum(times.values()), 3),

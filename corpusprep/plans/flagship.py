@@ -14,6 +14,7 @@ from corpusprep.operators.variants import build_variants
 from corpusprep.plans import fixtures as fx
 
 GROUPS = ["variant", "side"]
+NUM_MERGES = 10_000  # as the reference learns
 
 
 def sides(variants: DataFrame) -> DataFrame:
@@ -23,13 +24,13 @@ def sides(variants: DataFrame) -> DataFrame:
         variants.select(*cols, F.lit("tgt").alias("side"), F.col("tgt").alias("text")))
 
 
-def prepare(spark: SparkSession, sf_dir: str, num_merges: int = 8) -> tuple[DataFrame, DataFrame]:
+def prepare(spark: SparkSession, sf_dir: str, num_merges: int = NUM_MERGES) -> tuple[DataFrame, DataFrame]:
     long = sides(build_variants(fx.corpora(spark, sf_dir)))
     merges = learn_bpe(long.filter(F.col("split") == "train"), "text", num_merges=num_merges, group_cols=GROUPS)
     encoded = apply_bpe_groups(long, "text", merges, GROUPS, out_col="enc")
     return merges, encoded
 
 
-def flagship(spark: SparkSession, sf_dir: str, num_merges: int = 8) -> DataFrame:
+def flagship(spark: SparkSession, sf_dir: str, num_merges: int = NUM_MERGES) -> DataFrame:
     _, encoded = prepare(spark, sf_dir, num_merges)
     return corpus_stats(encoded, "enc", ["variant", "side", "split"])

@@ -10,6 +10,17 @@ def test_entry_smoke(spark):
     assert df.count() > 0
 
 
+def test_default_merges_are_those_of_the_reference(monkeypatch):
+    import inspect
+
+    from corpusprep.plans.flagship import flagship, prepare
+    assert all(inspect.signature(f).parameters["num_merges"].default == 10_000 for f in (prepare, flagship))
+    monkeypatch.delenv("BENCH_MERGES", raising=False)
+    monkeypatch.delitem(__import__("sys").modules, "bench", raising=False)
+    import bench
+    assert bench.LEARN_MERGES == 10_000
+
+
 def test_registry_keys():
     from corpusprep.plans.registry import queries as own
     q, o = e.queries(), e.oracle_sql()

@@ -1,51 +1,62 @@
 """BPE merge learning (A2-A4, B1-B5) as an iterative Spark job.
 
 Data layout: the word-type table ``(group..., sym, freq)``, one row per distinct word per
-group, where ``sym`` is the word as space-wrapped symbols ``' a  b  c</w> '``. In that form a
-merge is the literal ``replace(sym, ' a  b ', ' ab ')``: whole symbols only, left to right,
-non-overlapping, evaluated in whole-stage codegen with no regex and no escaping.
-
-One round (``_learn_loop``):
-1. from the materialised pair table ``(group..., l, r, freq)``, one collect of bounded size:
-   the top ``candidates`` pairs per group by (freq, l, r) descending (salted two-stage top-k,
-   so a huge group never sorts in one task) and, per group, the highest pair count ending in /
-   starting with each symbol (bounded by alphabet + merges learned);
-2. for the few candidates that could be accepted, one collect of triple maxima, read only from
-   the word types that hold those candidates;
-3. on the driver: accept a prefix of the candidates by the exact multi-merge rule (below);
-4. apply the accepted merges with one ``aggregate(merges, sym, replace)`` expression, and update
-   the pair table by delta counts from the word types that held an accepted pair (old pairs
-   subtracted, new pairs added); partial aggregation absorbs hot pairs.
-
-Exact multi-merge rule. Walk the candidates in (freq, l, r) descending order; the first is
-the true best pair. Accept the next ``(c, d)`` only while (i) no accepted merge ``(a, b)`` can
-change its count or touch the same occurrence (merging ``(a, b)`` only alters pairs ``(x, a)``,
-``(b, y)`` and pairs holding ``ab``, so ``d != a``, ``c != b``, and created symbols stay
-distinct), and (ii) its count is strictly above every count a pair created this round can
-reach: ``(x, ab)`` needs a triple ``x a b`` (at most ``TL[a,b]``, plus existing ``(x, ab)``
-pairs, at most ``L[ab]``), symmetrically ``(ab, y)``; ``(ab, ab)`` and pairs of two created
-symbols need a specific old pair between them. Then the candidate is exactly what one merge per
-step would pick next, and accepted merges commute. Stop at the first failure (never skip).
-Counts are true pair counts (the published definition).
-
-Lineage: each round adds one projection; the type table is checkpointed every
-every round into ``spark.checkpoint.dir``.
+group, where ``sym`` is the word as space-wrapped symbols ``' a  b  c</w> '``, and the pair table
+``(group, l, r, freq, places)``.
+
+One round (``_learn``), for all groups at once; ``bpe_rounds`` holds what is done inside a group:
+
+1. ``top_pairs``: the first ``candidates`` pairs of every group, from the pair table;
+2. ``summarise``: one pass over the word types gives every group the bounded summary that its
+   round needs (words with a hot pair, or distinct runs of hot pairs with added frequencies);
+3. ``solve``: one task per group works out the merges of the round from that summary. Their number
+   is about that of the hot pairs, so 10,000 merges take tens of rounds and not thousands;
+4. ``step``: one pass over the word types applies the merges, which travel as data (one broadcast
+   table for all groups, as many rows as the round has merges), and writes the touched words and
+   the change of every pair they touch; changes are added up inside the task first;
+5. the pair table takes the changes in one aggregation.
+
+Bounds. A summary of whole words has at most ``rows`` words, proven from the pair table's
+``places`` before it is made; one of runs is counted before a task gets it, and a group over
+``rows`` goes again with half as many pairs, in the end with the first pair alone, which needs no
+summary. The driver holds the candidates of ``GROUPS_AT_ONCE`` groups and the merges learned.
+
+Store. Words and pairs are written as Parquet generations below ``spark.checkpoint.dir``, so a lost
+executor costs one task. The word types lie in a *base* and a *young* part. The base holds words
+without any of the group's first ``BASE_FACTOR * candidates`` pairs when it was written; no round
+reads it until its pairs come up. A round rewrites the young part only. Words of a single symbol
+leave the store. A generation that no later round reads is deleted.
+
+Results are those of one merge at a time over true pair counts (the published definition), ties to
+the greatest ``(left, right)`` by code points.
 """
 
 from __future__ import annotations
 
 import logging
+from collections import defaultdict
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusprep.operators import bpe_rounds as rounds
 from corpusprep.operators.stats import symbols_array, to_symbols, word_counts
-from corpusprep.session import cut_lineage, shuffle_partitions
+from corpusprep.session import cut_lineage, ensure_checkpoint_dir, remove_path, shuffle_partitions
 
 log = logging.getLogger(__name__)
 
 MERGE_SCHEMA = "rank long, left string, right string, freq long"
-TYPES_PER_PARTITION = 10_000
+GROUPS_AT_ONCE = 64
+TASK_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
+BASE_FACTOR = 4
+PAIR_ROUNDS = 3  # changes of as many rounds are taken into the pair table at a time
+BASE_ROUNDS = 8  # base and young are split anew after as many rounds at the latest
+WHOLE_START = 64  # pairs of the first round in runs
+WORDS = "gid int, sym string, freq long"
+PAIRS = "gid int, l string, r string, freq long, places long"
+#: Rows that a task adds up in memory before it lets them go.
+IN_TASK = 200_000
 
 
 def pairs_of(sym: Column) -> Column:
@@ -81,272 +92,350 @@ def merge_pair(sym: Column, left: str, right: str) -> Column:
     return F.replace(sym, F.lit(f" {left}  {right} "), F.lit(f" {left}{right} "))
 
 
-def _merge_expr(sym: Column, merges: list[tuple[str, str]]) -> Column:
-    """Nested literal ``replace`` calls (whole-stage codegen; accepted merges of one round
-    commute, so their order inside the round does not matter)."""
-    out = sym
-    for a, b in merges:
-        out = F.replace(out, F.lit(f" {a}  {b} "), F.lit(f" {a}{b} "))
-    return out
-
-
-def _top_candidates(pairs: DataFrame, g: list[str], k: int, salt: int) -> DataFrame:
+def top_pairs(pairs: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` pairs of every group by ``(freq, l, r)`` falling. Up to ``TASK_LIMIT`` pairs
+    Spark limits each group inside the task before the shuffle; for more, a salted stage does."""
     order = [F.col("freq").desc(), F.col("l").desc(), F.col("r").desc()]
-    if not g or g == ["__g"]:
-        return pairs.orderBy(*order).limit(k)
-    b = pairs.withColumn("__b", F.pmod(F.xxhash64("l", "r"), F.lit(salt)))
-    w1 = Window.partitionBy(*g, "__b").orderBy(*order)
-    stage1 = b.withColumn("__rn", F.row_number().over(w1)).filter(F.col("__rn") <= k).drop("__rn", "__b")
-    w2 = Window.partitionBy(*g).orderBy(*order)
-    return stage1.withColumn("__rn", F.row_number().over(w2)).filter(F.col("__rn") <= k).drop("__rn")
-
-
-def _conflicts(c: str, d: str, acc: list[tuple[str, str, int]]) -> bool:
-    """True when merging an accepted pair could change the count of ``(c, d)`` or the two
-    merges could touch the same occurrence: merging ``(a, b)`` only alters pairs ``(x, a)``,
-    ``(b, y)`` and pairs holding ``ab``; created symbols must also stay distinct."""
-    cd = c + d
-    for a, b, _ in acc:
-        ab = a + b
-        if d == a or c == b or c == ab or d == ab or cd == ab or cd == a or cd == b:
-            return True
-    return False
-
-
-def _prefix_compatible(cands: list[tuple[int, str, str]], min_freq: int, budget: int) -> list[tuple[int, str, str]]:
-    """The candidates that can possibly be accepted: the prefix before the first conflict or
-    the first count below ``min_freq``."""
-    out: list[tuple[int, str, str]] = []
-    acc: list[tuple[str, str, int]] = []
-    for c, a, b in cands:
-        if len(out) >= budget or c < min_freq:
-            break
-        if acc and _conflicts(a, b, acc):
-            break
-        out.append((c, a, b))
-        acc.append((a, b, c))
-    return out
-
-
-class _PairCounts(dict):
-    """Pair counts of the candidate list; any other pair is bounded by ``floor``."""
-
-    def __init__(self, known: dict, floor: int):
-        super().__init__(known)
-        self.floor = floor
-
-    def get(self, key, default=None):  # noqa: D401 - dict API
-        return super().get(key, self.floor)
-
-
-def _accept_exact(cands, lmax, rmax, tl, tr, pc, min_freq: int, budget: int):
-    """Exact acceptance with the tight bound. Merging ``(a, b)`` creates ``(x, ab)`` pairs only
-    where the triple ``x a b`` occurred (at most ``TL[a,b]`` per ``x``) on top of existing
-    ``(x, ab)`` pairs (``L[ab]``); symmetric for ``(ab, y)``; ``(ab, ab)`` needs a ``(b, a)``
-    pair between, and a pair of two created symbols ``(ab, cd)`` needs a ``(b, c)`` pair.
-    A candidate is taken while it does not conflict with the accepted ones and its count is
-    strictly above every such bound; the first failure ends the round."""
-    acc: list[tuple[str, str, int]] = []
-    bound = None
-    for c, a, b in cands:
-        if len(acc) >= budget:
+    if k > TASK_LIMIT:
+        salt = F.pmod(F.xxhash64("l", "r"), F.lit(shuffle_partitions(pairs.sparkSession)))
+        n = F.row_number().over(Window.partitionBy("gid", "__salt").orderBy(*order))
+        pairs = pairs.withColumn("__salt", salt).withColumn("__n", n).where(F.col("__n") <= k).drop("__n", "__salt")
+    n = F.row_number().over(Window.partitionBy("gid").orderBy(*order))
+    return pairs.withColumn("__n", n).where(F.col("__n") <= k).drop("__n")
+
+
+def _added_up(rows, names: list[str], keys: int):
+    """Arrow batches of ``rows`` (key columns, then numbers), equal keys added up in the task as
+    far as memory goes."""
+    import pyarrow as pa
+
+    def batch(held):
+        cols = list(zip(*(k + tuple(v) for k, v in held.items())))
+        kinds = [pa.int32()] + [pa.string()] * (keys - 1) + [pa.int64()] * (len(names) - keys)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
+
+    held: dict[tuple, list] = {}
+    for r in rows:
+        key = r[:keys]
+        if key in held:
+            held[key] = [a + b for a, b in zip(held[key], r[keys:])]
+        else:
+            held[key] = list(r[keys:])
+            if len(held) >= IN_TASK:
+                yield batch(held)
+                held = {}
+    if held:
+        yield batch(held)
+
+
+def _rows(batches):
+    for b in batches:
+        yield from zip(*(c.to_pylist() for c in b.columns))
+
+
+def summarise(words: DataFrame, plan) -> DataFrame:
+    """``(gid, sym, freq)``: the summaries of the groups in the broadcast ``plan``
+    (gid -> Round); equal rows of a group may remain where tasks met the same run."""
+
+    def run(batches):
+        todo = plan.value
+
+        def rows():
+            for gid, sym, freq in _rows(batches):
+                rnd = todo.get(gid)
+                if rnd is not None and rnd.form != "first":
+                    for s in rounds.cut(sym.split(" "), rnd.hot, rnd.form):
+                        yield gid, " ".join(s), freq
+        yield from _added_up(rows(), ["gid", "sym", "freq"], 2)
+
+    return words.mapInArrow(run, WORDS)
+
+
+def solve(summary: DataFrame, plan, budget: dict, old, min_freq: int) -> DataFrame:
+    """``(gid, k, l, r, freq)``: the merges of the round in their order, one task per group."""
+
+    def run(key, part):
+        import pandas as pd
+
+        gid = key[0].as_py() if hasattr(key[0], "as_py") else int(key[0])
+        items = [(s.split(" "), int(f)) for s, f in zip(part["sym"], part["freq"])]
+        got = rounds.solve(items, plan.value[gid], budget[gid], min_freq, old.value.get(gid, set()))
+        return pd.DataFrame([(gid, k, l, r, c) for k, (l, r, c) in enumerate(got)], columns=["gid", "k", "l", "r", "freq"])
+
+    return summary.groupBy("gid").applyInPandas(run, "gid int, k int, l string, r string, freq long")
+
+
+def step(words: DataFrame, orders) -> DataFrame:
+    """One pass over the words with the round's merges (broadcast ``orders``: gid -> pair -> its
+    positions): rows of kind 0 are words of two symbols or more, rows of kind 1 what the counts
+    of pairs change by."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        todo = orders.value
+        names = ["gid", "l", "r", "freq", "places"]
+        changes: dict[tuple, list] = {}
+
+        def change(gid, syms, freq, n):
+            for p in zip(syms, syms[1:]):
+                c = changes.setdefault((gid, *p), [0, 0])
+                c[0] += n * freq
+                c[1] += n
+
+        def flush():
+            rows = [(*k, *v) for k, v in changes.items() if v != [0, 0]]
+            changes.clear()
+            if rows:
+                gid, l, r, f, n = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([1] * len(rows), pa.int32()), pa.array(gid, pa.int32()), pa.nulls(len(rows), pa.string()),
+                     pa.array(l, pa.string()), pa.array(r, pa.string()), pa.array(f, pa.int64()), pa.array(n, pa.int64())],
+                    ["kind", "gid", "sym", *names[1:]])
+
+        for b in batches:
+            gids, syms, freqs = (c.to_pylist() for c in b.columns)
+            keep: list[tuple] = []
+            for gid, sym, freq in zip(gids, syms, freqs):
+                order = todo.get(gid)
+                s = sym.split(" ")
+                if order is not None and any(p in order for p in zip(s, s[1:])):
+                    t = rounds.replay(s, order)
+                    change(gid, s, freq, -1)
+                    change(gid, t, freq, 1)
+                    if len(t) == 1:
+                        continue
+                    sym = " ".join(t)
+                keep.append((gid, sym, freq))
+            if keep:
+                gid, sym, freq = zip(*keep)
+                n = len(keep)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([0] * n, pa.int32()), pa.array(gid, pa.int32()), pa.array(sym, pa.string()),
+                     pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), pa.array(freq, pa.int64()), pa.nulls(n, pa.int64())],
+                    ["kind", "gid", "sym", *names[1:]])
+            if len(changes) >= IN_TASK:
+                yield from flush()
+        yield from flush()
+
+    return words.mapInArrow(run, "kind int, gid int, sym string, l string, r string, freq long, places long")
+
+
+def _split_words(words: DataFrame, young) -> DataFrame:
+    """``kind`` 0 for words that hold a pair of the broadcast ``young`` (gid -> pairs, or None
+    for all), 2 for the others, which form the base."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        sets = young.value
+        for b in batches:
+            gids, syms, freqs = (c.to_pylist() for c in b.columns)
+            kinds = []
+            for gid, sym in zip(gids, syms):
+                hot, s = sets[gid], sym.split(" ")
+                kinds.append(0 if hot is None or any(p in hot for p in zip(s, s[1:])) else 2)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(gids, pa.int32()), pa.array(syms, pa.string()),
+                                              pa.array(freqs, pa.int64())], ["kind", "gid", "sym", "freq"])
+
+    return words.mapInArrow(run, "kind int, gid int, sym string, freq long")
+
+
+class _Store:
+    """Generations of words (kind 0 young, 2 base) and pairs (kind 1) of one learning run."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bpe-{uuid4().hex}"
+        self.n = 0
+
+    def write(self, df: DataFrame) -> str:
+        path = f"{self.root}/{self.n}"
+        self.n += 1
+        (df.write.partitionBy("kind") if "kind" in df.columns else df.write).parquet(path)
+        return path
+
+    def read(self, path: str, schema: str, kind: int | None = None) -> DataFrame:
+        if kind is None:
+            return self.spark.read.schema(schema).parquet(path)
+        return self.spark.read.schema(f"{schema}, kind int").parquet(path).where(F.col("kind") == kind).drop("kind")
+
+    def drop(self, paths) -> None:
+        for p in paths:
+            remove_path(self.spark, p)
+
+
+def _learn(words: DataFrame, gids: list[int], num_merges: int, min_freq: int, most: int, rows: int) -> dict[int, list]:
+    """The merges ``(left, right, count)`` of every group of ``words`` (``gid, sym, freq``)."""
+    spark, store = words.sparkSession, _Store(words.sparkSession)
+    send = spark.sparkContext.broadcast
+    learned: dict[int, list] = {g: [] for g in gids}
+    live, size = set(gids), {g: WHOLE_START for g in gids}
+    young_at = store.write(words.withColumn("kind", F.lit(0)))
+    base_at: str | None = None
+    young, base = store.read(young_at, WORDS, 0), None
+
+    def counted(df: DataFrame) -> DataFrame:
+        s = F.split("sym", " ")
+        n = F.size(s) - 1
+        p = F.explode(F.arrays_zip(F.slice(s, 1, n).alias("l"), F.slice(s, 2, n).alias("r")))
+        return df.select("gid", "freq", p.alias("p")).groupBy("gid", F.col("p.l").alias("l"), F.col("p.r").alias("r")) \
+            .agg(F.sum("freq").alias("freq"), F.count(F.lit(1)).alias("places"))
+
+    pairs_at = store.write(counted(young))
+    changes_at: list[str] = []
+    inside: dict[int, set | None] = {g: None for g in gids}  # pairs whose words are young; None: all are
+    fresh: dict[int, set] = defaultdict(set)  # strings first made since the base was written
+    since = 0
+
+    def pairs() -> DataFrame:
+        out = store.read(pairs_at, PAIRS)
+        for path in changes_at:
+            out = out.unionByName(store.read(path, PAIRS, 1))
+        if changes_at:
+            out = out.groupBy("gid", "l", "r").agg(F.sum("freq").alias("freq"), F.sum("places").alias("places")).where("freq > 0")
+        return out
+
+    def first_pairs(k: int) -> dict[int, list]:
+        found: dict[int, list] = {g: [] for g in live}
+        here = pairs().where(F.col("gid").isin(sorted(live))) if len(live) < len(gids) else pairs()
+        for r in top_pairs(here, k).select("gid", "freq", "l", "r", "places").toArrow().to_pylist():
+            found[r["gid"]].append((r["freq"], r["l"], r["r"], r["places"]))
+        for c in found.values():
+            c.sort(reverse=True)
+        return found
+
+    def split() -> None:
+        """Write base and young anew, and the pairs with their changes taken in."""
+        nonlocal young_at, base_at, young, base, pairs_at, since
+        k = BASE_FACTOR * most
+        cands = first_pairs(k + 1)
+        for g in gids:
+            c = cands.get(g, [])
+            inside[g] = {(l, r) for _, l, r, _ in c[:k]} if len(c) > k or g not in live else None
+        everything = young if base is None else young.unionByName(base)
+        at = store.write(_split_words(everything.where(F.col("gid").isin(sorted(live))), send(dict(inside))))
+        new_pairs = store.write(pairs())
+        store.drop({young_at, pairs_at, *changes_at, *([base_at] if base_at else [])})
+        young_at, base_at, pairs_at = at, at, new_pairs
+        changes_at.clear()
+        young, base = store.read(at, WORDS, 0), store.read(at, WORDS, 2)
+        fresh.clear()
+        since = 0
+
+    while live:
+        cands = first_pairs(most + 1)
+        plan = {}
+        for g in sorted(live):
+            rnd = rounds.plan_round(cands[g], most, size[g], rows, min_freq)
+            if rnd is None:
+                live.discard(g)
+            else:
+                plan[g] = rnd
+        if not plan:
             break
-        if c < min_freq:
-            return acc, not acc
-        if acc:
-            if _conflicts(a, b, acc):
-                break
-            if not c > bound:
-                break
-        ab = a + b
-        la, ra = lmax.get(ab, 0), rmax.get(ab, 0)
-        lim = max(tl.get((a, b), 0) + la, tr.get((a, b), 0) + ra, pc.get((b, a), 0) + la)
-        for c2, d2, _ in acc:
-            lim = max(lim, pc.get((b, c2), 0) + ra, pc.get((d2, a), 0) + la,
-                      pc.get((d2, c2), 0) + rmax.get(c2 + d2, 0), pc.get((b, a), 0))
-        acc.append((a, b, c))
-        bound = lim if bound is None else max(bound, lim)
-    return acc, False
+        away = any(inside[g] is not None and p not in inside[g] and not (p[0] in fresh[g] or p[1] in fresh[g])
+                   for g, rnd in plan.items() for p in rnd.hot)
+        if away or since >= BASE_ROUNDS:
+            split()
+        made = {g: {a + b for a, b, _ in learned[g]} for g in plan}
+        plan_b, old_b = send(plan), send(made)
+        budget = {g: num_merges - len(learned[g]) for g in plan}
+        found: dict[int, list] = defaultdict(list)
+        for g, rnd in plan.items():
+            if rnd.form == "first":
+                found[g] = rounds.solve([], rnd, 1, min_freq, set())
+                size[g] = max(size[g], 1)
+        summary = summarise(young, plan_b)
+        cut_up = [g for g, rnd in plan.items() if rnd.form == "runs"]
+        held = None
+        if cut_up:  # equal runs become one row, and are counted before a task gets them
+            held = summary = summary.groupBy("gid", "sym").agg(F.sum("freq").alias("freq")).persist()
+            n = dict(summary.groupBy("gid").count().collect())
+            over = [g for g in cut_up if n.get(g, 0) > rows]
+            for g in cut_up:
+                size[g] = size[g] // 2 if g in over else min(most, 2 * size[g])
+            if over:
+                summary = summary.where(~F.col("gid").isin(over))
+        for r in sorted(solve(summary, plan_b, budget, old_b, min_freq).toArrow().to_pylist(), key=lambda r: r["k"]):
+            found[r["gid"]].append((r["l"], r["r"], r["freq"]))
+        if held is not None:
+            held.unpersist()
+        orders: dict[int, dict] = {}
+        for g, ms in found.items():
+            order: dict[tuple, list] = {}
+            for k, (a, b, _) in enumerate(ms):
+                order.setdefault((a, b), []).append(k)
+                if a + b not in made[g]:
+                    fresh[g].add(a + b)
+            orders[g] = order
+            learned[g] += ms
+            if len(learned[g]) >= num_merges:
+                live.discard(g)
+        since += 1
+        log.info("round %d: %d groups, forms %s, %d merges", store.n, len(plan), {r.form for r in plan.values()},
+                 sum(map(len, found.values())))
+        if orders and live:
+            orders_b = send(orders)
+            at = store.write(step(young, orders_b))
+            store.drop([f"{young_at}/kind=0"])
+            changes_at.append(at)
+            young_at, young = at, store.read(at, WORDS, 0)
+            if len(changes_at) >= PAIR_ROUNDS:
+                new_pairs = store.write(pairs())
+                store.drop([pairs_at, *(f"{c}/kind=1" for c in changes_at)])
+                pairs_at = new_pairs
+                changes_at.clear()
+            orders_b.unpersist()
+        plan_b.unpersist()
+        old_b.unpersist()
+    store.drop([store.root])
+    return learned
 
 
 def learn_from_types(types: DataFrame, group_cols: list[str] | None = None, num_merges: int = 10000,
-                     min_frequency: int = 2, candidates: int = 256, checkpoint_every: int = 8,
-                     max_rounds: int | None = None) -> DataFrame:
+                     min_frequency: int = 2, candidates: int = 999, rows: int = 100_000) -> DataFrame:
     """B1 on a type table ``(groups..., sym, freq)``. Returns ``(groups..., rank, left, right,
-    freq)`` as a small DataFrame (at most ``num_merges`` rows per group)."""
+    freq)`` (at most ``num_merges`` rows per group). ``candidates``: pairs that a round takes up
+    per group; ``rows``: bound of a group's summary."""
     spark = types.sparkSession
-    # the rounds run many small jobs over the word-type table (bounded by the vocabulary, not
-    # by the corpus); adaptive re-planning costs more than it saves there, so it is switched
-    # off for the loop and restored afterwards
-    # off for the loop and restored afterwards; likewise the loop's shuffle width is sized from
-    # the type table (about TYPES_PER_PARTITION types per task, capped by the session setting)
-    aqe = spark.conf.get("spark.sql.adaptive.enabled")
-    parts = spark.conf.get("spark.sql.shuffle.partitions")
-    types = cut_lineage(types)
-    n_types = types.count()
-    width = max(1, min(int(parts), -(-n_types // TYPES_PER_PARTITION)))
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.shuffle.partitions", str(width))
-    try:
-        return _learn_loop(spark, types, group_cols, num_merges, min_frequency, candidates,
-                           checkpoint_every, max_rounds)
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", aqe)
-        spark.conf.set("spark.sql.shuffle.partitions", parts)
-
-
-def _group_cond(gg: list[str], keys) -> Column:
-    cond = None
-    for key in keys:
-        c = None
-        for col, v in zip(gg, key):
-            e = F.col(col).eqNullSafe(F.lit(v))
-            c = e if c is None else c & e
-        cond = c if cond is None else cond | c
-    return cond
-
-
-def _holds_any(gg: list[str], pats: dict[tuple, list[str]]) -> Column:
-    """Rows of a group whose symbol string contains one of that group's patterns."""
-    cond = None
-    for key, ps in pats.items():
-        has = None
-        for pat in ps:
-            e = F.instr(F.col("sym"), pat) > 0
-            has = e if has is None else has | e
-        c = _group_cond(gg, [key]) & has
-        cond = c if cond is None else cond | c
-    return cond
-
-
-def _triple_stats(cur: DataFrame, gg: list[str], possible: dict[tuple, list[tuple[int, str, str]]]) -> dict:
-    """Per candidate pair the largest count of a triple ``x a b`` (TL) and ``a b y`` (TR),
-    computed only from the word types that hold one of the candidates."""
-    spark = cur.sparkSession
-    rows = [(*k, a, b) for k, lst in possible.items() for _, a, b in lst]
-    schema = ", ".join([f"`{c}` {cur.schema[c].dataType.simpleString()}" for c in gg]) + ", l string, r string"
-    cdf = F.broadcast(spark.createDataFrame(rows, schema))  # groups x candidates rows
-    pats = {k: [f" {a}  {b} " for _, a, b in lst] for k, lst in possible.items()}
-    hold = cur.filter(_holds_any(gg, pats))
-    sa = symbols_array(F.col("sym"))
-    pos = hold.select(*gg, "freq", sa.alias("__s")).select(*gg, "freq", "__s", F.posexplode("__s").alias("__i", "l"))
-    pos = pos.select(*gg, "freq", "l", F.get("__s", F.col("__i") + 1).alias("r"),
-                     F.get("__s", F.col("__i") - 1).alias("x"), F.get("__s", F.col("__i") + 2).alias("y")) \
-        .filter(F.col("r").isNotNull())
-    cj = pos.join(cdf, [*gg, "l", "r"], "left_semi")
-    # left and right neighbours in one stream: (side, l, r, neighbour) -> sum -> max per side
-    nb = cj.select(*gg, "l", "r", "freq", F.explode(F.array(
-        F.struct(F.lit("TL").alias("k"), F.col("x").alias("n")),
-        F.struct(F.lit("TR").alias("k"), F.col("y").alias("n")))).alias("s"))
-    nb = nb.filter(F.col("s.n").isNotNull()).select(*gg, "l", "r", "freq", F.col("s.k").alias("k"), F.col("s.n").alias("n"))
-    both = nb.groupBy(*gg, "k", "l", "r", "n").agg(F.sum("freq").alias("c")) \
-        .groupBy(*gg, "k", "l", "r").agg(F.max("c").cast("long").alias("c"))
-    out: dict[tuple, dict] = {}
-    for r in both.collect():
-        key = tuple(r[c] for c in gg)
-        out.setdefault(key, {"TL": {}, "TR": {}})[r["k"]][(r["l"], r["r"])] = r["c"]
+    g = list(group_cols or [])
+    flat = F.array_join(symbols_array(F.col("sym")), " ").alias("sym")
+    if g:
+        types = cut_lineage(types)
+        keys = sorted(types.select(*g).distinct().collect(), key=lambda r: tuple((v is None, str(v)) for v in r))
+        if not keys:
+            return spark.createDataFrame([], _merge_schema(types, g))
+        ids = spark.createDataFrame([(*k, i) for i, k in enumerate(keys)], _schema_of(types, g) + ", __gid int").toDF(*[f"__k{i}" for i in range(len(g))], "__gid")
+        same = F.lit(True)
+        for i, c in enumerate(g):
+            same &= types[c].eqNullSafe(ids[f"__k{i}"])
+        words = types.join(F.broadcast(ids), same).select(F.col("__gid").alias("gid"), flat, "freq")  # a row per group
+    else:
+        keys = [()]
+        words = types.select(F.lit(0).alias("gid"), flat, "freq")
+    words = words.where(F.instr("sym", " ") > 0)
+    out = None
+    for lo in range(0, len(keys), GROUPS_AT_ONCE):
+        some = list(range(lo, min(lo + GROUPS_AT_ONCE, len(keys))))
+        part = words.where(F.col("gid").isin(some)) if len(some) < len(keys) else words
+        got = _learn(part, some, num_merges, min_frequency, candidates, rows)
+        df = spark.createDataFrame([(*keys[i], n, a, b, c) for i, ms in got.items() for n, (a, b, c) in enumerate(ms)],
+                                   _merge_schema(types, g))
+        out = df if out is None else out.unionByName(df)
     return out
 
 
-def _learn_loop(spark, types, group_cols, num_merges, min_frequency, candidates, checkpoint_every, max_rounds):
-    """Incremental rounds. The pair table is kept materialised; a round reads it for the
-    candidates and per-symbol maxima (one job), reads the word types holding the few candidates
-    that could be accepted for the triple bounds (one job), and after the merges re-explodes
-    only the word types that hold an accepted pair: their old pairs are subtracted and their new
-    pairs added (delta counts). Work per round follows the merged words, not the vocabulary."""
-    g = list(group_cols or [])
-    gg = g or ["__g"]
-    if not g:
-        types = types.withColumn("__g", F.lit(0))
-    p = shuffle_partitions(spark)
-    cur = cut_lineage(types.select(*gg, "sym", "freq").repartition(p, *gg, "sym"))
-    pairs = cut_lineage(pair_counts(cur, gg))
-    learned: dict[tuple, list[tuple[str, str, int]]] = {}
-    finished: set[tuple] = set()
-    rnd = 0
-    salt = max(1, p)
-    none = F.lit(None).cast("string")
-    while True:
-        rnd += 1
-        if max_rounds is not None and rnd > max_rounds:
-            break
-        live = pairs.filter(~_group_cond(gg, finished)) if finished else pairs
-        top = _top_candidates(live, gg, candidates, salt).select(F.lit("C").alias("kind"), *gg, "l", "r", "freq")
-        lm = live.groupBy(*gg, F.col("r").alias("s")).agg(F.max("freq").alias("freq")) \
-            .select(F.lit("L").alias("kind"), *gg, F.col("s").alias("l"), none.alias("r"), "freq")
-        rm = live.groupBy(*gg, F.col("l").alias("s")).agg(F.max("freq").alias("freq")) \
-            .select(F.lit("R").alias("kind"), *gg, F.col("s").alias("l"), none.alias("r"), "freq")
-        rows = top.unionByName(lm).unionByName(rm).collect()
-        per: dict[tuple, dict] = {}
-        for row in rows:
-            key = tuple(row[c] for c in gg)
-            d = per.setdefault(key, {"C": [], "L": {}, "R": {}})
-            if row["kind"] == "C":
-                d["C"].append((row["freq"], row["l"], row["r"]))
-            else:
-                d[row["kind"]][row["l"]] = row["freq"]
-        possible: dict[tuple, list] = {}
-        for key, d in per.items():
-            d["C"].sort(key=lambda t: (t[0], t[1], t[2]), reverse=True)
-            budget = num_merges - len(learned.get(key, []))
-            if key not in finished and budget > 0 and d["C"]:
-                pp = _prefix_compatible(d["C"], min_frequency, budget)
-                if len(pp) > 1:
-                    possible[key] = pp
-        nb = _triple_stats(cur, gg, possible) if possible else {}
-        step: dict[tuple, list[tuple[str, str]]] = {}
-        for key, d in per.items():
-            if key in finished:
-                continue
-            budget = num_merges - len(learned.get(key, []))
-            cands = d["C"]
-            if budget <= 0 or not cands:
-                finished.add(key)
-                continue
-            # a pair outside the top-k list has a count of at most the k-th count
-            floor = cands[-1][0] if len(cands) >= candidates else 0
-            pc = _PairCounts({(a, b): c for c, a, b in cands}, floor)
-            st = nb.get(key, {"TL": {}, "TR": {}})
-            acc, done = _accept_exact(cands, d["L"], d["R"], st["TL"], st["TR"], pc, min_frequency, budget)
-            if acc:
-                learned.setdefault(key, []).extend(acc)
-                step[key] = [(a, b) for a, b, _ in acc]
-            if done or len(learned.get(key, [])) >= num_merges:
-                finished.add(key)
-        # groups without any pair left are finished
-        for key in list(learned):
-            if key not in per:
-                finished.add(key)
-        if not step:
-            break
-        if gg == ["__g"]:
-            expr = _merge_expr(F.col("sym"), step.get((0,), []))
-        else:
-            expr = F.col("sym")
-            for key, ms in step.items():
-                expr = F.when(_group_cond(gg, [key]), _merge_expr(F.col("sym"), ms)).otherwise(expr)
-        touched = cur.filter(_holds_any(gg, {k: [f" {a}  {b} " for a, b in ms] for k, ms in step.items()}))
-        gone = pair_counts(touched.withColumn("freq", -F.col("freq")), gg)
-        born = pair_counts(touched.select(*gg, expr.alias("sym"), "freq"), gg)
-        new_pairs = pairs.unionByName(gone).unionByName(born).groupBy(*gg, "l", "r") \
-            .agg(F.sum("freq").cast("long").alias("freq")).filter(F.col("freq") > 0)
-        new_cur = cur.select(*gg, expr.alias("sym"), "freq")
-        # materialise the new generation into the reliable checkpoint directory before the next
-        # round reads it (several consumers per round; a lazy chain would be re-evaluated by each)
-        new_pairs, new_cur = cut_lineage(new_pairs), cut_lineage(new_cur)
-        cur, pairs = new_cur, new_pairs
-        log.info("bpe round %d: %d merges accepted", rnd, sum(len(v) for v in step.values()))
-    rows = []
-    for key, ms in learned.items():
-        for i, (a, b, c) in enumerate(ms):
-            rows.append((*key, i, a, b, c))
-    schema = ", ".join([f"`{c}` {types.schema[c].dataType.simpleString()}" for c in gg]) + ", " + MERGE_SCHEMA
-    out = spark.createDataFrame(rows, schema)
-    return out.drop("__g") if not g else out
+def _schema_of(types: DataFrame, g: list[str]) -> str:
+    return ", ".join(f"`{c}` {types.schema[c].dataType.simpleString()}" for c in g)
+
+
+def _merge_schema(types: DataFrame, g: list[str]) -> str:
+    return f"{_schema_of(types, g)}, {MERGE_SCHEMA}" if g else MERGE_SCHEMA
 
 
 def learn_bpe(df: DataFrame, col: str = "text", num_merges: int = 10000, min_frequency: int = 2,
-              group_cols: list[str] | None = None, candidates: int = 256) -> DataFrame:
+              group_cols: list[str] | None = None, candidates: int = 999) -> DataFrame:
     """B1 (and B4 with ``group_cols``): learn merges from the whitespace tokens of ``col``.
     An empty corpus or one with only one-letter words gives zero rows (the reference raises)."""
     g = list(group_cols or [])
@@ -356,7 +445,7 @@ def learn_bpe(df: DataFrame, col: str = "text", num_merges: int = 10000, min_fre
 
 def learn_bpe_from_counts(counts: DataFrame, num_merges: int = 10000, min_frequency: int = 2,
                           group_cols: list[str] | None = None, word: str = "word", freq: str = "freq",
-                          candidates: int = 256) -> DataFrame:
+                          candidates: int = 999) -> DataFrame:
     """Learn from a ``(word, freq)`` dictionary instead of raw text."""
     g = list(group_cols or [])
     return learn_from_types(word_types(counts, g, word, freq), g, num_merges, min_frequency, candidates)

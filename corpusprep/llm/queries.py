@@ -80,7 +80,13 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op11_overlapped_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusprep.llm.resample import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_benchmark_decontamination, op3_pii_feistel, op4_ngram_jaccard_join,
                                    op5_secret_scan, op6_language_id, op7_html_extraction, op8_hilbert_sharding,
-                                   op9_cost_balanced_packing, op10_line_template_dedup)}
+                                   op9_cost_balanced_packing, op10_line_template_dedup, op11_overlapped_resample)}
 ORACLES: dict[str, str] = {"op1_quality_rules": OP1}

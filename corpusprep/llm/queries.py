@@ -86,7 +86,13 @@ def op11_overlapped_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusprep.llm.warc import archive
+
+    return archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_benchmark_decontamination, op3_pii_feistel, op4_ngram_jaccard_join,
                                    op5_secret_scan, op6_language_id, op7_html_extraction, op8_hilbert_sharding,
-                                   op9_cost_balanced_packing, op10_line_template_dedup, op11_overlapped_resample)}
+                                   op9_cost_balanced_packing, op10_line_template_dedup, op11_overlapped_resample, op12_seekable_warc)}
 ORACLES: dict[str, str] = {"op1_quality_rules": OP1}

@@ -92,7 +92,14 @@ def op12_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_multi_index_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusprep.llm.hard_negatives import mine
+
+    return mine(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_benchmark_decontamination, op3_pii_feistel, op4_ngram_jaccard_join,
                                    op5_secret_scan, op6_language_id, op7_html_extraction, op8_hilbert_sharding,
-                                   op9_cost_balanced_packing, op10_line_template_dedup, op11_overlapped_resample, op12_seekable_warc)}
+                                   op9_cost_balanced_packing, op10_line_template_dedup, op11_overlapped_resample, op12_seekable_warc,
+                                   op13_multi_index_negatives)}
 ORACLES: dict[str, str] = {"op1_quality_rules": OP1}

@@ -27,7 +27,7 @@ repeated AS (SELECT rid, count(DISTINCT i + k) AS n FROM (SELECT rid, i, unnest(
 lines AS (SELECT rid, unnest(string_split(t, chr(10))) AS x FROM d),
 coded AS (SELECT rid, x, length(x) AS n, regexp_matches(x, {_WORD}) AS filled,
     CASE WHEN NOT regexp_matches(x, {_WORD}) THEN {q.BLANK}
-         WHEN regexp_matches(x, {_s(q.NAVIGATION)}) OR regexp_matches(x, {_s(q.TRAIL)}) THEN {q.NAV}
+         WHEN regexp_matches(x, {_s(q.NAVIGATION)}) OR regexp_matches(x, {_s(q.TRAIL.replace("}+", "}"))}) THEN {q.NAV}
          WHEN length(x) > 4 AND ({_count("x", f"[^{q.SYMBOLS}{{}}]+")} * 20 > length(x) OR {_count("x", "[^!?]+")} * 12 > length(x) + 24) THEN {q.SYMBOL}
          WHEN length(x) <= 300 AND regexp_matches(x, {_s(q.BOILERPLATE)}) THEN {q.BOILER}
          WHEN NOT (regexp_matches(x, {_s(q.ENDS)}) OR (regexp_matches(x, {_s(q.LONG_PROSE)}) AND regexp_matches(x, {_s(q.INNER)}))) THEN {q.UNFINISHED}

@@ -30,7 +30,8 @@ INNER = r"[.,;!?]"
 NAVIGATION = (r"(?i)^\W*(?:home|menu|next|previous|prev|back|back to top|top|log ?in|sign ?in|sign ?up|register"
               r"|subscribe|share|tweet|search|read more|learn more|show more|more|contact(?: us)?|about(?: us)?"
               r"|site ?map|skip to content|click here|print|email this|reply|comments?)\W*$")
-TRAIL = r"^[^|>»›·•]{0,40}(?:[|>»›·•][^|>»›·•]{0,40}){2,}$"
+# possessive: Java's matcher runs such a group as a loop, where it would recurse once a repetition
+TRAIL = r"^[^|>»›·•]{0,40}+(?:[|>»›·•][^|>»›·•]{0,40}+){2,}+$"
 BOILERPLATE = (r"(?i)all rights reserved|licensed under|released under the .{1,40} licen[cs]e|copyright (?:©|\(c\)|[0-9]{4})"
                r"|terms (?:of|and) (?:use|service|conditions)|privacy policy|cookie policy|uses? cookies"
                r"|accept cookies|enable javascript|javascript (?:is )?(?:required|disabled)|lorem ipsum|powered by")

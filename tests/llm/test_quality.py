@@ -60,3 +60,10 @@ def test_labelled_documents(spark):
     got = Q.op1_quality_rules(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("n_words >= 20").collect()
     good, bad = [r for r in got if r["quality"]], [r for r in got if not r["quality"]]
     assert sum(r["kept"] for r in good) >= 0.99 * len(good) and sum(r["kept"] for r in bad) <= 0.1 * len(bad)
+
+
+def test_trails_of_any_length(spark):
+    """Matched by a loop: recursion per cell would end the JVM."""
+    rows = [(1, "| a " * 100_000), (2, "| a " * 100_000 + "b" * 60), (3, "a | b"), (4, "a | b | c"), (5, "x" * 41 + " | b | c"), (6, "||"), (7, "a » b\r")]
+    got = {r.k: r.lost_navigation for r in clean_lines(spark.createDataFrame(rows, "k int, text string")).collect()}
+    assert got == {1: 1, 2: 0, 3: 0, 4: 1, 5: 0, 6: 1, 7: 0}

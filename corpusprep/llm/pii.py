@@ -31,7 +31,8 @@ ROUNDS = 10
 KEY = "corpus pseudonyms, first key"
 
 # The formats that are looked for, in the order in which they are tried.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: A domain has at most 127 labels (255 octets), which bounds the recursion of Java's matcher.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,125}\.[A-Za-z]{2,}"
 #: Length of an IBAN by country: it ends there, whatever upper-case word follows.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FK FO FI GL NL SD", 19: "MK SI", 20: "AT BA EE KZ XK LT LU MN", 21: "HR LV LI CH",

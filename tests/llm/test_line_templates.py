@@ -1,20 +1,29 @@
 import random
 from collections import Counter, defaultdict
 
+import pytest
+
 from edge_rows import SMALL, edge  # noqa: F401
 
 from corpusprep.llm import queries as Q
-from corpusprep.llm.line_templates import DEPTH, HOST_TOKENS, drop_templates, merge_leaf, parse
+from corpusprep.llm.jaccard import Shingler
+from corpusprep.llm.line_templates import COPY, DEPTH, SHINGLE, drop_templates, merge_leaf, parse, sketch
 
 
 def brute(texts):
-    """Text by text: the numbers of the dropped lines."""
+    """Text by text: the numbers of the dropped lines. Copies by every pair of texts."""
     hosts, leaves, of = defaultdict(Counter), defaultdict(dict), {}
+    shingles = Shingler(SHINGLE)
+    sketches = {t: sketch(h) for t in set(texts) if len(h := shingles(t))}
+    host = {t: t for t in set(texts)}
+    for a in sketches:
+        for b in sketches:
+            if host[a] != host[b] and (sketches[a] == sketches[b]).sum() >= COPY:
+                host = {t: host[a] if h == host[b] else h for t, h in host.items()}
     for t in set(texts):
         parsed = [parse(x) for x in (t or "").split("\n")]
-        host = max(parsed, key=len)[:HOST_TOKENS] if parsed else []
         for tokens in {tuple(x) for x in parsed if x}:
-            hosts[tokens][tuple(host)] += 1
+            hosts[tokens][host[t]] += 1
             leaves[(len(tokens), tokens[:DEPTH])].setdefault(tokens, None)
     for t in set(texts):
         for line in (t or "").split("\n"):
@@ -29,7 +38,7 @@ def brute(texts):
     total = defaultdict(Counter)
     for tokens, c in hosts.items():
         total[of.get(tokens, tokens)].update(c)
-    bad = {k for k, c in total.items() if len(c) >= 3 and 2 * len(c) > max(c.values())}
+    bad = {k for k, c in total.items() if len(c) >= 3}
     return {t: [n for n, x in enumerate((t or "").split("\n")) if parse(x) and of.get(tuple(parse(x)), tuple(parse(x))) in bad] for t in set(texts)}
 
 
@@ -86,6 +95,21 @@ def test_repeated_longest_line_and_copies(spark):
     assert {tuple(r["dropped"]) for r in drop_templates(df.where("doc_id < 40")).collect()} == {(1, 3)}
 
 
+@pytest.mark.parametrize("n_own", [3, 6])
+def test_boilerplate_heavy_texts(spark, n_own):
+    """Different documents of which most lines are the same boilerplate lose exactly these lines."""
+    rng = random.Random(n_own)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    line = lambda: " ".join(word() for _ in range(10))
+    shared = [line() for _ in range(4)]
+    docs = [(k, "\n".join(shared[:2] + [line() for _ in range(n_own)] + shared[2:])) for k in range(60)]
+    own = [line() for _ in range(12)]
+    docs += [(100 + k, "\n".join(own[:k] + [own[k] + " edited"] + own[k + 1:])) for k in range(8)]  # near copies stay whole
+    got = {r["doc_id"]: r["dropped"] for r in drop_templates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {tuple(got[k]) for k in range(60)} == {(0, 1, n_own + 2, n_own + 3)}
+    assert all(not got[100 + k] for k in range(8))
+
+
 def plain_merge(lines):
     """Every line against every template of its leaf."""
     groups = []
@@ -121,6 +145,8 @@ def test_many_names_give_one_template(spark):
 
 
 def test_edge_rows(spark, edge):
-    out = drop_templates(edge.withColumn("dropped", edge["doc_id"]).withColumn("x", edge["doc_id"]))
+    out = drop_templates(edge.withColumn("dropped", edge["doc_id"]).withColumn("x", edge["doc_id"])
+                         .withColumn("__KEY", edge["doc_id"]).withColumn("__k", edge["doc_id"]).withColumn("__Dropped", edge["doc_id"]))
+    assert all(r["__KEY"] == r["__k"] == r["__Dropped"] == r["doc_id"] for r in out.collect())
     assert sorted(str(r["text"]) for r in out.collect()) == sorted(str(r["text"]) for r in edge.collect())
     assert drop_templates(edge.limit(0)).count() == 0

@@ -51,6 +51,18 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def give_back() -> None:
+    """Return what a finished task has freed to the system: Python workers stay alive between
+    tasks, and an idle one should not hold the caches of its last task."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim is not None:
+        trim(0)
+
+
 def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
     """``fn`` gets an iterator over tuples of the rows of a partition and yields tuples of
     ``schema``; both sides travel as Arrow batches, so NULLs and wide integers stay as they are."""
@@ -71,13 +83,17 @@ def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
         out, size = [], 0
-        for r in fn(rows()):
-            out.append(r)
-            size += 1 + sum(len(x) // 8 for x in r if isinstance(x, (str, bytes, list)))
-            if size >= 100_000:
+        try:
+            for r in fn(rows()):
+                out.append(r)
+                size += 1 + sum(len(x) // 8 for x in r if isinstance(x, (str, bytes, list)))
+                if size >= 100_000:
+                    yield batch(out)
+                    out, size = [], 0
+            if out:
                 yield batch(out)
-                out, size = [], 0
-        if out:
-            yield batch(out)
+        finally:
+            out = r = None
+            give_back()
 
     return df.mapInArrow(run, kind)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusprep.llm.common import fixed, map_rows, small_side, text_key
+from corpusprep.llm.common import fixed, free_name, map_rows, small_side, text_key
 from corpusprep.llm.components import components
 
 #: Ratio between the smallest and the largest row of a size range.
@@ -63,7 +63,9 @@ class Shingler:
 
         class Words(dict):
             def __missing__(self, w):
-                h = self[w] = xxhash.xxh3_64_intdigest(w)
+                h = xxhash.xxh3_64_intdigest(w)
+                if len(w) <= 40:
+                    self[w] = h
                 return h
 
         self.cache = Words()
@@ -374,5 +376,6 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     """``docs`` without the documents that are not the smallest id of their component. Rows with
     NULL id stay; of rows with the same id all stay or go."""
     part = jaccard_components(docs, doc_id, text, **options)
-    gone = fixed(part.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(small_side(gone), docs[doc_id] == F.col("__gone"), "left_anti")
+    name = free_name(docs, "__gone")
+    gone = fixed(part.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(small_side(gone), docs[doc_id] == F.col(name), "left_anti")

@@ -36,7 +36,9 @@ GROUP = 512
 END_ID = 1
 #: Attention: 12 * width**2 against 2 * width per pair of tokens, for a width of 1,024.
 LINEAR, QUADRATIC = 1.0, 2 * 1024 / (12 * 1024**2)
-CACHE_WORDS = 600_000
+#: Chunks that a worker remembers, and the longest of them: about 40 MB at most.
+CACHE_WORDS = 120_000
+CACHE_CHARS = 40
 
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)\Z")
 
@@ -62,13 +64,17 @@ class WordTokenizer:
 
         class Chunks(dict):
             def __missing__(self, chunk):
-                ids = self[chunk] = owner._encode(chunk)
+                ids = owner._encode(chunk)
+                if len(chunk) <= CACHE_CHARS:
+                    self[chunk] = ids
                 return ids
 
         class Words(dict):
             def __missing__(self, word):
                 text = word if word.isascii() else word.encode().decode("latin-1").translate(owner.letters)
-                ids = self[word] = np.array([x.id for x in owner.model.tokenize(text)], "<u4").tobytes()
+                ids = np.array([x.id for x in owner.model.tokenize(text)], "<u4").tobytes()
+                if len(word) <= CACHE_CHARS:
+                    self[word] = ids
                 return ids
 
         self.chunks, self.words = Chunks(), Words()
@@ -81,7 +87,7 @@ class WordTokenizer:
         return np.array(self.full.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> np.ndarray:
-        if len(self.chunks) > self.limit:  # start anew: the frequent words are back at once
+        if len(self.chunks) + len(self.words) > self.limit:  # start anew: the frequent words are back at once
             self.chunks.clear()
             self.words.clear()
         return np.frombuffer(b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" "))), "<u4")

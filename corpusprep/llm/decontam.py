@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusprep.llm.common import fixed, map_rows, small_side
+from corpusprep.llm.common import fixed, free_name, map_rows, small_side
 
 WORD = re.compile(r"\w+")
 # Scripts without spaces between words (Thai, Lao, Myanmar, Khmer, kana, bopomofo, Han).
@@ -232,5 +232,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     """``docs`` without the documents that hold a test item: the scan's verdicts are one narrow
     row per contaminated document, joined back on the id (NULL ids compare equal)."""
     key = options.get("doc_id", "doc_id")
-    bad = fixed(contaminated_pairs(docs, benchmark, **options).select(F.col("doc_id").alias("__bad")).distinct())
-    return docs.join(small_side(bad), docs[key].eqNullSafe(F.col("__bad")), "left_anti")
+    name = free_name(docs, "__bad")
+    bad = fixed(contaminated_pairs(docs, benchmark, **options).select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(small_side(bad), docs[key].eqNullSafe(F.col(name)), "left_anti")

@@ -4,6 +4,8 @@ import test_line_templates
 import test_packing
 from edge_rows import SMALL, edge  # noqa: F401
 
+from pyspark.sql import functions as F
+
 from corpusprep.llm import queries as Q
 from corpusprep.llm.decontam import contaminated_pairs
 
@@ -47,3 +49,15 @@ def test_edge_rows(spark, edge):
         out = stage(spark, edge, bench)
         assert out.columns == edge.columns, name
         assert out.count() <= edge.count() and stage(spark, edge.limit(0), bench).count() == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["n_lines", "N_DROPPED", "dropped", "__key", "__K", "__gone", "__Bad", "row", "clean", "clean_text", "kept", "component_id", "item_id"]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(40)
+    for k, n in enumerate(names):
+        docs = docs.withColumn(n, F.lit(k))
+    for name, stage in cp.STAGES[:4]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all(r[n] == k for r in got for k, n in enumerate(names)), name

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusprep.llm.common import table
+from corpusprep.llm.common import free_name, table
 from corpusprep.llm.decontam import decontaminate
 from corpusprep.llm.jaccard import keep_one
 from corpusprep.llm.line_templates import drop_templates
@@ -29,13 +29,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the base rules and the line rules keep, without their failing lines."""
     ship_package(spark)
     judged = quality(docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))).where("kept")
-    return _like(judged.select("row.*", "clean_text").withColumn("text", F.col("clean_text")), docs)
+    return _like(judged.select("row.*", F.col("clean_text").alias(clean := free_name(docs, "clean"))).withColumn("text", F.col(clean)), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines of recurring templates; one left without any word goes."""
     ship_package(spark)
-    return _like(drop_templates(docs).where(F.col("text").rlike(r"\S")), docs)
+    left = drop_templates(docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))).where(F.col("text").rlike(r"\S"))
+    return _like(left.select("row.*", F.col("text").alias(clean := free_name(docs, "clean"))).withColumn("text", F.col(clean)), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,18 +7,16 @@ budget gets a batch of its own. With ``shard_cols`` every shard packs on its own
 border closes a batch). If the very first line is over budget the reference emits an empty
 batch 0 first; ``keep_empty=True`` reproduces that in the batch summary.
 
-W1 plan (exact, no task ever holds a whole shard):
-
-1. positions and exclusive prefix sums of the lengths by ``ordered_scan`` (range partitions);
-2. for every line ``i`` the start of the batch that would follow if a batch started at ``i``:
-   ``next(i) = max(i + 1, j)`` where ``j`` is the line holding character ``start(i) + budget``
-   (``j + 1`` if that character is the end of ``j``), found by an as-of ``forward_fill`` over
-   the union of line starts and probe positions; ``next`` stops at the shard end;
-3. batch starts are the orbits of the shard starts under ``next``: pointer doubling
-   ``J[k+1] = J[k] o J[k]`` (one inner self-join per level, checkpointed; a level holds only the
-   lines that have a batch start that far ahead) until none is left,
-   then ``S = S u J[k](S)`` for k from the top level down: O(log batches) joins;
-4. batch ids by a second ``ordered_scan`` counting batch starts.
+W1 plan (exact; a fixed number of jobs, whatever the number of batches):
+
+1. the rows are range-partitioned in order and checkpointed (``laid_out``);
+2. one pass turns every range partition into a function: how full the open batch is on entry ->
+   how full it is on exit, and the batches opened in between. What follows a batch start inside the
+   partition does not depend on the entry, so the function is a table over the first lines that an
+   entry can reach: at most ``budget + 1`` rows;
+3. the functions are applied one after the other (a few numbers per partition, on the driver), which
+   gives every partition its entry, first batch and first position;
+4. one pass numbers the rows of every partition by the plain greedy walk from its entry.
 """
 
 from __future__ import annotations
@@ -27,8 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusprep.operators.order import forward_fill, ordered_scan
-from corpusprep.session import cut_lineage
+from corpusprep.operators.order import ordered_scan
+from corpusprep.session import cut_lineage, shuffle_partitions
 
 
 def _lengths(df: DataFrame, text_col: str | None, len_col: str | None, newline: bool):
@@ -37,60 +35,133 @@ def _lengths(df: DataFrame, text_col: str | None, len_col: str | None, newline:
     return (F.length(text_col) + F.lit(1 if newline else 0)).cast("long")
 
 
+def scan_function(lens, cuts, budget: int):
+    """The function of one partition. ``lens``: lengths of its lines; ``cuts``: positions at which a
+    new shard begins (0 is never one). Returns ``(whole, opened0, exit0, fits, opened, exits)``:
+    ``whole`` is the length of the partition, or None where a shard begins inside; ``opened0`` and
+    ``exit0`` hold if the first line opens a batch; entry k continues the open batch
+    while it has at least ``fits[k]`` characters left but fewer than ``fits[k + 1]``; then
+    ``opened[k]`` batches are opened and the last one has ``exits[k]`` characters (-1: the entry's
+    batch goes on beyond the partition)."""
+    import numpy as np
+
+    n = len(lens)
+    total = np.concatenate([[0], np.cumsum(lens)])
+    ends = np.array([*cuts, n])
+    seg_end = ends[np.searchsorted(ends, np.arange(n), side="right")] if n else ends[:0]
+    # the line after the batch that starts at each line
+    nxt = np.minimum(np.maximum(np.searchsorted(total, total[:n] + budget, side="right") - 1, np.arange(n) + 1), seg_end).tolist()
+    opened, last = [0] * (n + 1), [n] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        j = nxt[i]
+        if j < n:
+            opened[i], last[i] = opened[j] + 1, last[j]
+        else:
+            opened[i], last[i] = 1, i
+    reach = int(seg_end[0]) if n else 0
+    fits, out_opened, exits = [], [], []
+    for j in range(reach + 1):
+        if total[j] > budget:
+            break
+        if fits and fits[-1] == total[j]:  # lines of no length stay with what fits
+            fits.pop(), out_opened.pop(), exits.pop()
+        fits.append(int(total[j]))
+        out_opened.append(opened[j] if j < n else 0)
+        exits.append(int(total[n] - total[last[j]]) if j < n else -1)
+    return int(total[n]) if reach == n else None, opened[0], int(total[n] - total[last[0]]), fits, out_opened, exits
+
+
+def laid_out(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` range-partitioned and sorted by ``keys``, with its partition ``__pid``; fixed, since
+    range bounds are sampled."""
+    p = shuffle_partitions(df.sparkSession)
+    return cut_lineage(df.repartitionByRange(p, *keys).sortWithinPartitions(*keys).withColumn("__pid", F.spark_partition_id()))
+
+
 def budget_batches(df: DataFrame, order_cols: list[str], text_col: str | None = "text", budget: int = 5000,
                    shard_cols: list[str] | None = None, newline: bool = True, len_col: str | None = None) -> DataFrame:
     """Every input row with ``idx`` (global position), ``len`` and ``batch_id`` (global,
     0-based, in order; batches never span shards)."""
+    import bisect
+
+    from pyspark.sql import types as T
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    spark = df.sparkSession
+    piece = to_arrow_schema(T.StructType.fromDDL(PIECE))
     shards = list(shard_cols or [])
-    keys = shards + list(order_cols)
-    base = df.withColumn("len", _lengths(df, text_col, len_col, newline))
-    lines = ordered_scan(base, keys, sums={"start": "len"}, index="idx")
-    lines = cut_lineage(lines)
-    lines_small = lines.select(*shards, "idx", "start", "len")
-
-    # shard borders: last line of each shard (one row per shard; AQE picks the join)
-    if shards:
-        last = lines_small.groupBy(*shards).agg(F.max("idx").alias("__last"), F.min("idx").alias("__first"))
-        lk = lines_small.join(last, shards, "inner").select("idx", "start", "len", "__last")
-        starts0 = last.select(F.col("__first").alias("idx"))
-    else:
-        mx = lines_small.agg(F.max("idx")).first()[0]
-        lk = lines_small.withColumn("__last", F.lit(mx if mx is not None else -1).cast("long"))
-        starts0 = lines_small.filter(F.col("idx") == 0).select("idx")
-
-    # as-of probe: the line that holds character start(i) + budget
-    line_marks = lk.select(F.col("start").alias("pos"), F.lit(0).alias("kind"), F.col("idx").alias("ord"),
-                           F.struct(F.col("idx").alias("j"), (F.col("start") + F.col("len")).alias("end")).alias("v"),
-                           F.lit(None).cast("long").alias("i"), F.lit(None).cast("long").alias("last"))
-    probes = lk.select((F.col("start") + F.lit(budget)).alias("pos"), F.lit(1).alias("kind"), F.col("idx").alias("ord"),
-                       F.lit(None).cast("struct<j:bigint,end:bigint>").alias("v"),
-                       F.col("idx").alias("i"), F.col("__last").alias("last"))
-    filled = forward_fill(line_marks.unionByName(probes), ["pos", "kind", "ord"], "v", "hold")
-    q = filled.filter(F.col("kind") == 1)
-    j = F.when(F.col("hold.end") > F.col("pos"), F.col("hold.j")).otherwise(F.col("hold.j") + 1)
-    nxt = F.greatest(j, F.col("i") + 1)
-    jump = cut_lineage(q.where(nxt <= F.col("last")).select(F.col("i").alias("idx"), nxt.cast("long").alias("nxt")))
-
-    # pointer doubling: levels[k] maps idx -> next^(2^k)(idx). Lines whose chain ends earlier are
-    # in no level, so levels shrink and no row waits under a NULL key
-    levels = [jump]
-    while not levels[-1].isEmpty():
-        a = levels[-1].alias("a")
-        b = levels[-1].alias("b")
-        nxt2 = a.join(b, F.col("a.nxt") == F.col("b.idx")) \
-            .select(F.col("a.idx").alias("idx"), F.col("b.nxt").alias("nxt"))
-        levels.append(cut_lineage(nxt2))
-
-    # the last level is empty, so levels[:-1] cover every chain
-    starts = starts0
-    for lvl in reversed(levels[:-1]):
-        hop = starts.join(lvl, "idx", "inner").select(F.col("nxt").alias("idx"))
-        starts = cut_lineage(starts.unionByName(hop).distinct())
-
-    flagged = lines.join(starts.withColumn("__s", F.lit(1)), "idx", "left").fillna(0, ["__s"])
-    numbered = ordered_scan(flagged.drop("start"), ["idx"], sums={"__before": "__s"}, index="__k")
-    return numbered.withColumn("batch_id", (F.col("__before") + F.col("__s") - 1).cast("long")) \
-        .drop("__s", "__before", "__k")
+    rows = laid_out(df.withColumn("len", _lengths(df, text_col, len_col, newline)), shards + list(order_cols))
+    shard = F.to_json(F.struct(*shards), {"ignoreNullFields": "false"}) if shards else F.lit("")
+
+    def describe(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        pid, first, last, lens, cuts = None, None, None, [], []
+        for b in batches:
+            pids, names, ls = (c.to_pylist() for c in b.columns)
+            for p, name, n in zip(pids, names, ls):
+                if pid is None:
+                    pid, first = p, name
+                elif name != last:
+                    cuts.append(len(lens))
+                last = name
+                lens.append(n or 0)
+        if pid is not None:
+            row = (pid, len(lens), first, last, *scan_function(np.array(lens, dtype="i8"), cuts, budget))
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, piece)], schema=piece)
+
+    pieces = rows.select("__pid", shard.alias("shard"), "len").mapInArrow(describe, PIECE)
+    # a row per partition, each with at most budget + 1 numbers
+    entry, used, batch, idx, before = {}, None, -1, 0, None
+    for r in sorted(pieces.collect(), key=lambda r: r["pid"]):
+        fresh = used is None or r["first"] != before
+        entry[r["pid"]] = (fresh, used or 0, batch, idx)
+        if fresh:
+            batch, used = batch + r["opened0"], r["exit0"]
+        else:
+            k = bisect.bisect_right(r["fits"], budget - used) - 1
+            if k < 0:  # more than full: the next line opens a batch
+                batch, used = batch + r["opened0"], r["exit0"]
+            elif r["exits"][k] < 0:
+                used += r["whole"]
+            else:
+                batch, used = batch + r["opened"][k], r["exits"][k]
+        idx, before = idx + r["n"], r["last"]
+    sent = spark.sparkContext.broadcast(entry)
+
+    def number(batches):
+        import pyarrow as pa
+
+        state = None
+        for b in batches:
+            names, ls = b.column(b.num_columns - 1).to_pylist(), b.column(b.schema.get_field_index("len")).to_pylist()
+            if not names:
+                continue
+            if state is None:
+                fresh, used, at, idx = sent.value[b.column(b.schema.get_field_index("__pid"))[0].as_py()]
+                state = names[0]
+            ids = []
+            for name, n in zip(names, ls):
+                n = n or 0
+                if fresh or name != state or used + n > budget:
+                    at, used, fresh, state = at + 1, 0, False, name
+                used += n
+                ids.append(at)
+            keep = [k for k, f in enumerate(b.schema) if f.name not in ("__pid", "__shard")]
+            cols = [b.column(k) for k in keep] + [pa.array(range(idx, idx + len(ids)), pa.int64()), pa.array(ids, pa.int64())]
+            idx += len(ids)
+            yield pa.RecordBatch.from_arrays(cols, names=[b.schema.field(k).name for k in keep] + ["idx", "batch_id"])
+
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "__pid"]
+                          + [T.StructField("idx", T.LongType()), T.StructField("batch_id", T.LongType())])
+    return rows.withColumn("__shard", shard).mapInArrow(number, schema)
+
+
+#: A partition as a function; ``opened0``, ``exit0``: if its first line opens a batch.
+PIECE = ("pid int, n long, first string, last string, whole long, opened0 long, exit0 long, fits array<long>, opened array<long>, "
+         "exits array<long>")
 
 
 def batch_summary(batched: DataFrame, keep_empty: bool = False, budget: int = 5000) -> DataFrame:

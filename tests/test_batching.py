@@ -77,3 +77,26 @@ def test_token_batches_brute_force(spark):
             else:
                 cnt, mx = cnt + 1, nm
             assert got[i] == (b0 // 16, b)
+
+
+def test_w1_borders_everywhere(spark):
+    """Many layouts: lines of no length, over-long lines, shards inside and across partitions, NULL
+    shards, partitions that a batch spans whole."""
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        for seed in range(12):
+            rnd = random.Random(seed)
+            budget = rnd.choice([3, 40, 1000])
+            rows, expect, base = [], [], 0
+            for shard in [None, *range(rnd.choice([0, 1, 12]))] if seed % 2 else [0]:
+                ls = [rnd.choice([0, 0, 1, 2, 7, 45]) for _ in range(rnd.randint(1, 120))]
+                rows += [(shard, i, n) for i, n in enumerate(ls)]
+                b = brute_budget(ls, budget)
+                expect += [x + base for x in b]
+                base += max(b) + 1
+            got, out = run(spark, rows, budget, shards=True)
+            assert got == expect, seed
+            assert sorted(r.idx for r in out.select("idx").collect()) == list(range(len(rows)))
+        assert run(spark, [], 10)[0] == []
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")

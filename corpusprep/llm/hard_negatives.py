@@ -7,7 +7,7 @@ bounds of a cell add up to a bound of the scores in it, and a heap over the two
 looks for is certified: the rows it holds are better than the bound of the next cell.
 
 Every partition of the rows is indexed on its own, with its own radii, under the shared codebooks,
-which are fitted on at most ``FIT_ROWS`` rows (those with the smallest hashes of their ids). Anchors
+which are fitted on about ``FIT_ROWS`` rows, chosen by the hash of their id and at most twice as many. Anchors
 are the stated query set: they meet all rows in blocks of at most ``BLOCK_BYTES``, broadcast one
 after the other. A block takes two passes: the first finds each anchor's positives, the second,
 knowing the windows that the positives open, the negatives. Each partition returns its best few
@@ -246,7 +246,9 @@ def mine(df: DataFrame) -> DataFrame:
     out = None
     for dim in sorted(r["dim"] for r in rows.select("dim").distinct().collect()):
         same = rows.where(F.col("dim") == dim).select("vec_id", "label", "vec")
-        sample = np.array([r["vec"] for r in same.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("vec").collect()])
+        share = int((1 << 20) * min(1.0, FIT_ROWS / max(1, same.count())))  # by hash, so that few rows come from each task
+        sample = np.array([r["vec"] for r in same.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < share).limit(2 * FIT_ROWS)
+                           .select("vec").collect()] or [r["vec"] for r in same.limit(1).collect()])
         half = dim // 2
         books = fit_codebook(sample[:, :half]), fit_codebook(sample[:, half:])
         asked = same.where(F.col("vec_id") % ANCHOR_EVERY == 0).orderBy("vec_id")

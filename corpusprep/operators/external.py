@@ -4,7 +4,7 @@ The remote translator / chat model of the reference is not part of the library:
 passes a plain Python function. Calls run in ``mapInPandas`` tasks; the number of partitions
 bounds the number of concurrent callers. The function must be idempotent per batch (a task may
 be retried or speculated); results are stored per ``batch_id`` so a rerun only calls what is
-missing.
+missing. What a task had noted before it was lost is called again by its retry, not by a rerun.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from corpusprep.functions.text import WS_CLASS
 from corpusprep.operators.align import last_per_key, pending_batches
+from corpusprep.session import make_dirs, path_exists, qualified, remove_path
 
 # Line boundaries of Python's str.splitlines, as a regex (Java and RE2).
 LINE_BREAKS = r"\r\n|[\n\r\x{0B}\x{0C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
@@ -64,62 +65,111 @@ def map_batches(df: DataFrame, fn: Callable[[list[str]], list[str]], batch_col:
     exception becomes a row with ``status`` (``length_mismatch`` / ``error``), never an abort
     and never a lost batch (the reference drops every batch after a failure)."""
     src = df.select(F.col(batch_col).cast("long").alias("batch_id"), F.col(texts_col).alias("texts"))
+    if partitions:
+        src = src.repartition(partitions, "batch_id")
+    return _map_rows(src, lambda _, texts: _outcome(fn, texts))
+
+
+def _map_rows(src: DataFrame, call, partitions: int | None = None) -> DataFrame:
+    """``call(batch_id, texts)`` -> (outputs, status, error) for every row of ``src``."""
     if partitions:
         src = src.repartition(partitions, "batch_id")
 
     def run(it):
         for pdf in it:
-            outs, status, errs = [], [], []
-            for texts in pdf["texts"]:
-                texts = [] if texts is None else list(texts)
-                try:
-                    res = fn(texts)
-                    res = None if res is None else [None if r is None else str(r) for r in res]
-                    if res is None or len(res) != len(texts):
-                        outs.append(res)
-                        status.append("length_mismatch")
-                        errs.append(f"{len(texts)} in, {0 if res is None else len(res)} out")
-                    else:
-                        outs.append(res)
-                        status.append("ok")
-                        errs.append(None)
-                except Exception as e:  # noqa: BLE001 - failures are data here
-                    outs.append(None)
-                    status.append("error")
-                    errs.append(f"{type(e).__name__}: {e}")
-            yield pd.DataFrame({"batch_id": pdf["batch_id"], "outputs": outs, "status": status, "error": errs})
+            got = [call(int(i), texts) for i, texts in zip(pdf["batch_id"], pdf["texts"])]
+            outs, status, errs = zip(*got) if got else ((), (), ())
+            yield pd.DataFrame({"batch_id": pdf["batch_id"], "outputs": list(outs), "status": list(status), "error": list(errs)})
 
     return src.mapInPandas(run, RESULT_SCHEMA)
 
 
+PROGRESS = "_progress"
+_PROGRESS_SCHEMA = "batch_id long, outputs array<string>, status string, error string, attempt long"
+
+
+def _noting(fn: Callable[[list[str]], list[str]], folder: str, attempt: int):
+    """``fn`` over rows ``(batch_id, texts)``, each result written to a file of its own below
+    ``folder`` as soon as it is there: under another name first, so that no half-written file counts."""
+
+    def call(batch_id: int, texts: list[str]):
+        import json
+        from uuid import uuid4
+
+        from pyarrow import fs
+
+        outputs, status, error = _outcome(fn, texts)
+        files, root = fs.FileSystem.from_uri(folder)
+        name = f"{batch_id}-{attempt}-{uuid4().hex}.json"
+        with files.open_output_stream(f"{root}/.{name}", compression=None) as f:
+            f.write((json.dumps({"batch_id": batch_id, "outputs": outputs, "status": status, "error": error, "attempt": attempt}) + "\n").encode())
+        files.move(f"{root}/.{name}", f"{root}/{name}")
+        return outputs, status, error
+    return call
+
+
+def _outcome(fn, texts) -> tuple:
+    """(outputs, status, error) of one call."""
+    texts = [] if texts is None else list(texts)
+    try:
+        res = fn(texts)
+        res = None if res is None else [None if r is None else str(r) for r in res]
+    except Exception as e:  # noqa: BLE001 - failures are data here
+        return None, "error", f"{type(e).__name__}: {e}"
+    if res is None or len(res) != len(texts):
+        return res, "length_mismatch", f"{len(texts)} in, {0 if res is None else len(res)} out"
+    return res, "ok", None
+
+
 def run_resumable(batches: DataFrame, store_path: str, fn: Callable[[list[str]], list[str]],
                   batch_col: str = "batch_id", texts_col: str = "texts",
-                  partitions: int | None = None, waves: int = 1) -> DataFrame:
+                  partitions: int | None = None, waves: int = 1, commit: str = "batch") -> DataFrame:
     """J4 against the store -> X1 on the pending batches -> append to the store (Parquet,
     one row per attempt). Returns the current store view: per batch the last attempt wins.
     Rerunning is idempotent: finished batches are never called again.
 
-    The pending batches go in ``waves`` (by a hash of the batch id), each committed before the next
-    begins, so that a run that dies loses the calls of one wave at most."""
+    With ``commit="batch"`` a task notes every result in ``store_path/_progress`` as soon as its
+    call returns, so a run that dies loses only the calls that were under way; the next run takes the
+    notes into the store first. This needs a store that ``pyarrow.fs`` can address (``file``, ``s3``,
+    ``gs``, ``hdfs``). ``commit="wave"`` works with any store of Spark's: the pending batches go in
+    ``waves`` (by a hash of the batch id), each committed before the next begins, and a run that dies
+    loses the calls of one wave."""
+    if commit not in ("batch", "wave"):
+        raise ValueError(f"commit is 'batch' or 'wave', not {commit!r}")
     spark = batches.sparkSession
     b = batches.select(F.col(batch_col).cast("long").alias("batch_id"), F.col(texts_col).alias("texts"))
+    notes = f"{qualified(spark, store_path)}/{PROGRESS}"
+    if commit == "batch":
+        _take_in(spark, store_path, notes)
     attempt = 1
-    if _exists(spark, store_path):
+    if path_exists(spark, store_path):
         attempt = (spark.read.parquet(store_path).agg(F.max("attempt")).first()[0] or 0) + 1
     for wave in range(waves):
         todo = b if waves == 1 else b.filter(F.pmod(F.xxhash64("batch_id"), F.lit(waves)) == wave)
-        if _exists(spark, store_path):
+        if path_exists(spark, store_path):
             done = last_per_key(spark.read.parquet(store_path), "batch_id", "attempt", ["outputs", "status"])
             todo = pending_batches(todo, done.filter(F.col("status") == "ok"))
-        res = map_batches(todo, fn, "batch_id", "texts", partitions).withColumn("attempt", F.lit(attempt).cast("long"))
-        res.write.mode("append").parquet(store_path)
+        if commit == "batch":
+            make_dirs(spark, notes)
+            res = _map_rows(todo, _noting(fn, notes, attempt), partitions)
+        else:
+            res = map_batches(todo, fn, "batch_id", "texts", partitions)
+        res.withColumn("attempt", F.lit(attempt).cast("long")).write.mode("append").parquet(store_path)
+        if commit == "batch":
+            remove_path(spark, notes)
     return last_per_key(spark.read.parquet(store_path), "batch_id", "attempt", ["outputs", "status", "error"])
 
 
-def _exists(spark, path: str) -> bool:
-    """Whether Spark's file system has ``path`` (a relative path is the default file system's)."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def _take_in(spark, store_path: str, notes: str) -> None:
+    """Append the notes of a run that died to the store, each batch once, and delete them."""
+    if not path_exists(spark, notes):
+        return
+    left = spark.read.schema(_PROGRESS_SCHEMA).json(notes)
+    # an attempt retried by Spark may have noted a batch twice
+    once = left.groupBy("batch_id", "attempt").agg(F.max(F.struct((F.col("status") == "ok").alias("good"), "outputs", "status", "error")).alias("r"))
+    once = once.select("batch_id", "r.outputs", "r.status", "r.error", "attempt")
+    once.write.mode("append").parquet(store_path)
+    remove_path(spark, notes)
 
 
 def to_pairs(lines: DataFrame, outputs: DataFrame, key_cols: list[str], pos_col: str = "pos") -> DataFrame:

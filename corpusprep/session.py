@@ -68,10 +68,41 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether Spark's file system has ``path`` (a relative path is the default file system's)."""
+    p, fs = _hadoop(spark, path)
+    return fs.exists(p)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as a URI with its scheme."""
+    p, fs = _hadoop(spark, path)
+    uri = fs.makeQualified(p).toString()
+    return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
+def make_dirs(spark: SparkSession, path: str) -> None:
+    p, fs = _hadoop(spark, path)
+    fs.mkdirs(p)
+
+
+def move_path(spark: SparkSession, src: str, dst: str) -> None:
+    """Rename ``src`` to ``dst``, which must not exist; an error if the file system refuses."""
+    a, fs = _hadoop(spark, src)
+    b, _ = _hadoop(spark, dst)
+    if fs.exists(b) or not fs.rename(a, b):
+        raise FileExistsError(f"{src} was not renamed to {dst}")
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete what this library wrote at ``path``, on whatever file system the path names."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    p, fs = _hadoop(spark, path)
+    fs.delete(p, True)
 
 
 _SHIPPED: set[str] = set()

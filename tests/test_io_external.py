@@ -132,13 +132,40 @@ def test_run_that_dies_loses_one_wave(spark, tmp):
     wave = df.filter(F.pmod(F.xxhash64("batch_id"), F.lit(3)) == 0)
     run_resumable(wave, store, ok)  # what a run of three waves had committed when it died
     with pytest.raises(Exception):
-        run_resumable(df, store, dies, waves=3)
+        run_resumable(df, store, dies, waves=3, commit="wave")
     before = len(calls(log))
-    got = run_resumable(df, store, ok, waves=3)
+    got = run_resumable(df, store, ok, waves=3, commit="wave")
     assert {r.batch_id: r.outputs for r in got.collect()} == {k: [f"T{k}"] for k in range(12)}
     assert before > 0 and calls(log) == sorted(f"t{k}" for k in range(12))
 
 
+def test_run_that_dies_calls_only_unfinished_batches(spark, tmp):
+    """Default arguments; the worker is gone in the middle of the job."""
+    store, log = os.path.join(tmp, "store"), os.path.join(tmp, "log")
+    os.makedirs(log)
+    df = spark.createDataFrame([(k, [f"t{k}"]) for k in range(12)], "batch_id long, texts array<string>").repartition(3, "batch_id")
+    ok, at = noted(log, fail=["t4"]), os.path.join(tmp, "dead")
+
+    def dies(texts):
+        if texts == ["t9"] and not os.path.exists(at):
+            open(at, "w").close()
+            os._exit(1)
+        return ok(texts)
+    with pytest.raises(Exception):
+        run_resumable(df, store, dies)
+    before = calls(log)
+    assert 0 < len(before) < 12 and not os.path.exists(os.path.join(store, "_SUCCESS"))
+    got = {r.batch_id: (r.status, r.outputs) for r in run_resumable(df, store, dies).collect()}
+    assert got == {k: ("error", None) if k == 4 else ("ok", [f"T{k}"]) for k in range(12)}
+    after = calls(log)
+    # only the batch that fails was called again, if it had been called before
+    assert sorted(set(after)) == sorted(f"t{k}" for k in range(12))
+    assert len(after) == 12 + ("t4" in before)
+    assert not os.path.exists(os.path.join(store, "_progress"))
+    run_resumable(df, store, ok)
+    assert len(calls(log)) == len(after) + 1
+
+
 def test_rewrite_lines_keeps_every_batch_and_calls_once(spark, tmp):
     from corpusprep.operators.external import rewrite_lines
     log = os.path.join(tmp, "log")

@@ -53,15 +53,16 @@ def build_vocab(df: DataFrame, col: str, size: int = 10000, specials: list[str]
     return head.unionByName(body)
 
 
-def corpus_stats(df: DataFrame, col: str, group_cols: list[str], batch_tokens: int = 4096) -> DataFrame:
-    """Lines, tokens, max/mean tokens per line, distinct words and steps per epoch
-    (``ceil(tokens / batch_tokens)``) per group, from one two-level aggregation (group, word) ->
-    group, so that the input is evaluated once."""
-    g = list(group_cols)
+def _word_table(df: DataFrame, col: str, g: list[str]) -> DataFrame:
+    """``(groups..., __w, __lines, __c, __n)``: every word of a group with its lines' counts (a line
+    is counted at its first token, or at the one NULL word that a blank line has), its tokens and
+    the longest line that holds it."""
     each = df.select(*g, tokens(col).alias("__t")).select(*g, F.size("__t").alias("__n"), F.posexplode_outer("__t").alias("__p", "__w"))
-    # a line is counted at its first token, or at the one row that a blank line has
     first = F.when(F.coalesce(F.col("__p"), F.lit(0)) == 0, 1)
-    words = each.groupBy(*g, "__w").agg(F.count(first).alias("__lines"), F.count("__w").alias("__c"), F.max("__n").alias("__n"))
+    return each.groupBy(*g, "__w").agg(F.count(first).alias("__lines"), F.count("__w").alias("__c"), F.max("__n").alias("__n"))
+
+
+def _from_words(words: DataFrame, g: list[str], batch_tokens: int) -> DataFrame:
     out = words.groupBy(*g).agg(F.sum("__lines").alias("lines"), F.sum("__c").cast("long").alias("tokens"),
                                 F.max("__n").cast("long").alias("max_len"),
                                 F.round(F.sum("__c") / F.sum("__lines"), 4).alias("mean_len"),
@@ -69,6 +70,29 @@ def corpus_stats(df: DataFrame, col: str, group_cols: list[str], batch_tokens: i
     return out.withColumn("steps_per_epoch", F.ceil(F.col("tokens") / F.lit(batch_tokens)).cast("long"))
 
 
+def corpus_stats(df: DataFrame, col: str, group_cols: list[str], batch_tokens: int = 4096) -> DataFrame:
+    """Lines, tokens, max/mean tokens per line, distinct words and steps per epoch
+    (``ceil(tokens / batch_tokens)``) per group, from one two-level aggregation (group, word) ->
+    group, so that the input is evaluated once."""
+    g = list(group_cols)
+    return _from_words(_word_table(df, col, g), g, batch_tokens)
+
+
+def corpus_stats_rollup(df: DataFrame, col: str, group_cols: list[str], batch_tokens: int = 4096) -> DataFrame:
+    """A6 on every level of ``rollup(group_cols)`` in one plan: ``level`` is the number of leading
+    group columns that a row keeps, the others are NULL. Words are counted per (group, word) first;
+    each of these few rows then goes to every level and meets its word there again, so distinct words
+    are right on all levels and the text is evaluated once."""
+    g = list(group_cols)
+    words = _word_table(df, col, g)
+    levels = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), *[F.col(c).alias(c) if i < k else F.lit(None).cast(words.schema[c].dataType).alias(c)
+                                                                   for i, c in enumerate(g)]) for k in range(len(g) + 1)]))
+    spread = words.select(levels.alias("__x"), "__w", "__lines", "__c", "__n").select("__x.*", "__w", "__lines", "__c", "__n")
+    keys = ["level", *g]
+    met = spread.groupBy(*keys, "__w").agg(F.sum("__lines").alias("__lines"), F.sum("__c").alias("__c"), F.max("__n").alias("__n"))
+    return _from_words(met, keys, batch_tokens)
+
+
 def vocab_by_freq(counts: DataFrame, word: str = "word", freq: str = "freq") -> DataFrame:
     """The vocabulary in frequency-descending order as an explicit ``rank`` (ties by word),
     numbered by a range-partitioned scan rather than a single-task global sort."""

@@ -239,7 +239,8 @@ DUCK_VIEWS: dict[str, tuple[list[str], str]] = {
 
 
 def duck_with(*names: str, extra: list[tuple[str, str]] | None = None) -> str:
-    """``WITH`` clause defining the named views (dependencies first) plus ``extra`` CTEs."""
+    """``WITH`` clause defining the named views (dependencies first) plus ``extra`` CTEs; one named
+    with its columns is recursive."""
     order: list[str] = []
 
     def visit(n):
@@ -253,8 +254,10 @@ def duck_with(*names: str, extra: list[tuple[str, str]] | None = None) -> str:
     for n in names:
         visit(n)
     parts = [f"{n} AS ({DUCK_VIEWS[n][1]})" for n in order]
-    parts += [f"{n} AS ({body})" for n, body in (extra or [])]
-    return ("WITH " + ",\n".join(parts)) if parts else ""
+    # materialised: many of them are read more than once
+    parts += [f"{n} AS ({body})" if "(" in n else f"{n} AS MATERIALIZED ({body})" for n, body in (extra or [])]
+    word = "WITH RECURSIVE " if any("(" in n for n, _ in (extra or [])) else "WITH "
+    return (word + ",\n".join(parts)) if parts else ""
 
 
 def oracle(views: list[str], select: str, ctes: list[tuple[str, str]] | None = None) -> str:

@@ -12,6 +12,7 @@ from corpusprep.operators.bpe_learn import learn_bpe
 from corpusprep.operators.stats import corpus_stats
 from corpusprep.operators.variants import build_variants
 from corpusprep.plans import fixtures as fx
+from corpusprep.sources.sinks import write_prepared
 
 GROUPS = ["variant", "side"]
 NUM_MERGES = 10_000  # as the reference learns
@@ -31,6 +32,12 @@ def prepare(spark: SparkSession, sf_dir: str, num_merges: int = NUM_MERGES) -> t
     return merges, encoded
 
 
+def prepare_files(spark: SparkSession, sf_dir: str, path: str, num_merges: int = NUM_MERGES, mode: str = "errorifexists") -> DataFrame:
+    """The dataset on disk: codes, segmented and plain text per variant, side and split, all of it or
+    nothing; returns the pairs that cannot be lines."""
+    return write_prepared(*prepare(spark, sf_dir, num_merges), path, GROUPS, mode=mode)
+
+
 def flagship(spark: SparkSession, sf_dir: str, num_merges: int = NUM_MERGES) -> DataFrame:
     _, encoded = prepare(spark, sf_dir, num_merges)
     return corpus_stats(encoded, "enc", ["variant", "side", "split"])

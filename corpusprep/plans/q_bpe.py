@@ -122,14 +122,17 @@ def q_learn_bpe_groups(spark, d):
 
 # --- B6 / B8 / B9 / B10 --------------------------------------------------------------------------------
 
+def _d_chain(k: int, sym: str = "sym") -> str:
+    """The first ``k`` merges applied to a symbol string one after the other."""
+    for i in range(k):
+        sym = f"replace({sym}, (SELECT ' ' || m.l || '  ' || m.r || ' ' FROM p{i}), (SELECT ' ' || m.l || m.r || ' ' FROM p{i}))"
+    return sym
+
+
 def _d_encoded_lines(k: int) -> list[tuple[str, str]]:
     """DuckDB: segment every document line with the first ``k`` learned merges applied in
     rank order (equal to the lowest-rank loop while no string has two derivations)."""
-    chain = "sym"
-    for i in range(k):
-        pat = f"(SELECT ' ' || m.l || '  ' || m.r || ' ' FROM p{i})"
-        rep = f"(SELECT ' ' || m.l || m.r || ' ' FROM p{i})"
-        chain = f"replace({chain}, {pat}, {rep})"
+    chain = _d_chain(k)
     return d_learn(_doc_types(), k) + [
         ("tok", f"""SELECT doc_id, line_no, unnest(range(len(t))) AS pos, unnest(t) AS w
                     FROM (SELECT doc_id, line_no, {d_tok('text')} AS t FROM lines)"""),
@@ -169,23 +172,68 @@ def q_bpe_stats(spark, d):
     return ba.bpe_stats(enc.join(docs, "doc_id"), "text", "enc", ["lang"])
 
 
-@register("apply_bpe_vocab")
+def _d_word_lines(of_word: str) -> str:
+    """Every line with its words replaced by ``of_word(w, enc)``."""
+    return f"""SELECT l.doc_id, l.line_no, coalesce(string_agg(o.enc, ' ' ORDER BY t.pos), '') AS text
+               FROM lines l LEFT JOIN (SELECT doc_id, line_no, unnest(range(len(t))) AS pos, unnest(t) AS w
+                                       FROM (SELECT doc_id, line_no, {d_tok('text')} AS t FROM lines)) t
+                    ON l.doc_id = t.doc_id AND l.line_no = t.line_no
+               LEFT JOIN {of_word} o ON o.w = t.w GROUP BY l.doc_id, l.line_no"""
+
+
+_D_TYPES = ("types", f"SELECT w, count(*) AS freq, {d_sym('w')} AS sym FROM (SELECT unnest({d_tok('text')}) AS w FROM documents) GROUP BY w")
+VOCAB_K, VOCAB_MIN, GLOSSARY = 64, 50, ["tion", "ment"]
+
+
+@register("apply_bpe_vocab", oracle=fx.oracle(["lines"], "SELECT * FROM result", d_learn(_doc_types(), VOCAB_K) + [
+    _D_TYPES,
+    ("pieces", f"""SELECT w, freq, unnest(range(len(u))) AS pos, unnest(u) AS unit, len(u) AS n FROM (
+        SELECT w, freq, CASE WHEN length(w) = 1 THEN [w] ELSE string_split(replace(trim(replace({_d_chain(VOCAB_K)}, '</w>', '')), '  ', '@@ '), ' ') END AS u
+        FROM types)"""),
+    ("vocab", f"SELECT unit FROM pieces GROUP BY unit HAVING sum(freq) >= {VOCAB_MIN}"),
+    ("made", 'SELECT "left" || "right" AS s, arg_min("left", rank) AS a, arg_min("right", rank) AS b FROM merges GROUP BY 1'),
+    # a unit that the vocabulary lacks falls back to the halves of its merge, until none is left
+    ("back(w, path, s, fin, known)", """
+        SELECT w, printf('%06d', pos), CASE WHEN pos < n - 1 THEN left(unit, length(unit) - 2) ELSE unit END, pos = n - 1,
+               n = 1 AND length(w) = 1 OR unit IN (SELECT unit FROM vocab) FROM pieces
+        UNION ALL
+        SELECT w, path || h.side, h.s, h.fin, CASE WHEN h.fin THEN h.s ELSE h.s || '@@' END IN (SELECT unit FROM vocab)
+        FROM (SELECT b.w, b.path, unnest([{'side': '0', 's': m.a, 'fin': false},
+                                          {'side': '1', 's': CASE WHEN b.fin THEN left(m.b, length(m.b) - 4) ELSE m.b END, 'fin': b.fin}]) AS h
+              FROM back b JOIN made m ON m.s = CASE WHEN b.fin THEN b.s || '</w>' ELSE b.s END WHERE NOT b.known)"""),
+    ("words", """SELECT w, string_agg(CASE WHEN fin THEN s ELSE s || '@@' END, ' ' ORDER BY path) AS enc FROM back b
+                 WHERE known OR NOT EXISTS (SELECT 1 FROM made m WHERE m.s = CASE WHEN b.fin THEN b.s || '</w>' ELSE b.s END) GROUP BY w"""),
+    ("result", _d_word_lines("words"))]))
 def q_apply_bpe_vocab(spark, d):
-    """Segment with a vocabulary built from the segmented documents (threshold 50); rare
-    pieces back off to smaller known units. Rows-only (checked by unit tests)."""
+    """Segment with a vocabulary built from the segmented documents; rare pieces back off to
+    smaller known units."""
     docs = fx.table(spark, d, "documents")
-    merges = bl.learn_bpe(docs, "text", num_merges=64)
+    merges = bl.learn_bpe(docs, "text", num_merges=VOCAB_K)
     enc = ba.apply_bpe(docs, "text", merges, out_col="enc")
-    vocab = ba.subword_vocab(enc, "enc").filter(F.col("freq") >= 50)
+    vocab = ba.subword_vocab(enc, "enc").filter(F.col("freq") >= VOCAB_MIN)
     return ba.apply_bpe(fx.lines(spark, d), "text", merges, vocab=vocab, out_col="enc") \
         .select("doc_id", "line_no", F.col("enc").alias("text"))
 
 
-@register("apply_bpe_glossary")
+def _d_around(w: str) -> str:
+    """A word cut around the glossary strings."""
+    for g in GLOSSARY:
+        w = f"replace({w}, '{g}', chr(1) || '{g}' || chr(1))"
+    return f"list_filter(string_split({w}, chr(1)), lambda x: x <> '')"
+
+
+@register("apply_bpe_glossary", oracle=fx.oracle(["lines"], "SELECT * FROM result", d_learn(_doc_types(), K) + [
+    _D_TYPES,
+    ("parts", f"SELECT w, unnest(range(len(p))) AS pos, unnest(p) AS part FROM (SELECT w, {_d_around('w')} AS p FROM types)"),
+    ("coded", f"""SELECT w, pos, CASE WHEN length(part) = 1 OR part IN ({", ".join(f"'{g}'" for g in GLOSSARY)}) THEN part
+        ELSE replace(trim(replace({_d_chain(K)}, '</w>', '')), '  ', '@@ ') END AS piece
+        FROM (SELECT w, pos, part, {d_sym('part')} AS sym FROM parts)"""),
+    ("words", "SELECT w, string_agg(piece, '@@ ' ORDER BY pos) AS enc FROM coded GROUP BY w"),
+    ("result", _d_word_lines("words"))]))
 def q_apply_bpe_glossary(spark, d):
-    """Segmentation that keeps glossary strings whole inside words. Rows-only."""
+    """Segmentation that keeps glossary strings whole inside words."""
     merges = bl.learn_bpe(fx.table(spark, d, "documents"), "text", num_merges=K)
-    return ba.apply_bpe(fx.lines(spark, d), "text", merges, glossaries=["tion", "ment"], out_col="enc") \
+    return ba.apply_bpe(fx.lines(spark, d), "text", merges, glossaries=GLOSSARY, out_col="enc") \
         .select("doc_id", "line_no", F.col("enc").alias("text"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusprep.functions.text import split_punctuation
-from corpusprep.operators.stats import build_vocab, corpus_stats, vocab_by_freq, word_counts
+from corpusprep.operators.stats import build_vocab, corpus_stats, corpus_stats_rollup, vocab_by_freq, word_counts
 from corpusprep.plans import fixtures as fx
 from corpusprep.plans.q_text import d_t1, d_tok
 from corpusprep.plans.registry import register
@@ -50,9 +50,30 @@ def q_build_vocab(spark, d):
     ("dist", """SELECT corpus, split, side, CAST(count(DISTINCT w) AS BIGINT) AS distinct_words
                 FROM (SELECT corpus, split, side, unnest(tk) AS w FROM t) GROUP BY corpus, split, side""")]))
 def q_corpus_stats(spark, d):
+    return corpus_stats(_side_lines(spark, d), "text", ["corpus", "split", "side"])
+
+
+def _side_lines(spark, d):
     sides = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("text")) for side in ("src", "tgt")]))
-    lines = fx.corpora(spark, d).select("corpus", "split", sides.alias("s")).select("corpus", "split", "s.side", "s.text")
-    return corpus_stats(lines, "text", ["corpus", "split", "side"])
+    return fx.corpora(spark, d).select("corpus", "split", sides.alias("s")).select("corpus", "split", "s.side", "s.text")
+
+
+_LEVEL = "3 - GROUPING(corpus) - GROUPING(split) - GROUPING(side)"
+
+
+@register("corpus_stats_rollup", oracle=fx.oracle(["corpora"], f"""
+    SELECT per.*, CAST(coalesce(dist.n, 0) AS BIGINT) AS distinct_words, CAST(ceil(per.tokens / 4096) AS BIGINT) AS steps_per_epoch
+    FROM per LEFT JOIN dist ON per.level = dist.level AND per.corpus IS NOT DISTINCT FROM dist.corpus
+        AND per.split IS NOT DISTINCT FROM dist.split AND per.side IS NOT DISTINCT FROM dist.side""", [
+    _SIDES,
+    ("t", f"SELECT corpus, split, side, {d_tok('text')} AS tk FROM sides"),
+    ("per", f"""SELECT CAST({_LEVEL} AS INTEGER) AS level, corpus, split, side, CAST(count(*) AS BIGINT) AS lines,
+                       CAST(sum(len(tk)) AS BIGINT) AS tokens, CAST(max(len(tk)) AS BIGINT) AS max_len, round(avg(len(tk)), 4) AS mean_len
+                FROM t GROUP BY ROLLUP (corpus, split, side)"""),
+    ("dist", f"""SELECT {_LEVEL} AS level, corpus, split, side, count(DISTINCT w) AS n
+                 FROM (SELECT corpus, split, side, unnest(tk) AS w FROM t) GROUP BY ROLLUP (corpus, split, side)""")]))
+def q_corpus_stats_rollup(spark, d):
+    return corpus_stats_rollup(_side_lines(spark, d), "text", ["corpus", "split", "side"])
 
 
 @register("vocab_by_freq", oracle=f"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusprep.llm.common import table
-from corpusprep.llm.oracles import OP1
+from corpusprep.llm.oracles import OP1, OP4, OP11, OP12, OP13
 
 
 def tokenizer_path() -> str:
@@ -102,4 +102,5 @@ QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_benchmark_decontaminat
                                    op5_secret_scan, op6_language_id, op7_html_extraction, op8_hilbert_sharding,
                                    op9_cost_balanced_packing, op10_line_template_dedup, op11_overlapped_resample, op12_seekable_warc,
                                    op13_multi_index_negatives)}
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1}
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op4_ngram_jaccard_join": OP4, "op11_overlapped_resample": OP11,
+                           "op12_seekable_warc": OP12, "op13_multi_index_negatives": OP13}

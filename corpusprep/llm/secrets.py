@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -188,17 +189,26 @@ def guess_spans(text: str, base: list[tuple[int, int, int]], ranks: dict[str, in
     low = text.lower()
     if not any(k in low for k in _WORDS_NEAR):
         return []
-    out, taken = [], {(s, e) for s, _, e in base}
+    # what is taken, as disjoint spans in order; base spans of different kinds may overlap
+    out, starts, ends = [], [], []
+    for s, _, e in base:
+        if starts and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     for pattern in CONTEXT:
         for m in pattern.finditer(text):
             s, e = m.span("v")
             while e > s and text[e - 1] in ".)]}:!?":
                 e -= 1
-            if e - s < 4 or any(a < e and s < b for a, b in taken):
+            at = bisect_left(starts, e)  # spans before it begin before the value ends
+            if e - s < 4 or (at and ends[at - 1] > s):
                 continue
             cost, _ = guess_cost(text[s:e], ranks)
             if cost >= min_log10:
-                taken.add((s, e))
+                starts.insert(at, s)
+                ends.insert(at, e)
                 out.append((s, 3, e, cost))
     return sorted(out)
 

@@ -106,3 +106,18 @@ def test_edge_rows(spark, edge):
 
 def test_small_table(spark):
     assert Q.op5_secret_scan(spark, SMALL).count() == 200
+
+
+def test_very_many_matches_in_one_text():
+    from time import monotonic
+
+    from corpusprep.llm.queries import tokenizer_path
+    from corpusprep.llm.secrets import base_spans, guess_spans, vocabulary_ranks
+    ranks = vocabulary_ranks(tokenizer_path())
+    text = "token=abc12\ntoken=abcdef1\nDB_PASSWORD=p@7#kQ!z9$Lw2xR\n" * 30_000
+    start = monotonic()
+    base = base_spans(text)
+    got = guess_spans(text, base, ranks, 5.0)
+    assert len(base) == 30_000 and len(got) >= 30_000
+    assert all(e <= s2 for (_, _, e, _), (s2, _, _, _) in zip(got, got[1:]))
+    assert monotonic() - start < 200

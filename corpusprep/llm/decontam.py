@@ -20,6 +20,7 @@ row. Only the named id and text columns are read, so other columns cannot clash.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import defaultdict
 
@@ -69,21 +70,26 @@ def greedy_tiles(item: np.ndarray, doc: np.ndarray, min_match: int = MIN_MATCH,
     tiles: list[tuple[int, int, int]] = []
     length = max(min_match, min(first, len(item), len(doc)))
     while True:
-        found = _maximal(item, doc, free_i, free_d, length)
-        longest = max((n for _, _, n in found), default=0)
+        found = [(-n, i, d) for i, d, n in _maximal(item, doc, free_i, free_d, length)]
+        longest = -min(found)[0] if found else 0
         if longest > 2 * length:  # much longer matches exist: search at their length first
             length = longest
             continue
-        found.sort(key=lambda x: (-x[2], x[0], x[1]))
-        for i, d, n in found:
-            if free_i[i:i + n].all() and free_d[d:d + n].all():
+        heapq.heapify(found)
+        while found:
+            n, i, d = heapq.heappop(found)
+            n = -n
+            free = free_i[i:i + n] & free_d[d:d + n]
+            if free.all():
                 free_i[i:i + n] = False
                 free_d[d:d + n] = False
                 tiles.append((i, d, n))
-            else:  # partly taken by a longer tile: what is left of it is found again
                 continue
-        if any(_maximal(item, doc, free_i, free_d, length)):
-            continue  # remainders of occluded matches that are still long enough
+            # partly taken by longer tiles: what is left of it takes its place by length
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], free.view(np.int8), [0]])))
+            for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist()):
+                if hi - lo >= length:
+                    heapq.heappush(found, (lo - hi, i + lo, d + lo))
         if length == min_match:
             return sorted(tiles)
         length = max(min_match, length // 2)
@@ -98,18 +104,19 @@ def _maximal(item, doc, free_i, free_d, length) -> list[tuple[int, int, int]]:
     if not len(at_i) or not len(at_d):
         return []
     hi, hd = rolling(item, length), rolling(doc, length)
-    index = defaultdict(list)
-    for d in at_d[np.isin(hd[at_d], hi[at_i])].tolist():
-        index[int(hd[d])].append(d)
-    if not index:
-        return []
+    at_d = at_d[np.isin(hd[at_d], hi[at_i])]
+    order = np.argsort(hd[at_d], kind="stable")
+    at_d, keys = at_d[order], hd[at_d][order]
+    # words before which a match of theirs would have begun earlier: an id that nothing equals at the edges
+    before_i = np.concatenate([[-1], np.where(free_i[:-1], item[:-1].astype(np.int64), -1)])
+    before_d = np.concatenate([[-2], np.where(free_d[:-1], doc[:-1].astype(np.int64), -2)])
     out = []
     for i in at_i.tolist():
-        for d in index.get(int(hi[i]), ()):
+        lo, up = np.searchsorted(keys, hi[i], "left"), np.searchsorted(keys, hi[i], "right")
+        places = at_d[lo:up]
+        for d in places[before_d[places] != before_i[i]].tolist():
             if not np.array_equal(item[i:i + length], doc[d:d + length]):
                 continue  # equal hash, different words
-            if i and d and free_i[i - 1] and free_d[d - 1] and item[i - 1] == doc[d - 1]:
-                continue  # inside a match that began earlier
             n = length
             while i + n < len(item) and d + n < len(doc) and free_i[i + n] and free_d[d + n] and item[i + n] == doc[d + n]:
                 n += 1
@@ -132,8 +139,9 @@ class _Seeds:
         self.sieve = np.zeros(1 << 16, bool)
         self.sieve[(self.hash >> np.uint64(40)).astype(np.int64) & 0xFFFF] = True
 
-    def find(self, doc: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """(place in item, place in document) of the seeds in ``doc``, by item."""
+    def find(self, doc: np.ndarray) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
+        """By item: (places in the item, places in the document) of each of its seeds that are in
+        ``doc``. Items share the arrays, so a seed that repeats on both sides is no product."""
         seen: dict[int, list] = defaultdict(list)
         if len(doc) < self.length:
             return seen
@@ -141,9 +149,13 @@ class _Seeds:
         maybe = np.flatnonzero(self.sieve[(h >> np.uint64(40)).astype(np.int64) & 0xFFFF])
         lo = np.searchsorted(self.hash, h[maybe], "left")
         hi = np.searchsorted(self.hash, h[maybe], "right")
-        for x in np.flatnonzero(hi > lo).tolist():
-            for s in range(lo[x], hi[x]):
-                seen[int(self.item[s])].append((int(self.at[s]), int(maybe[x])))
+        hit = np.flatnonzero(hi > lo)
+        order = hit[np.argsort(lo[hit], kind="stable")]
+        for group in np.split(order, np.flatnonzero(np.diff(lo[order])) + 1) if len(order) else ():
+            a, b = lo[group[0]], hi[group[0]]
+            places, items = maybe[group], self.item[a:b]
+            for item in np.unique(items).tolist():
+                seen[item].append((self.at[a:b][items == item], places))
         return seen
 
 
@@ -174,15 +186,16 @@ class _Block:
         for item, pairs in sorted(seen.items()):
             ids = self.ids[item]
             if len(ids) < k:  # the whole item, at its first place
-                d = next((d for _, d in pairs if np.array_equal(ids, doc[d:d + len(ids)])), None)
+                d = next((d for _, places in pairs for d in places.tolist() if np.array_equal(ids, doc[d:d + len(ids)])), None)
                 if d is not None:
                     yield self.keys[item], len(ids), len(ids), [(0, d, len(ids))]
                 continue
-            can = np.zeros(len(ids), bool)
-            near = np.zeros(len(doc), bool)
-            for i, d in pairs:
-                can[i:i + k] = True
-                near[d:d + k] = True
+            can, near = np.zeros(len(ids) + 1, np.int64), np.zeros(len(doc) + 1, np.int64)
+            for own, places in pairs:
+                for side, at in ((can, own), (near, places)):
+                    side[at] += 1
+                    np.subtract.at(side, at + k, 1)
+            can, near = np.cumsum(can[:-1]) > 0, np.cumsum(near[:-1]) > 0
             if can.sum() < threshold * len(ids):
                 continue
             # the parts of the document under seeds of this item; a 0 keeps them apart

@@ -1,7 +1,7 @@
 """HTML extraction with a site style tree.
 
 The pages of a host are merged into one tree: a node is the path of block elements with their
-classes and ids. Every node gathers, over the host's pages, its presentations (sequences of child
+classes and ids, of at most ``MAX_DEPTH`` steps. Every node gathers, over the host's pages, its presentations (sequences of child
 elements) and its contents (hashes of the text blocks below it). Its importance is
 
     (1 - g**l) * presentation + g**l * content
@@ -33,7 +33,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -46,8 +46,13 @@ MIN_IMPORTANCE = 0.2
 MIN_PAGES = 5
 MAIN_IMPORTANCE = 0.05
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+#: Levels of the tree; what lies deeper belongs to its branch there.
+MAX_DEPTH = 64
+
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_SPECIAL = re.compile(r"""[>"']""")
+#: A name with its value; a name alone is taken whole too, so that a long one is read once.
+_ATTR = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]++)))?+""")
 
 # Elements by their part in a page.
 RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes", "iframe"}
@@ -96,23 +101,127 @@ def _kind(name: str) -> str:
     return "header" if header else "main" if main else ""
 
 
+class Tags:
+    """The tags, comments and text of a page in order. Every character is looked at a bounded number
+    of times, whatever is left open."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last = html.rfind(">")
+        self._first = (0, -1)  # between these places there is none of > " '
+        self._dead: set[int] = set()  # quotes from which no tag end can be reached
+
+    def tag_end(self, at: int) -> int:
+        """The place after the > that ends the tag whose attributes begin at ``at``; -1 if a quote is
+        left open before it."""
+        html, passed, first = self.html, [], True
+        while at <= self.last:
+            if first and self._first[0] <= at <= self._first[1]:
+                s = self._first[1]
+            else:
+                m = _SPECIAL.search(html, at)
+                if not m:
+                    break
+                s = m.start()
+                if first:
+                    self._first = (at, s)
+            first = False
+            if s in self._dead:
+                break
+            if html[s] == ">":
+                return s + 1
+            passed.append(s)
+            close = html.find(html[s], s + 1)
+            if close < 0:
+                break
+            at = close + 1
+        self._dead.update(passed)
+        return -1
+
+    def __iter__(self):
+        """("text", text), ("start", tag, attributes) and ("end", tag)."""
+        html, at, pos, size = self.html, 0, 0, len(self.html)
+        while pos < size:
+            lt = html.find("<", pos)
+            if lt < 0:
+                break
+            if html.startswith("<!--", lt) or html.startswith("<![CDATA[", lt):
+                mark = "-->" if html[lt + 2] == "-" else "]]>"
+                close = html.find(mark, lt + (4 if mark == "-->" else 9))
+                end, token = (size if close < 0 else close + 3), None
+            elif lt > self.last:  # no tag ends any more; a comment may still begin
+                starts = [x for x in (html.find("<!--", lt), html.find("<![CDATA[", lt)) if x >= 0]
+                if not starts:
+                    break
+                pos = min(starts)
+                continue
+            elif html[lt + 1:lt + 2] in ("!", "?"):
+                end, token = html.index(">", lt) + 1, None
+            else:
+                m = _TAG.match(html, lt)
+                end = self.tag_end(m.end()) if m else -1
+                if end < 0:
+                    pos = lt + 1
+                    continue
+                tag = m[2].lower()
+                token = ("end", tag) if m[1] else ("start", tag, html[m.end():end - 1])
+            if lt > at:
+                yield "text", html[at:lt]
+            at = pos = end
+            if token is None:
+                continue
+            yield token
+            if token[0] == "start" and token[1] in RAW:  # its content is no markup, up to the end tag
+                m = re.compile(rf"</{token[1]}\b[^>]*>", re.I).search(html, at) if at <= self.last else None
+                at = pos = m.end() if m else size
+        # a last unfinished tag is markup
+        cut = re.compile(r"<[/!?a-zA-Z]").search(html, at)
+        if at < size:
+            yield "text", html[at:cut.start()] if cut else html[at:]
+
+
 class Page:
     """The text blocks of a page, each with its node, and the presentations of the nodes.
 
-    ``blocks``: (node, text, state, weighed) with state ``main``, ``rest`` or ``noise``; ``weighed``
-    is false for prose directly in the main part. What is noise by a name only (``named``) is left
-    again where it turns out to hold the page's main part: an article in it (``inner``) if the page
-    has no main part elsewhere, or a part that its name calls so (``deep``) if it has no other text."""
+    ``nodes``: (parent, step, identity, depth); the identity is a hash of the parent's and the step, so
+    it is that of the path. ``blocks``: (node, text, state, weighed) with state ``main``, ``rest`` or
+    ``noise``; ``weighed`` is false for prose directly in the main part. What is noise by a name only
+    (``named``) is left again where it turns out to hold the page's main part: an article in it
+    (``inner``) if the page has no main part elsewhere, or a part that its name calls so (``deep``) if
+    it has no other text."""
 
     def __init__(self, html: str | None):
-        self.blocks: list[tuple[str, str, str, bool]] = []
-        self.children: dict[str, list[str]] = {}
+        self.nodes: list[tuple[int, str, int, int]] = [(-1, "", 0, 0)]
+        self.blocks: list[tuple[int, str, str, bool]] = []
+        self.children: dict[int, list[str]] = {}
+        self._known: dict[tuple[int, str], int] = {}
         self._run: list[str] = []
-        #: open elements: tag, node, state, weighed
-        self._open: list[tuple[str, str, str, bool]] = [("", "", "rest", True)]
+        #: open elements: tag, node, state, weighed; and where each tag is open
+        self._open: list[tuple[str, int, str, bool]] = [("", 0, "rest", True)]
+        self._places: dict[str, list[int]] = {}
         if html:
             self._read(html)
 
+    def _node(self, parent: int, step: str) -> int:
+        depth = self.nodes[parent][3] + 1
+        if depth > MAX_DEPTH:
+            return parent
+        at = self._known.get((parent, step))
+        if at is None:
+            at = self._known[parent, step] = len(self.nodes)
+            self.nodes.append((parent, step, _hash(f"{self.nodes[parent][2]}>{step}"), depth))
+        return at
+
+    def path(self, node: int) -> str:
+        steps = []
+        while node:
+            steps.append(self.nodes[node][1])
+            node = self.nodes[node][0]
+        return "".join(f">{x}" for x in reversed(steps))
+
+    def is_heading(self, node: int) -> bool:
+        return re.match(r"(?:h[1-6]|th|dt)(?:\.|\Z)", self.nodes[node][1]) is not None
+
     def _text(self, raw: str):
         if raw:
             self._run.append(entities.unescape(raw) if "&" in raw else raw)
@@ -125,6 +234,21 @@ class Page:
                 _, node, state, weighed = self._open[-1]
                 self.blocks.append((node, text, state, weighed))
 
+    def _push(self, tag: str, node: int, state: str, weighed: bool):
+        self._places.setdefault(tag, []).append(len(self._open))
+        self._open.append((tag, node, state, weighed))
+
+    def _cut(self, k: int):
+        """Close the open elements from place ``k`` on."""
+        self._end_block()
+        for tag, _, _, _ in self._open[k:]:
+            self._places[tag].pop()
+        del self._open[k:]
+
+    def _innermost(self, tags) -> int:
+        """The place of the innermost open element of ``tags``; 0 if there is none."""
+        return max((p[-1] for t in tags if (p := self._places.get(t))), default=0)
+
     def _start(self, tag: str, attrs: str):
         tags = self._open
         if tag == "br":
@@ -134,7 +258,7 @@ class Page:
             # an inline element stays on the stack only to carry a noise name
             if tag == "span" and attrs and _kind(self._name(attrs)[0]) == "noise":
                 self._end_block()
-                tags.append((tag, tags[-1][1], "noise", True))
+                self._push(tag, tags[-1][1], "noise", True)
             return
         self._end_block()
         if tag in _P_ENDS:
@@ -161,95 +285,68 @@ class Page:
                 state, weighed = "main" if state == "rest" else "deep", False
             elif tag not in PROSE:
                 weighed = True
-        tags.append((tag, f"{node}>{step}", state, weighed))
+        self._push(tag, self._node(node, step), state, weighed)
 
     def _close(self, which: set[str], stops: set[str]):
-        for k in range(len(self._open) - 1, 0, -1):
-            if self._open[k][0] in which:
-                self._end_block()
-                del self._open[k:]
-                return
-            if self._open[k][0] in stops:
-                return
+        k = self._innermost(which)
+        if k and k > self._innermost(stops - which):
+            self._cut(k)
 
     def _end(self, tag: str):
         if tag in INLINE and tag != "span":
             return
         if tag == "span":
             if self._open[-1][0] == "span":
-                self._end_block()
-                self._open.pop()
+                self._cut(len(self._open) - 1)
             return
-        if tag in VOID:
-            return
-        for k in range(len(self._open) - 1, 0, -1):
-            if self._open[k][0] == tag:
-                self._end_block()
-                del self._open[k:]
-                return
+        if tag not in VOID and (k := self._innermost((tag,))):
+            self._cut(k)
 
     @staticmethod
     def _name(attrs: str) -> tuple[str, str]:
         """What class, id and role say, and a label for the node without longer numbers."""
-        got = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
+        got = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs) if m.end() > m.end(1)}
         name = " ".join(got[k] for k in ("class", "id", "role", "itemprop") if got.get(k))
         return name, "." + re.sub(r"[0-9]{2,}", "", ".".join(sorted(name.split()))) if name else ""
 
     def _read(self, html: str):
-        at, size = 0, len(html)
-        while at < size:
-            m = _TOKEN.search(html, at)
-            if not m:
-                # no further tag; a last unfinished one is markup
-                tail = html[at:]
-                cut = re.search(r"<[/!?a-zA-Z]", tail)
-                self._text(tail[:cut.start()] if cut else tail)
-                break
-            self._text(html[at:m.start()])
-            at = m.end()
-            if m[2] is None:
-                continue
-            tag = m[2].lower()
-            if m[1]:
-                self._end(tag)
-            elif tag in RAW:  # its content is no markup, up to the end tag
+        for token in Tags(html):
+            if token[0] == "text":
+                self._text(token[1])
+            elif token[0] == "end":
+                self._end(token[1])
+            elif token[1] in RAW:
                 self._end_block()
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-                at = end.end() if end else size
             else:
-                self._start(tag, m[3])
-                if m[3].rstrip().endswith("/") and tag not in VOID and tag not in INLINE and tag in ("script", "iframe"):
-                    self._end(tag)
+                self._start(token[1], token[2])
         self._end_block()
         held = {b[2] for b in self.blocks}
         main = next((x for x in ("main", "inner", "rest", "deep") if x in held), "")
         self.blocks = [(n, t, "rest" if x == "rest" else "main" if x == main else "noise", w) for n, t, x, w in self.blocks]
 
-    def candidates(self) -> list[tuple[str, str, bool]]:
+    def candidates(self) -> list[tuple[int, str, bool]]:
         """(node, text, weighed) of the blocks that presentation leaves."""
         main = [(n, t, w) for n, t, s, w in self.blocks if s == "main"]
         return main or [(n, t, True) for n, t, s, _ in self.blocks if s == "rest"]
 
 
-def main_text(html: str | None, low: set[str] | frozenset = frozenset(), common: set[int] | frozenset = frozenset()) -> str:
-    """The page's main text; ``low``: nodes of low importance on its host; ``common``: hashes of
-    blocks of main parts that nearly all its pages repeat. These go only if most of the text stays,
-    so copied articles are kept."""
+def main_text(html: str | None, low: set[int] | frozenset = frozenset(), common: set[int] | frozenset = frozenset()) -> str:
+    """The page's main text; ``low``: identities of nodes of low importance on its host; ``common``:
+    hashes of blocks of main parts that nearly all its pages repeat. These go only if most of the text
+    stays, so copied articles are kept."""
     page = Page(html)
-    def keep(node: str, weighed: bool) -> bool:
-        return not weighed or not low or not any(node == x or node.startswith(x + ">") for x in low)
-    got = [(n, t, w) for n, t, w in page.candidates() if keep(n, w)]
+    gone = [False] * len(page.nodes)
+    if low:
+        for k, (parent, _, ident, _) in enumerate(page.nodes):  # parents come before their children
+            gone[k] = ident in low or parent >= 0 and gone[parent]
+    got = [(n, t, w) for n, t, w in page.candidates() if not (w and gone[n])]
     if common:
-        own = [(n, t, w) for n, t, w in got if w or _is_heading(n) or _hash(t) not in common]
+        own = [(n, t, w) for n, t, w in got if w or page.is_heading(n) or _hash(t) not in common]
         if 2 * sum(len(t) for _, t, _ in own) > sum(len(t) for _, t, _ in got):
             got = own
     return "\n".join(t for _, t, _ in got)
 
 
-def _is_heading(node: str) -> bool:
-    return re.match(r"(?:h[1-6]|th|dt)(?:\.|\Z)", node.rpartition(">")[2]) is not None
-
-
 def host_of(url: str = "url") -> Column:
     """The host in lower case; the whole value where there is none, so that no page is lost."""
     u = F.coalesce(F.col(url), F.lit(""))
@@ -261,9 +358,10 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _features(rows):
+def _features(rows, paths: bool = False):
     """(host, node, prior, presentation, feature): the host's tree, one row per page and distinct
-    feature. The prior of a node by its presentation: 0 noise, 1 prose of the main part, else NULL."""
+    feature; the node by its identity, or its path if ``paths``. The prior of a node by its
+    presentation: 0 noise, 1 prose of the main part, else NULL."""
     for host, html in rows:
         page = Page(html)
         seen, prior = set(), {}
@@ -272,27 +370,28 @@ def _features(rows):
             prior[node] = 0 if state == "noise" else None if weighed else 1
             while node:  # a branch has the blocks of all that is below it
                 seen.add((node, False, h))
-                node = node.rpartition(">")[0]
+                node = page.nodes[node][0]
         for node in {n for n, _, _ in seen}:
             # runs of the same child count as one
             steps = page.children.get(node, [])
             steps = [s for k, s in enumerate(steps) if k == 0 or steps[k - 1] != s]
             seen.add((node, True, _hash(" ".join(steps))))
         for node, shown, h in seen:
-            yield host, node, prior.get(node), shown, h
+            yield host, page.path(node) if paths else page.nodes[node][2], prior.get(node), shown, h
 
 
-def _tree_rows(pages: DataFrame, url: str, html: str) -> DataFrame:
+def _tree_rows(pages: DataFrame, url: str, html: str, paths: bool = False) -> DataFrame:
     """``host``, ``node``, ``shown`` (a presentation, else a text block), ``feature``, ``d`` pages that have it, ``prior``."""
-    rows = map_rows(pages.select(host_of(url).alias("host"), F.col(html).alias("html")), _features, "host string, node string, prior int, shown boolean, feature long")
+    rows = map_rows(pages.select(host_of(url).alias("host"), F.col(html).alias("html")), partial(_features, paths=paths),
+                    f"host string, node {'string' if paths else 'long'}, prior int, shown boolean, feature long")
     return rows.groupBy("host", "node", "shown", "feature").agg(F.count(F.lit(1)).alias("d"), F.min("prior").alias("prior"))
 
 
 def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``host``, ``node``, ``pages`` that hold it, ``prior``, ``presentation``, ``content`` and
+    """``host``, ``node`` (its path), ``pages`` that hold it, ``prior``, ``presentation``, ``content`` and
     ``importance``: 0 for nodes that are noise by their presentation, no less than
     ``MIN_IMPORTANCE`` for prose of the main part."""
-    return _tree(_tree_rows(pages, url, html)).drop("common")
+    return _tree(_tree_rows(pages, url, html, paths=True)).drop("common")
 
 
 def _tree(each: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:

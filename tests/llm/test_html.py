@@ -99,3 +99,76 @@ def test_edge_rows(spark):
     assert extract(df.limit(0)).count() == 0
     assert [r[0] for r in df.select("text").collect()] == ["?", "?x", "h", "h", "h"]
     assert Page("<p>a").blocks[0][1] == "a"
+
+
+def test_random_sites_equal_brute_force(spark):
+    """The style tree by its definition, over hosts whose branches nothing names; it really removes
+    branches, nested ones too."""
+    import math
+    import random
+    from collections import defaultdict
+
+    rng = random.Random(4)
+    rows = []
+    for host in ("a.example", "b.example", "c.example"):
+        fixed = {n: "".join(f"<p>{host} {n} line {k}</p>" for k in range(rng.randint(1, 3))) for n in range(5)}
+
+        def branch(n, depth, page):
+            own = fixed[n] if rng.random() < 0.85 else f"<p>{host} page {page} branch {n} {rng.random()}</p>"
+            inner = branch((n + 1) % 5, depth + 1, page) if depth < 3 and rng.random() < 0.6 else ""
+            return f'<div class="z{n}">{own}{inner}</div>' + (f"<div class=y{n}><h3>Story {page} {rng.random()}</h3></div>" if rng.random() < 0.5 else "")
+        for page in range(rng.choice([4, 9, 14])):
+            rows.append((len(rows), f"http://{host}/{page}", "<body>" + "".join(branch(n, 0, page) for n in range(3)) + f"<p>Own words {page}</p></body>"))
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    removed = 0
+    for host in {u.split("/")[2] for _, u, _ in rows}:
+        pages = {i: Page(x) for i, u, x in rows if u.split("/")[2] == host}
+        blocks, styles = defaultdict(lambda: defaultdict(set)), defaultdict(lambda: defaultdict(set))
+        for i, p in pages.items():
+            below = defaultdict(set)
+            for node, text, _, _ in p.blocks:
+                path = p.path(node)
+                while path:
+                    below[path].add(text)
+                    path = path.rpartition(">")[0]
+            names = {p.path(k): k for k in range(len(p.nodes))}
+            for path, texts in below.items():
+                for t in texts:
+                    blocks[path][t].add(i)
+                steps = p.children.get(names[path], [])
+                styles[path][tuple(x for k, x in enumerate(steps) if not k or steps[k - 1] != x)].add(i)
+        low = set()
+        for path in blocks:
+            m = sum(len(v) for v in styles[path].values())
+            if m < 5:
+                continue
+            shares = [len(v) / m for v in styles[path].values()]
+            presentation = -sum(x * math.log(x) for x in shares) / math.log(m)
+            ds = [len(v) for v in blocks[path].values()]
+            content = sum(d * (1 - math.log(d) / math.log(m)) for d in ds) / sum(ds)
+            g = 0.9 ** len(shares)
+            if (1 - g) * presentation + g * content < 0.2:
+                low.add(path)
+        for i, p in pages.items():
+            kept = [t for n, t, _, _ in p.blocks if not any(p.path(n) == x or p.path(n).startswith(x + ">") for x in low)]
+            removed += len(p.blocks) - len(kept)
+            assert got[i] == "\n".join(kept), (host, i)
+    assert removed > 50
+
+
+def test_no_markup_takes_long():
+    from time import monotonic
+
+    from corpusprep.llm.html_text import _features
+    from corpusprep.llm.language import BUCKETS, TextModel
+    start = monotonic()
+    for page in ("<div><p>x" * 100_000, "<a " * 100_000, '<a "' * 100_001, '<a "' * 100_001 + ">", "<a " * 100_000 + '" >', "<li></li>" * 50_000,
+                 "<ul><div>" * 20_000 + "<li></li>" * 50_000, "</b1>" * 100_000 + "<div>" * 100_000 + "</x>" * 100_000, "<p " + "a" * 300_000 + " =>x",
+                 "<script></script " * 50_000, "<x '\"" * 50_000, "<!-- " * 100_000, "<![CDATA[" * 100_000):
+        assert len(list(_features([("h", page)]))) < 1000
+    import numpy as np
+    model = TextModel(["a", "b"], np.ones((2, BUCKETS)))
+    assert model.score("some words " * 100_000)[1] > 1_000_000
+    assert monotonic() - start < 120
+    deep = "<div>" * 70 + "<article>deep</article>"
+    assert main_text(deep) == "deep" and len(Page(deep).nodes) == 65

@@ -42,6 +42,7 @@ KAPPA = 4.0
 
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 _DECLARED = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})""", re.I)
+_META = re.compile(r"""<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?content-language\b)[^>]*?\bcontent\s*=\s*["']?([A-Za-z]{2,3})\b""", re.I)
 
 
 def grams(text: str) -> np.ndarray:
@@ -71,7 +72,8 @@ class TextModel:
         g = grams(text)
         if not len(g):
             return [0.0] * len(self.languages), 0
-        total = self.logp[:, g].sum(axis=1)
+        # a long text goes by its bucket counts, so that memory is that of the table
+        total = self.logp[:, g].sum(axis=1) if len(g) <= 1 << 13 else self.logp @ np.bincount(g, minlength=BUCKETS)
         return (total * (min(1.0, TEXT_UNITS / len(g)))).tolist(), len(g)
 
 
@@ -112,7 +114,21 @@ def address_suffix(url: str | None, host: str) -> str:
 
 
 def registered(host: str) -> str:
-    return ".".join(host.split(".")[-2:])
+    """The domain under which a host was registered: two labels, or three below a country's own second
+    level (co.uk, com.au, or.jp: at most three letters under two)."""
+    labels = host.split(".")
+    wide = len(labels) > 2 and len(labels[-1]) == 2 and len(labels[-2]) <= 3
+    return ".".join(labels[-3 if wide else -2:])
+
+
+def declared_language(html: str | None) -> str:
+    """The language of the ``html`` element (``lang`` or ``xml:lang``), else of a content-language
+    ``meta``; empty if there is none."""
+    head = (html or "")
+    end = head.lower().find("<body")
+    head = head if end < 0 else head[:end]
+    m = _DECLARED.search(head) or _META.search(head)
+    return m[1].lower() if m else ""
 
 
 def evidence(pages: DataFrame, model: TextModel, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -126,9 +142,8 @@ def evidence(pages: DataFrame, model: TextModel, page_id: str = "page_id", url:
             page = Page(x)
             blocks = page.candidates()
             score, n = model.score("\n".join(t for _, t, _ in blocks))
-            m = _DECLARED.search(x or "")
             verdict = model.languages[int(np.argmax(score))] if n else None
-            yield i, u, host, registered(host), host.split(".")[-1], m[1].lower() if m else "", address_suffix(u, host), score, verdict
+            yield i, u, host, registered(host), host.split(".")[-1], declared_language(x), address_suffix(u, host), score, verdict
 
     kind = p.schema["page_id"].dataType.simpleString()
     return map_rows(p, run, f"page_id {kind}, url string, host string, domain string, tld string, declared string, suffix string, text array<double>, verdict string")

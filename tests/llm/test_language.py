@@ -78,3 +78,11 @@ def test_query(spark):
     rows = Q.op6_language_id(spark, SMALL).collect()
     assert len(rows) == 50 and all(r["lang"] in ("de", "en", "es", "fr") for r in rows)
     assert sum(f"/{r['lang']}/" in r["url"] for r in rows) >= 48
+
+
+def test_declared_and_registered():
+    from corpusprep.llm.language import declared_language, registered
+    assert [declared_language(x) for x in ("<html lang=de>", '<html xml:lang="fr-CA"><body lang=x>', '<meta content="es" http-equiv="Content-Language">',
+                                           "<body><meta http-equiv=content-language content=it>", "<html>", None)] == ["de", "fr", "es", "", "", ""]
+    assert [registered(h) for h in ("www.a.co.uk", "a.co.uk", "x.y.example.com", "example.de", "de", "b.a.blog.de")] == \
+        ["a.co.uk", "a.co.uk", "example.com", "example.de", "de", "blog.de"]

@@ -12,8 +12,9 @@ SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 
 #: Rows of one narrow table (a key and a few numbers) that may be broadcast; beyond it the
-#: same join runs as a shuffle join.
+#: same join runs as a shuffle join. Likewise for its bytes.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +32,29 @@ def fixed(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows (counted here; pass
-    something cheap to count, such as a checkpoint), else ``df`` as it is for a shuffle join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def _width(c: Column, kind) -> Column:
+    """About the bytes of a value."""
+    from pyspark.sql import types as T
+
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.StructType):
+        return sum((_width(c[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType, T.ArrayType)):
+            each = F.transform(c, lambda x: _width(x, kind.elementType).cast("long"))
+            return F.coalesce(F.aggregate(each, F.lit(16).cast("long"), lambda n, x: n + x), F.lit(16))
+        return F.greatest(F.size(c), F.lit(0)) * 8 + 16
+    return F.lit(8)
+
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``max_rows`` rows and about ``max_bytes``
+    (both measured here; pass something cheap to read, such as a checkpoint), else ``df`` as it is
+    for a shuffle join."""
+    size = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(8)).cast("long")
+    n, total = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= max_rows and total <= max_bytes else df
 
 
 def text_key(col: str = "text") -> Column:

@@ -10,9 +10,9 @@ The join is a product of the (document x shingle) incidence matrix with its tran
 3. Products. Rows that share a key meet the smallest and the largest row under that key (not each
    other), and the overlap is counted for these pairs: the rows that share a partner form a block
    of the matrix, and their shingles are its columns.
-4. Links give components. Only where the rows under one key are still in different components is
-   the whole candidate group multiplied, block of rows by block of rows, so that no link between
-   different components is lost.
+4. Links give components. Rows under one key that are still in different components are compared
+   again, so that no link between different components is lost: those that share one of their rarest
+   shingles (so many of each that linked rows must), block of rows by block of rows.
 5. Before texts are read, rows meet as parity sketches: each shingle flips one bit of a vector
    about as long as the set. Two vectors differ in no more bits than the sets in shingles, so a
    pair whose vectors differ in more bits than linked rows of these sizes can is discarded.
@@ -41,6 +41,8 @@ RANGE = 0.7
 #: Rows of a block in the products.
 BLOCK = 256
 SEEDS = 4
+#: Hash buckets in which the rarity of shingles is counted.
+RARITY = 1 << 18
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -294,27 +296,56 @@ def _star_links(star, texts, n, num, den, kind):
 
 
 def _rest_links(member, part, sketches, d, n, num, den, kind):
-    """Links between rows that share a key but are in different components so far. Rows that are
-    joined by such keys form groups; a group is multiplied in blocks of rows. None: no such rows."""
+    """Links between rows that share a key but are in different components so far. None: no such rows.
+
+    Of these rows only those are compared that share a shingle among the first of each: with the
+    shingles of all rows in one order, linked rows have one in common among the first
+    (1-t) * size + 1 of each. The order is by falling rarity, so passages that many rows share come
+    last and bring hardly any rows together. Rarity is counted in ``RARITY`` hash buckets, a table of
+    fixed size; any order would give the same links."""
     at = member.join(part, F.col("r") == F.col("node"), "left").select("key", "r", F.coalesce("component", "r").alias("c"))
-    mixed = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("key").alias("k"), F.col("lo").alias("g"))
-    open_ = fixed(at.join(mixed, F.col("key") == F.col("k")).select("key", "r", "c", "g").distinct())
+    mixed = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("key").alias("k"))
+    open_ = fixed(at.join(mixed, F.col("key") == F.col("k"), "left_semi").select("r", "c").distinct())
     if not open_.limit(1).count():
         return None
-    group = components(open_.select(F.col("c").alias("a"), F.col("g").alias("b")).distinct())
-    rows = open_.select("r", "c").distinct().join(group, F.col("c") == F.col("node")).select("r", "c", F.col("component").alias("g")) \
-        .join(sketches, F.col("r") == F.col("i"))
+    own = d.where(F.col("doc_id").isNotNull()).join(small_side(open_), F.col("doc_id") == F.col("r")).select("r", "c", "t")
+
+    def rarity(rows):
+        shingle, total = Shingler(n), np.zeros(RARITY, np.int64)
+        for _, _, t in rows:
+            total += np.bincount((shingle(t) % np.uint64(RARITY)).astype(np.int64), minlength=RARITY)
+        at = np.flatnonzero(total)
+        yield from zip(at.tolist(), total[at].tolist())
+
+    counted = map_rows(own, rarity, "b int, c long").groupBy("b").agg(F.sum("c").alias("c")).toArrow()
+    common = np.zeros(RARITY, np.int64)
+    common[counted["b"].to_numpy()] = counted["c"].to_numpy()
+    sent = d.sparkSession.sparkContext.broadcast(common)
+
+    def first(rows):
+        shingle, common = Shingler(n), sent.value
+        for r, c, t in rows:
+            s = shingle(t)
+            m = len(s) - -(-num * len(s) // den) + 1
+            order = np.lexsort((s, common[(s % np.uint64(RARITY)).astype(np.int64)]))
+            yield r, c, s[order[:m]].view(np.int64).tolist()
+
+    lists = fixed(map_rows(own, first, f"r {kind}, c {kind}, firsts array<long>"))
+    keys = lists.select("r", "c", F.explode("firsts").alias("g"))
+    shared = fixed(keys.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("g").alias("h")))
+    rows = keys.join(small_side(shared), F.col("g") == F.col("h"), "left_semi").join(sketches, F.col("r") == F.col("i"))
     # linked rows lie in one class of sizes or in neighbouring ones: a row goes to its own cell and the next
     cell = F.floor(F.log("size") / (np.log(den / num) + 1e-6)) if num < den else F.col("size")
-    rows = rows.withColumn("q", F.explode(F.array(cell, cell + 1))).select("g", "q", "r", "c", "size", "sketch")
-    count = rows.groupBy("g", "q").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")).withColumnsRenamed({"g": "h", "q": "w"})
+    rows = fixed(rows.withColumn("q", F.explode(F.array(cell, cell + 1))).select("g", "q", "r", "c", "size", "sketch"))
+    count = rows.groupBy("g", "q").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"), F.min("c").alias("lo"), F.max("c").alias("hi")) \
+        .where("lo < hi").select(F.col("g").alias("h"), F.col("q").alias("w"), "parts")
     dealt = rows.join(count, (F.col("g") == F.col("h")) & (F.col("q") == F.col("w"))).withColumn("s", F.pmod(F.xxhash64("r"), F.col("parts")))
     # block s meets every block: it is copied once for each, not for each of their rows
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     near = dealt.select("g", "q", F.least("s", "o").alias("x"), F.greatest("s", "o").alias("y"), F.col("s").alias("own"), "r", "c", "size", "sketch") \
         .repartition("g", "q", "x", "y").sortWithinPartitions("g", "q", "x", "y")
     near = fixed(map_rows(near, _grouped(4, lambda groups: _screened_blocks(groups, num, den)),
-                          f"g {kind}, q long, x long, y long, own long, r {kind}, c {kind}"))
+                          f"g long, q long, x long, y long, own long, r {kind}, c {kind}"))
     texts = _texts(d, near.select("r"))
     full = near.join(texts, F.col("r") == F.col("doc_id")).select("g", "q", "x", "y", "own", "r", "c", "t")
 

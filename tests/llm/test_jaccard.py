@@ -99,3 +99,25 @@ def test_sketches_discard_no_linked_rows():
                 assert may
             dropped += not may
     assert dropped > 50
+
+
+def test_shared_passages_equal_brute_force(spark):
+    """Different texts that share long passages meet under block keys without being linked; the links
+    among them are found all the same, also between components that stars leave apart."""
+    rng = random.Random(21)
+    vocab = [f"w{k}" for k in range(3000)]
+    passages = [[rng.choice(vocab) for _ in range(40)] for _ in range(3)]
+    rows = []
+    for k in range(450):
+        own = [rng.choice(vocab) for _ in range(rng.choice([4, 8, 12, 30]))]
+        text = [*passages[k % 3], *own]
+        rows.append(" ".join(text))
+        if rng.random() < .3:  # a near copy, sometimes just below the threshold
+            for _ in range(rng.randrange(1, 4)):
+                text[40 + rng.randrange(len(own))] = rng.choice(vocab)
+            rows.append(" ".join(text))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for n, num in ((5, 80), (3, 90)):
+        assert result(jaccard_components(df, n=n, threshold=(num, 100))) == brute(rows, n, num, 100)

@@ -366,7 +366,7 @@ def _learn(words: DataFrame, gids: list[int], num_merges: int, min_freq: int, mo
             order: dict[tuple, list] = {}
             for k, (a, b, _) in enumerate(ms):
                 order.setdefault((a, b), []).append(k)
-                if a + b not in made[g]:
+                if a + b not in made[g] and not rounds.may_be_a_start(a + b):
                     fresh[g].add(a + b)
             orders[g] = order
             learned[g] += ms

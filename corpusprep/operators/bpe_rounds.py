@@ -113,6 +113,12 @@ def replay(syms: list[str], order: dict) -> list[str]:
     return syms
 
 
+def may_be_a_start(s: str) -> bool:
+    """Whether a string made by merges can also be a symbol that words start with: a character with
+    the end-of-word marker, in texts that hold the marker itself."""
+    return len(s) == 1 + len(END_OF_WORD) and s.endswith(END_OF_WORD)
+
+
 class _Falling:
     """Sort keys under which the greater string comes first (code points)."""
 
@@ -150,7 +156,7 @@ def solve(items: list[tuple[list[str], int]], rnd: Round, budget: int, min_freq:
     falling = _Falling()
 
     def before(s: str) -> bool:
-        return s in old or (len(s) == 1 + len(END_OF_WORD) and s.endswith(END_OF_WORD))
+        return s in old or may_be_a_start(s)
 
     def bound(p: tuple) -> tuple[int, bool]:
         c = counts.get(p, 0)

@@ -38,7 +38,6 @@ from pyspark.sql import functions as F
 
 from corpusprep.llm.common import fixed, free_name, map_rows, small_side, text_key, text_of
 from corpusprep.llm.components import components
-from corpusprep.llm.jaccard import Shingler
 
 DEPTH = 3
 SIMILAR = 0.8
@@ -48,8 +47,8 @@ MIN_HOSTS = 3
 #: Words of a shingle, minimum hashes of a sketch, those that a band joins, and how many of them near
 #: copies agree in (0.7; copies that share 0.8 of their five-word shingles share 0.87 of three words).
 SHINGLE, MINIMA, BAND, COPY = 3, 64, 4, 45
-#: Odd multipliers of the minimum hashes (golden ratio steps).
-_FACTORS = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64) | 1 for k in range(MINIMA)], dtype=np.uint64)
+#: Bytes of a text that are hashed at a time (up to the next white space).
+CHUNK = 1 << 20
 
 FIELD = "<*>"
 _DIGIT = re.compile(r"\S*[0-9]\S*")
@@ -79,14 +78,58 @@ def document_lines(text: str):
     return lines, leaves
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """The upper halves of the ``MINIMA`` minimum hashes of a set of 64-bit hashes."""
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _MIX[1]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[2]
+    return x ^ (x >> np.uint64(31))
+
+
+with np.errstate(over="ignore"):
+    #: A number for each byte (A-Z as a-z) and for each place in a word; a word is the sum of the products.
+    _BYTE = _mixed(np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64) * _MIX[0] + _MIX[3])
+    _PLACE = _mixed(np.arange(256, dtype=np.uint64) * _MIX[3] + _MIX[0]) | np.uint64(1)
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _word_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of each word of UTF-8 bytes, in order."""
+    inside = ~_IS_SPACE[data]
+    at = np.flatnonzero(inside)
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    first = np.concatenate([[0], np.flatnonzero(np.diff(at) > 1) + 1])  # where in ``at`` a word begins
+    place = np.minimum(np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at)))), 255)
     with np.errstate(over="ignore"):
-        if len(hashes) * MINIMA <= 1 << 20:
-            least = (hashes[None, :] * _FACTORS[:, None]).min(axis=1)
-        else:
-            least = np.array([(hashes * f).min() for f in _FACTORS])
-    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        return np.add.reduceat(_BYTE[data[at]] * _PLACE[place], first)
+
+
+def sketch(text: str | None) -> np.ndarray | None:
+    """The least shingle hash in each of ``MINIMA`` bins of the hash range (lower halves); an empty bin
+    takes that of the next one. Two texts agree in a bin with a chance of the Jaccard similarity of
+    their sets of ``SHINGLE``-word shingles. None for a text without words."""
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    least, at, any_word = np.full(MINIMA, np.uint64(2**64 - 1)), 0, False
+    while at < len(data):
+        end = at + CHUNK
+        while end < len(data) and not _IS_SPACE[data[end]]:
+            end += 1
+        w = _word_hashes(data[at:end])
+        at = end
+        if len(w):
+            any_word = True
+            n = min(SHINGLE, len(w))
+            m = len(w) - n + 1
+            with np.errstate(over="ignore"):
+                h = _mixed(sum(w[k:k + m] * _MIX[k] for k in range(n)))
+            np.minimum.at(least, (h >> np.uint64(64 - MINIMA.bit_length() + 1)).astype(np.int64), h)
+    if not any_word:
+        return None
+    full = np.flatnonzero(least != np.uint64(2**64 - 1))
+    return least[full[np.searchsorted(full, np.arange(MINIMA)) % len(full)]].astype(np.uint32)
 
 
 def bands(least: np.ndarray) -> list[int]:
@@ -96,12 +139,10 @@ def bands(least: np.ndarray) -> list[int]:
 
 
 def _parsed(rows):
-    shingles = Shingler(SHINGLE)
     for key, text in rows:
         lines, leaves = document_lines(text)
-        found = shingles(text)
-        least = sketch(found) if len(found) else None
-        yield key, lines, leaves, None if least is None else least.tolist(), [] if least is None else bands(least)
+        least = sketch(text)
+        yield key, lines, leaves, None if least is None else least.tobytes(), [] if least is None else bands(least)
 
 
 def block_keys(tokens: list[str]) -> list[tuple[int, str]]:
@@ -173,9 +214,14 @@ def copy_hosts(parsed: DataFrame) -> DataFrame:
     sketches = parsed.select(text_id().alias("s"), "sketch")
     mine = sketches.join(small_side(met), F.col("s") == F.col("id")).select("id", "rep", F.col("sketch").alias("a"))
     reps = fixed(sketches.join(small_side(met.select(F.col("rep").alias("r")).distinct()), F.col("s") == F.col("r"), "left_semi"))
-    both = mine.join(small_side(reps, 50_000), F.col("rep") == F.col("s"))  # 264 bytes a row
-    same = F.aggregate(F.zip_with("a", "sketch", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    links = fixed(both.where(same >= COPY).select("id", "rep"))
+    both = mine.join(small_side(reps), F.col("rep") == F.col("s")).select("id", "rep", "a", F.col("sketch").alias("b"))
+
+    def agree(rows):
+        for i, rep, x, y in rows:
+            if (np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)).sum() >= COPY:
+                yield i, rep
+
+    links = fixed(map_rows(both, agree, "id long, rep long"))
     if not links.limit(1).count():
         return links.select(F.col("id").alias("copy"), F.col("rep").alias("host"))
     return components(links, "id", "rep").select(F.col("node").alias("copy"), F.col("component").alias("host"))
@@ -234,7 +280,7 @@ def recurring(parsed: DataFrame, texts: DataFrame, min_hosts: int = MIN_HOSTS) -
 def _verdicts(docs: DataFrame, text: str, min_hosts: int) -> DataFrame:
     """``(k, dropped)``: for each text that loses lines, their numbers (from 0)."""
     own = docs.select(text_key(text).alias("key"), text_of(text).alias("text"))
-    parsed = map_rows(own, _parsed, "key struct<a:long,b:long>, lines array<long>, leaves array<long>, sketch array<int>, bands array<long>")
+    parsed = map_rows(own, _parsed, "key struct<a:long,b:long>, lines array<long>, leaves array<long>, sketch binary, bands array<long>")
     # equal texts count once
     parsed = fixed(parsed.groupBy("key").agg(F.first("lines").alias("lines"), F.first("leaves").alias("leaves"),
                                               F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))

@@ -6,15 +6,13 @@ import pytest
 from edge_rows import SMALL, edge  # noqa: F401
 
 from corpusprep.llm import queries as Q
-from corpusprep.llm.jaccard import Shingler
-from corpusprep.llm.line_templates import COPY, DEPTH, SHINGLE, drop_templates, merge_leaf, parse, sketch
+from corpusprep.llm.line_templates import COPY, DEPTH, drop_templates, merge_leaf, parse, sketch
 
 
 def brute(texts):
     """Text by text: the numbers of the dropped lines. Copies by every pair of texts."""
     hosts, leaves, of = defaultdict(Counter), defaultdict(dict), {}
-    shingles = Shingler(SHINGLE)
-    sketches = {t: sketch(h) for t in set(texts) if len(h := shingles(t))}
+    sketches = {t: x for t in set(texts) if (x := sketch(t)) is not None}
     host = {t: t for t in set(texts)}
     for a in sketches:
         for b in sketches:
@@ -110,6 +108,22 @@ def test_boilerplate_heavy_texts(spark, n_own):
     assert all(not got[100 + k] for k in range(8))
 
 
+def test_sketches_estimate_similarity(monkeypatch):
+    rng = random.Random(8)
+    off = []
+    for _ in range(150):
+        a = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(40, 400))]
+        b = [x if rng.random() > 0.05 else f"w{rng.randrange(5000)}" for x in a]
+        p, q = ({tuple(x[i:i + 3]) for i in range(len(x) - 2)} for x in (a, b))
+        off.append((sketch(" ".join(a)) == sketch("\n".join(b).upper())).mean() - len(p & q) / len(p | q))
+    assert abs(sum(off) / len(off)) < 0.02 and max(map(abs, off)) < 0.3
+    text = " ".join(f"w{rng.randrange(500)}" for _ in range(2000))
+    whole = sketch(text)
+    monkeypatch.setattr("corpusprep.llm.line_templates.CHUNK", 700)
+    assert (sketch(text) == whole).mean() > 0.9  # only the shingles across cuts are missing
+    assert sketch(" \n ") is None and sketch(None) is None and (sketch("one") == sketch("ONE")).all()
+
+
 def plain_merge(lines):
     """Every line against every template of its leaf."""
     groups = []

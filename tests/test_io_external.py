@@ -153,14 +153,20 @@ def test_run_that_dies_calls_only_unfinished_batches(spark, tmp):
         return ok(texts)
     with pytest.raises(Exception):
         run_resumable(df, store, dies)
-    before = calls(log)
+    # tasks of the dead job may still be at a call; wait until none writes any more
+    import time
+    before = None
+    while before != (before := calls(log)):
+        time.sleep(3)
     assert 0 < len(before) < 12 and not os.path.exists(os.path.join(store, "_SUCCESS"))
+    notes = [f.split("-")[0] for f in os.listdir(os.path.join(store, "_progress")) if f.endswith(".json") and not f.startswith(".")]
+    finished = {int(k) for k in notes} - {4}
+    assert finished and len(notes) >= len(before) - 2  # at most one call of each other task was under way
     got = {r.batch_id: (r.status, r.outputs) for r in run_resumable(df, store, dies).collect()}
     assert got == {k: ("error", None) if k == 4 else ("ok", [f"T{k}"]) for k in range(12)}
     after = calls(log)
-    # only the batch that fails was called again, if it had been called before
     assert sorted(set(after)) == sorted(f"t{k}" for k in range(12))
-    assert len(after) == 12 + ("t4" in before)
+    assert all(after.count(f"t{k}") == 1 for k in finished)  # what was finished is never called again
     assert not os.path.exists(os.path.join(store, "_progress"))
     run_resumable(df, store, ok)
     assert len(calls(log)) == len(after) + 1

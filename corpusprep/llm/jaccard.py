@@ -328,26 +328,27 @@ def _rest_links(member, part, sketches, d, n, num, den, kind):
             s = shingle(t)
             m = len(s) - -(-num * len(s) // den) + 1
             order = np.lexsort((s, common[(s % np.uint64(RARITY)).astype(np.int64)]))
-            yield r, c, s[order[:m]].view(np.int64).tolist()
+            yield r, c, len(s), s[order[:m]].view(np.int64).tolist()
 
-    lists = fixed(map_rows(own, first, f"r {kind}, c {kind}, firsts array<long>"))
-    keys = lists.select("r", "c", F.explode("firsts").alias("g"))
+    lists = fixed(map_rows(own, first, f"r {kind}, c {kind}, size long, firsts array<long>"))
+    keys = lists.select("r", "c", "size", F.explode("firsts").alias("g"))
     shared = fixed(keys.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("g").alias("h")))
-    rows = keys.join(small_side(shared), F.col("g") == F.col("h"), "left_semi").join(sketches, F.col("r") == F.col("i"))
     # linked rows lie in one class of sizes or in neighbouring ones: a row goes to its own cell and the next
     cell = F.floor(F.log("size") / (np.log(den / num) + 1e-6)) if num < den else F.col("size")
-    rows = fixed(rows.withColumn("q", F.explode(F.array(cell, cell + 1))).select("g", "q", "r", "c", "size", "sketch"))
-    count = rows.groupBy("g", "q").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"), F.min("c").alias("lo"), F.max("c").alias("hi")) \
-        .where("lo < hi").select(F.col("g").alias("h"), F.col("q").alias("w"), "parts")
-    dealt = rows.join(count, (F.col("g") == F.col("h")) & (F.col("q") == F.col("w"))).withColumn("s", F.pmod(F.xxhash64("r"), F.col("parts")))
-    # block s meets every block: it is copied once for each, not for each of their rows
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    near = dealt.select("g", "q", F.least("s", "o").alias("x"), F.greatest("s", "o").alias("y"), F.col("s").alias("own"), "r", "c", "size", "sketch") \
-        .repartition("g", "q", "x", "y").sortWithinPartitions("g", "q", "x", "y")
+    rows = keys.join(small_side(shared), F.col("g") == F.col("h"), "left_semi").select("g", F.explode(F.array(cell, cell + 1)).alias("q"), "r", "c")
+    near = _in_blocks(rows, ["g", "q"]).join(sketches, F.col("r") == F.col("i")) \
+        .select("g", "q", "x", "y", "own", "r", "c", "size", "sketch").repartition("g", "q", "x", "y").sortWithinPartitions("g", "q", "x", "y")
     near = fixed(map_rows(near, _grouped(4, lambda groups: _screened_blocks(groups, num, den)),
                           f"g long, q long, x long, y long, own long, r {kind}, c {kind}"))
-    texts = _texts(d, near.select("r"))
-    full = near.join(texts, F.col("r") == F.col("doc_id")).select("g", "q", "x", "y", "own", "r", "c", "t")
+    if not near.limit(1).count():
+        return None
+    # the same rows pass under many shingles: what passes together is one group, whose texts are read once
+    star = near.groupBy("g", "q", "x", "y").agg(F.min("r").alias("lo")).withColumnsRenamed({"g": "g2", "q": "q2", "x": "x2", "y": "y2"})
+    same = (F.col("g") == F.col("g2")) & (F.col("q") == F.col("q2")) & (F.col("x") == F.col("x2")) & (F.col("y") == F.col("y2"))
+    group = components(near.join(star, same).select("r", "lo").distinct(), "r", "lo")
+    left = near.select("r", "c").distinct().join(group, F.col("r") == F.col("node")).select(F.col("component").alias("g"), "r", "c")
+    texts = _texts(d, left.select("r"))
+    full = _in_blocks(left, ["g"]).join(texts, F.col("r") == F.col("doc_id")).select("g", F.lit(0).alias("q"), "x", "y", "own", "r", "c", "t")
 
     def multiply(groups):
         shingle = Shingler(n)
@@ -367,6 +368,21 @@ def _rest_links(member, part, sketches, d, n, num, den, kind):
     return fixed(map_rows(both, _grouped(4, multiply), f"a {kind}, b {kind}"))
 
 
+def _in_blocks(rows, keys: list[str]):
+    """Rows of the groups with several components, dealt into blocks of about ``BLOCK``; a row is there
+    once for each block that its own (``own``) meets: ``x <= y`` are the two."""
+    names = {k: f"{k}_" for k in keys}
+    count = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"), F.min("c").alias("lo"), F.max("c").alias("hi")) \
+        .where("lo < hi").select(*keys, "parts").withColumnsRenamed(names)
+    same = F.lit(True)
+    for k, v in names.items():
+        same &= F.col(k) == F.col(v)
+    dealt = rows.join(count, same).withColumn("own", F.pmod(F.xxhash64("r"), F.col("parts")))
+    # a block is copied once for each block that it meets, not for each of their rows
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return dealt.select(*keys, F.least("own", "o").alias("x"), F.greatest("own", "o").alias("y"), "own", "r", "c")
+
+
 def _screened_blocks(groups, num, den):
     """The rows of two blocks that may be linked to a row of the other block and another component."""
     for (g, q, x, y), rows in groups:

@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from corpusprep.operators import metrics as mt
 
 _SYM = re.compile("([" + "".join(f"{chr(a)}-{chr(b)}" if a != b else chr(a) for a, b in
@@ -119,3 +121,40 @@ def test_compare_scores(spark):
     df = frame(spark, hyps, refs).withColumn("same", __import__("pyspark.sql.functions", fromlist=["col"]).col("ref"))
     got = {r.system: r.bleu for r in mt.compare_scores(df, "ref", ["hyp", "same"], ["pid"]).collect()}
     assert got["same"] == 100.0 and abs(got["hyp"] - round(py_bleu(hyps, refs), 4)) < 1e-9
+
+
+def test_clipped_matches_equal_counters():
+    rnd = random.Random(7)
+    for case in range(1500):
+        units = rnd.choice([1, 2, 5, 1021, 1022, 1023, 40_000])  # from 1,022 and 32,766 on, order by order
+        h = [rnd.randrange(units) for _ in range(rnd.randint(0, 30))]
+        r = [rnd.choice(h) if h and rnd.random() < 0.7 else rnd.randrange(units) for _ in range(rnd.randint(0, 30))]
+        r = h[rnd.randint(0, 5):] if case % 3 == 0 else r
+        for order in (4, 6):
+            want = []
+            for n in range(1, order + 1):
+                a, b = (Counter(tuple(x[i:i + n]) for i in range(len(x) - n + 1)) for x in (h, r))
+                want.append(sum(min(c, b[g]) for g, c in a.items()))
+            assert mt.clipped_matches(np.array(h, np.int64), np.array(r, np.int64), order) == want
+
+
+def test_tokens_by_word_equal_tokens_of_the_line(spark):
+    rnd = random.Random(3)
+    parts = [*"ab5 .,-\t&;<>'\"é!?x0", "<skipped>", "&quot;", "&amp;", "&lt;", "..", ",5", "²", "-\n"]
+    lines = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(1500)]
+    tok = mt._py_tokenize_13a()
+    for r in spark.createDataFrame([(x,) for x in lines], "t string").select("t", mt.tokenize_13a("t").alias("k")).collect():
+        assert tok(r["t"]) == r["k"]
+
+
+def test_pair_counts_do_not_take_python_objects_for_every_ngram():
+    """Counters took over 100 bytes for each n-gram of a text (41 MB here); sorted numbers take few."""
+    import tracemalloc
+    rnd = random.Random(1)
+    text = "".join(rnd.choice("abcdefghijklmnop") for _ in range(100_000))
+    row = mt._chrf_row()
+    tracemalloc.start()
+    got = row(text, text[1:])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[:3] == [100_000, 99_999, 99_999] and peak < 20_000_000

@@ -230,3 +230,26 @@ def test_distinct_plan_equals_narrow(spark):
     a = {r.doc_id: r.enc for r in ba.apply_bpe(docs, "text", merges, out_col="enc").collect()}
     b = {r.doc_id: r.enc for r in ba.apply_bpe_distinct(docs, "text", ["doc_id"], merges).collect()}
     assert a == b
+
+
+def test_segmentation_remembers_a_bounded_number_of_words():
+    """Caches are bounded for all codecs of a worker together, in words and in characters."""
+    codecs = [ba.Codec([("a", "b")], cache=1 / 1000) for _ in range(2)]
+    words = [f"ab{i}" for i in range(1000)]
+    for c in codecs:
+        assert c.segment_line(" ".join(words)) == " ".join(c.segment_word(w) for w in words)
+        assert 0 < len(c._words) <= 100 and c._words.chars == sum(len(k) + len(v) for k, v in c._words.items())
+        c.segment_line("x" * 10_000)
+        assert "x" * 10_000 not in c._words and c._words.chars <= 6000
+
+
+def test_short_and_long_words_merge_alike():
+    rnd = random.Random(4)
+    for _ in range(1500):
+        syms, rank = list("abc"), {}
+        for _ in range(rnd.randint(0, 10)):
+            p = (rnd.choice(syms), rnd.choice(syms))
+            rank.setdefault(p, rnd.randrange(1000))  # ranks may have gaps
+            syms.append("".join(p))
+        word = [rnd.choice("abc") for _ in range(rnd.randint(1, 40))]
+        assert ba.merge_symbols(list(word), rank) == ba._merge_long(list(word), rank)

@@ -12,6 +12,7 @@ from corpusprep.operators.bpe_learn import learn_bpe
 from corpusprep.operators.stats import corpus_stats
 from corpusprep.operators.variants import build_variants
 from corpusprep.plans import fixtures as fx
+from corpusprep.session import cut_lineage
 from corpusprep.sources.sinks import write_prepared
 
 GROUPS = ["variant", "side"]
@@ -26,7 +27,7 @@ def sides(variants: DataFrame) -> DataFrame:
 
 
 def prepare(spark: SparkSession, sf_dir: str, num_merges: int = NUM_MERGES) -> tuple[DataFrame, DataFrame]:
-    long = sides(build_variants(fx.corpora(spark, sf_dir)))
+    long = sides(build_variants(cut_lineage(fx.corpora(spark, sf_dir))))  # read for both sides, to learn and to segment
     merges = learn_bpe(long.filter(F.col("split") == "train"), "text", num_merges=num_merges, group_cols=GROUPS)
     encoded = apply_bpe_groups(long, "text", merges, GROUPS, out_col="enc")
     return merges, encoded

@@ -253,3 +253,14 @@ def test_short_and_long_words_merge_alike():
             syms.append("".join(p))
         word = [rnd.choice("abc") for _ in range(rnd.randint(1, 40))]
         assert ba.merge_symbols(list(word), rank) == ba._merge_long(list(word), rank)
+
+
+def test_preparation_reads_its_corpora_once(spark, tmp_path, monkeypatch):
+    from corpusprep.plans import flagship
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"ab ba {c} {t}.") for c in range(12) for t in range(4)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    merges = spark.createDataFrame([("all", "src", 0, "a", "b</w>", 2)], "variant string, side string, rank long, left string, right string, freq long")
+    monkeypatch.setattr(flagship, "learn_bpe", lambda *a, **k: merges)
+    _, encoded = flagship.prepare(spark, str(tmp_path))
+    plan = encoded._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan.lower() and encoded.count() > 0

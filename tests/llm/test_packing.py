@@ -59,6 +59,50 @@ def test_ids_of_odd_texts():
         assert fast.ids(t).tolist() == full.encode(t, add_special_tokens=False).ids, t
 
 
+def test_new_words_are_encoded_once_and_together():
+    from tokenizers import Tokenizer
+
+    full, fast = Tokenizer.from_file(Q.tokenizer_path()), WordTokenizer(Q.tokenizer_path())
+    texts = [" ".join(f"{a}{b}" for a in ("Wo", "ré", "x") for b in ("rd", "lo,", f"ab{'c' * (k % 7)}.", f"n{k % 9}-z")) for k in range(300)]
+    asked, calls = [], []
+    for name in ("_plain", "_whole"):
+        def counted(words, real=getattr(fast, name)):
+            asked.extend(words)
+            calls.append(len(words))
+            return real(words)
+        setattr(fast, name, counted)
+    for block in (texts[:150], texts[150:]):
+        for ids, t in zip(fast.many(block), block):
+            assert ids.tolist() == full.encode(t, add_special_tokens=False).ids
+    assert len(asked) == len(set(asked)) > 40 and len(calls) <= 4
+
+
+def test_ids_of_random_texts_in_small_calls(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from corpusprep.llm import packing
+
+    monkeypatch.setattr(packing, "ENCODE_CHARS", 30)
+    full, fast = Tokenizer.from_file(Q.tokenizer_path()), WordTokenizer(Q.tokenizer_path())
+    rng = np.random.default_rng(5)
+    alphabet = [*"abcdeABCÀÉÿß×÷'.,!?;:-_0123 <|>  \n\t\r\x1c\x85\xa0\u0301\u03a3\u03c3\u0130漢字🙂", "<|endoftext|>", "'ll", "</w>", "a" * 50]
+    texts = ["".join(rng.choice(alphabet, n)) for n in rng.integers(0, 60, 400)]
+    for k in range(0, 400, 16):
+        for ids, t in zip(fast.many(texts[k:k + 16]), texts[k:k + 16]):
+            assert ids.tolist() == full.encode(t, add_special_tokens=False).ids, t
+        assert len(fast.known) < 16 * 60 and max(map(len, fast.known)) <= packing.CACHE_CHARS
+
+
+def test_blocks_hold_all_rows_in_order(monkeypatch):
+    from corpusprep.llm import packing
+
+    monkeypatch.setattr(packing, "BLOCK_CHARS", 20)
+    rows = [(k, None if k % 5 == 0 else "ab " * (k % 11)) for k in range(60)] + [(None, "x" * 90), (7, "")]
+    blocks = list(packing._blocks(iter(rows)))
+    assert [r for b in blocks for r in b] == [(k, t or "") for k, t in rows]
+    assert len(blocks) > 5 and list(packing._blocks(iter([]))) == []
+
+
 def test_balance():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 1500, 900)

@@ -264,3 +264,40 @@ def test_preparation_reads_its_corpora_once(spark, tmp_path, monkeypatch):
     _, encoded = flagship.prepare(spark, str(tmp_path))
     plan = encoded._jdf.queryExecution().optimizedPlan().toString()
     assert "parquet" not in plan.lower() and encoded.count() > 0
+
+
+def test_new_words_together_equal_word_by_word():
+    """Bulk segmentation against the loop over the lowest rank, with and without a vocabulary."""
+    bulk = 0
+    for seed in range(400):
+        r = random.Random(seed)
+        alphabet = r.choice(["ab", "abc", "abcdef", "a</w>b", "é\U0001F600z", "xy", "abcdefghijklmnop"])
+        word = lambda most: "".join(r.choice(alphabet) for _ in range(r.randint(1, most)))
+        words = Counter(word(9) for _ in range(r.randint(1, 40)))
+        merges = [(a, b) for a, b, _ in brute_learn(words, r.choice([3, 20, 60]))]
+        if r.random() < .3:
+            r.shuffle(merges)  # a merge may build what an earlier one joins
+        vocab = None
+        if r.random() < .6:
+            cut = [ba.Codec(merges).pieces(w) for w in words]
+            vocab = {u if i == len(p) - 1 else u + "@@" for p in cut for i, u in enumerate(p) if r.random() < .7} or {""}
+        codec = ba.Codec(merges, vocab=vocab)
+        lines = [" ".join(r.choice([word(9), word(70), *words]) for _ in range(r.randint(0, 30))) for _ in range(4)] + [None, "", "  "]
+        assert list(codec.segment_lines(lines)) == [None if x is None else " ".join(map(codec.segment_word, x.split())) for x in lines], seed
+        bulk += codec.bulk is not None
+    assert 100 < bulk < 400
+
+
+def test_vocabulary_of_words_is_that_of_the_text(spark, monkeypatch):
+    """Each distinct word segmented once and counted as often as it occurs."""
+    r = random.Random(2)
+    texts = [" ".join(r.choice("abc") * r.randint(1, 3) + r.choice("xyz") for _ in range(r.randint(0, 30))) for _ in range(50)] + [None, "", "\t　x "]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    words = word_counts(df, "text")
+    want = Counter(w for t in texts for w in (t or "").split())
+    assert {x.word: x.freq for x in words.collect()} == want
+    merges = bl.learn_bpe_from_counts(words, num_merges=6)
+    of_text = ba.subword_vocab(ba.apply_bpe(df, "text", merges, out_col="e"), "e")
+    of_words = ba.subword_vocab(ba.apply_bpe(words, "word", merges, out_col="e"), "e", times="freq")
+    assert of_words.columns == of_text.columns == ["token", "freq"]
+    assert sorted(map(tuple, of_words.collect())) == sorted(map(tuple, of_text.collect()))
